@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import chat, lines, mixing, packing, toxicity
+from hirelake.llm import chat, html, lines, media, mixing, packing, sketches, toxicity
 from hirelake.llm.common import table
 
 
@@ -37,6 +37,10 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM b JOIN q ON b.source IS NOT DISTINCT FROM q.source"""
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -95,5 +99,16 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length('<|im_start|>') + length(er) + 1 + length(et) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op5_line_dedup, op6_toxicity, op7_chat_format)}
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_table(table(spark, sf_dir, "documents"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages, html.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op4_fingerprints, op5_line_dedup, op6_toxicity, op7_chat_format, op9_media, op10_html)}
 ORACLES = {"op3_mixing": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_chat_format": OP7_SQL}
