@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import chat, html, lines, media, mixing, packing, sketches, toxicity
+from hirelake.llm import chat, html, jaccard, lines, media, mixing, packing, sketches, toxicity
 from hirelake.llm.common import table
 
 
@@ -101,6 +101,10 @@ FROM e GROUP BY conv_id"""
 
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(table(spark, sf_dir, "documents"))
 
@@ -110,5 +114,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op4_fingerprints, op5_line_dedup, op6_toxicity, op7_chat_format, op9_media, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op4_fingerprints, op5_line_dedup, op6_toxicity, op7_chat_format, op8_jaccard, op9_media, op10_html)}
 ORACLES = {"op3_mixing": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_chat_format": OP7_SQL}
