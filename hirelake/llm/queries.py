@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import chat, html, jaccard, lines, media, mixing, packing, sketches, toxicity
+from hirelake.llm import chat, html, jaccard, lines, media, mixing, packing, sketches, substrings, toxicity
 from hirelake.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -114,5 +119,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op4_fingerprints, op5_line_dedup, op6_toxicity, op7_chat_format, op8_jaccard, op9_media, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substrings, op3_mixing, op4_fingerprints, op5_line_dedup, op6_toxicity, op7_chat_format, op8_jaccard, op9_media, op10_html)}
 ORACLES = {"op3_mixing": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_chat_format": OP7_SQL}
