@@ -52,8 +52,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max
 
 
 def queue(docs: DataFrame, chunks: int = 1024) -> DataFrame:
-    """Every document (doc_id, source, size, key) with `before`: its source's words ahead of it."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), F.col("text")).alias("key"))
+    """Every document (doc_id, source, size, key) with `before`: its source's words ahead of it. A column
+    `row` goes along."""
+    row = [c for c in docs.columns if c == "row"]
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), F.col("text")).alias("key"), *row)
     rows = rows.withColumn("chunk", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % chunks)
     totals = rows.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
     ahead = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -61,7 +63,7 @@ def queue(docs: DataFrame, chunks: int = 1024) -> DataFrame:
     within = Window.partitionBy("source", "chunk").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = rows.join(totals, rows["source"].eqNullSafe(totals["t_source"]) & (rows["chunk"] == totals["t_chunk"]))
-    return joined.select("doc_id", "source", "size", "key", (F.col("chunk_before") + F.col("within")).alias("before"))
+    return joined.select("doc_id", "source", "size", "key", *row, (F.col("chunk_before") + F.col("within")).alias("before"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, chunks: int = 1024) -> DataFrame:
@@ -79,13 +81,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int
     return rows.withColumn("taken", taken.cast("long")).withColumn("finish", (F.col("before") + F.col("size")) / F.col("weight"))
 
 
-def in_mix_order(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
-    """The mix itself: one row per taken copy, (doc_id, key, epoch, words, finish), ranged over the
-    partitions by virtual finish time."""
-    mixed = mix(docs, weights, max_epochs).where(F.col("taken") > 0)
-    epoch = F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)).alias("epoch")
-    copies = mixed.select("doc_id", "source", "key", "size", "taken", "before", "source_size", "weight", epoch)
-    words = F.least(F.col("size"), F.col("taken") - F.col("size") * F.col("epoch"))
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, chunks: int = 1024) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as the mix takes it, ranged over the partitions by the
+    virtual finish times of the copies. Rows stay whole: the copy at a source's cut stays if half of it
+    is within the quota."""
+    kept = docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    mixed = mix(kept, weights, max_epochs, chunks).where(F.col("taken") > 0)
+    n = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    copies = mixed.where(n > 0).select("row", "key", "size", "before", "source_size", "weight", F.explode(F.sequence(F.lit(0), n - 1)).alias("epoch"))
     finish = (F.col("source_size") * F.col("epoch") + F.col("before") + F.col("size")) / F.col("weight")
-    copies = copies.select("doc_id", "source", "key", "epoch", words.cast("long").alias("words"), finish.alias("finish"))
-    return copies.repartitionByRange(partitions(docs.sparkSession), "finish", "key").sortWithinPartitions("finish", "key")
+    ordered = copies.withColumn("finish", finish).repartitionByRange(partitions(docs.sparkSession), "finish", "key").sortWithinPartitions("finish", "key")
+    return ordered.select("row.*")
