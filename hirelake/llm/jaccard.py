@@ -228,6 +228,30 @@ def _passing(percent: int):
     return run
 
 
+#: Bits of the filter that keeps texts without a pair out of a shuffle; a fixed size, whatever the input.
+FILTER_BITS = 1 << 22
+
+
+def _among(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(1).to_numpy() & (FILTER_BITS - 1)
+            yield b.filter(pa.array((bits[at >> 6] >> (at & 63) & 1).astype(bool)))
+
+    return run
+
+
+def only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of texts (d, t, text) whose t may be among those of wanted (t): a bitmap of FILTER_BITS hashed
+    places, which the cluster fills. When it is crowded, more rows pass, and the join that follows sorts them out."""
+    place = F.col("t").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words:
+        bits[r["w"]] = r["bits"]
+    return texts.mapInArrow(_among(bits), "d long, t long, text string")
+
+
 def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     """(doc_id, th, n_shingles, component_id) for every row of docs (doc_id, text); th is xxhash64 of the
     text."""
@@ -252,7 +276,8 @@ def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     def verify(found: DataFrame) -> DataFrame:
         """The pairs that link. Texts of nodes in pairs alone go through the shuffle by node."""
         used = found.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-        held = texts.join(used, F.col("d").eqNullSafe(F.col("rep.doc_id")) & (F.col("t") == F.col("rep.th"))).select("node", "text").dropDuplicates(["node"])
+        used = saved(used)
+        held = only(texts, used.select(F.col("rep.th").alias("t"))).join(used, F.col("d").eqNullSafe(F.col("rep.doc_id")) & (F.col("t") == F.col("rep.th"))).select("node", "text").dropDuplicates(["node"])
         two = found.join(held.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(held.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
         return saved(two.select("u", "v", "tu", "tv").mapInArrow(_verified(size, percent, levels), "u long, v long"))
 
