@@ -33,7 +33,7 @@ from hirelake.llm.common import partitions
 from hirelake.llm.components import components, saved
 
 U = np.uint64
-#: Counting buckets of the first order, bits of a parity bitmap, orders in all, shingles in a block.
+#: Counting buckets of the first order, least bits of a parity bitmap, orders in all, shingles in a block.
 BUCKET_BITS, BITMAP, ORDERS, BLOCK_TOKENS = 16, 1024, 3, 1 << 21
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -70,7 +70,26 @@ def prefix(sh: np.ndarray, order: int, percent: int, levels: np.ndarray) -> np.n
 
 
 def bitmap(sh: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((sh & U(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8)).tobytes()
+    """Parities of the shingles by hash: a power of two of bits, BITMAP at least and half the set's size, so that
+    sets that have little in common are further apart than a link allows, however long they are."""
+    m = max(BITMAP, 1 << max(len(sh) // 2 - 1, 0).bit_length())
+    return np.packbits((np.bincount((sh & U(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Rows of packed bitmaps as bitmaps of `width` bytes: the halves xor-ed."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def by_width(column: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, packed rows) for each width of bitmap in a column."""
+    width = np.array([len(x) for x in column])
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        yield at, np.frombuffer(b"".join(column[i] for i in at), np.uint8).reshape(len(at), w)
 
 
 def most_apart(a, b, percent: int):
@@ -167,19 +186,22 @@ def _block_pairs(percent: int):
 
     def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         side, node, comp, n = (t[c].to_numpy() for c in ("block", "node", "comp", "n"))
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint8).reshape(len(node), -1)
+        column = t["bits"].to_pylist()
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
         us, vs = [], []
-        for at in range(0, len(left), 512):
-            a = left[at : at + 512]
-            ok = (comp[a][:, None] != comp[right][None, :]) & (100 * np.minimum(n[a][:, None], n[right][None, :]) >= percent * np.maximum(n[a][:, None], n[right][None, :]))
-            if not ok.any():
-                continue
-            ok &= _apart(bits[a], bits[right]) <= most_apart(n[a][:, None].astype(np.int64), n[right][None, :], percent)
-            x, y = np.nonzero(ok)
-            us.append(node[a][x])
-            vs.append(node[right][y])
+        for p, x in by_width([column[k] for k in left]):
+            for q, y in by_width([column[k] for k in right]):
+                w = min(x.shape[1], y.shape[1])
+                for at in range(0, len(p), 512):
+                    a, z = left[p[at : at + 512]], right[q]
+                    ok = (comp[a][:, None] != comp[z][None, :]) & (100 * np.minimum(n[a][:, None], n[z][None, :]) >= percent * np.maximum(n[a][:, None], n[z][None, :]))
+                    if not ok.any():
+                        continue
+                    ok &= _apart(folded(x[at : at + 512], w), folded(y, w)) <= most_apart(n[a][:, None].astype(np.int64), n[z][None, :], percent)
+                    f, g = np.nonzero(ok)
+                    us.append(node[a][f])
+                    vs.append(node[z][g])
         u, v = np.concatenate([np.empty(0, np.int64), *us]), np.concatenate([np.empty(0, np.int64), *vs])
         return np.maximum(u, v), np.minimum(u, v)
 
@@ -220,8 +242,11 @@ def _passing(percent: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("bu", "bv"))
-            far = _ONES[x ^ y].sum(1)
+            far, xs, ys = np.zeros(b.num_rows, np.int64), b.column("bu").to_pylist(), b.column("bv").to_pylist()
+            for p, x in by_width(xs):
+                for q, y in by_width([ys[k] for k in p]):
+                    w = min(x.shape[1], y.shape[1])
+                    far[p[q]] = _ONES[folded(x[q], w) ^ folded(y, w)].sum(1)
             ok = far <= most_apart(b.column("nu").to_numpy().astype(np.int64), b.column("nv").to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(ok)), b.column("v").filter(pa.array(ok))], names=["u", "v"])
 
