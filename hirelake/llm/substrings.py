@@ -182,7 +182,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     v, _ = difference_cover()
     if length < v:
         raise ValueError(f"length must be {v} or more")
-    groups = buckets = 4 * partitions(docs.sparkSession)
+    groups = buckets = partitions(docs.sparkSession)
     texts = docs.select(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("cid"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.mapInArrow(_thin(groups), "g int, cid binary, text string, copies long")
     dealt, marked = "bucket int, g int, names binary", "g int, bucket int, bits binary"
