@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm.common import BLANKS, ascii_lower, partitions
+from hirelake.llm.components import saved
 
 #: Lines in one word of a bitmap.
 WORD_BITS = 64
@@ -46,7 +47,8 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     """(doc_id, th, drops): for each row that loses lines, a map from word index to the bits of the
     lines to drop; a row or a word that isn't there keeps everything."""
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc_nulls_last()]
-    ranged = occurrences(docs, min_chars).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "pos")
+    # Saved, as both the heads and the lost lines come from it.
+    ranged = saved(occurrences(docs, min_chars).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "pos"))
     # The range keeps a (key, document) run in one task, so its first row is found without a shuffle.
     firsts = ranged.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("first_pos"))
     heads = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("head")).where(F.col("n_docs") >= min_docs)
