@@ -46,6 +46,10 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0
 
 
+def _stems(tokens: Column, n: int) -> Column:
+    return F.transform(F.filter(tokens, lambda t: F.length(t) >= n), lambda t: F.substring(t, 1, n))
+
+
 def log_odds(toxic: Column, clean: Column, n_toxic: float, n_clean: float) -> tuple[Column, Column]:
     """(log-odds, z) of a term from its counts in both kinds, under the prior of both together: its share
     of all terms times the prior's strength, and a floor."""
@@ -126,14 +130,24 @@ def _rate(weights: np.ndarray, freq: np.ndarray) -> float:
     return hi
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 100) -> np.ndarray:
+    """Weights of the columns of x and of a constant: Newton's steps on centred and scaled columns, each halved until
+    the penalised likelihood grows."""
+    mid, width = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack([(x - mid) / width, np.ones(len(x))])
+    loss = lambda w: float(np.logaddexp(0, -(2 * y - 1) * (z @ w)).sum() + ridge / 2 * (w @ w))
+    w = np.zeros(z.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w))
-        w += np.clip(np.linalg.solve(h, x.T @ (y - p) - ridge * w), -5, 5)
-    return w
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        h = z.T @ (z * (p * (1 - p))[:, None]) + ridge * np.eye(len(w))
+        step, now = np.linalg.solve(h, z.T @ (y - p) - ridge * w), loss(w)
+        while loss(w + step) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        if np.abs(step).max() <= 1e-9:
+            break
+        w += step
+    slopes = w[:-1] / width
+    return np.append(slopes, w[-1] - slopes @ mid)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Model:
@@ -143,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
     sample = sample.select("toxic", F.coalesce("text", F.lit("")).alias("text"))
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)"), 1))
-    stems = [F.transform(F.filter("tokens", lambda t, n=n: F.length(t) >= n), lambda t, n=n: F.substring(t, 1, n)) for n in STEMS]
+    stems = [_stems(F.col("tokens"), n) for n in STEMS]
     terms = F.array_distinct(F.concat(F.transform("tokens", lambda t: F.concat(F.lit("="), t)), *stems))
     words = sample.select("toxic", tokens.alias("tokens")).select("toxic", F.explode(terms).alias("word"))
     counts = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
