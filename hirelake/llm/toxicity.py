@@ -3,7 +3,8 @@
 Token log-odds between toxic and clean labelled documents, with the words of both as an informative
 Dirichlet prior, score each token; tokens without evidence cost a small amount. A token's terms are the word
 itself and its first 4 to 6 letters, so that stems with many endings count together; the term with the
-most evidence speaks for it, and a document counts once per term. A linear scan (the
+most evidence speaks for it, and a document counts once per term. Of near copies among the labelled
+documents of one kind, one counts, so that a copied text's own words don't pass for evidence. A linear scan (the
 all-maximal-segments algorithm of Ruzzo and Tompa, run over the few tokens with evidence and the gaps
 between them) finds every passage that scores above its surroundings. A passage's score S is calibrated as an
 extreme value, lambda * S - ln(K * n) over n tokens, and a logistic curve over the best passage, the sum of all
@@ -27,11 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.llm import rolling
+from hirelake.llm.jaccard import shingles
+
 TOKEN = r"[^\W\d_]+"
 #: The classifier's bounds: labelled rows, lexicon size.
 MAX_LABELLED, MAX_TERMS = 20_000, 20_000
 PRIOR_STRENGTH, PRIOR_FLOOR, LEAST_Z, GAP = 200.0, 0.5, 3.0, 0.05
 STEMS = (4, 5, 6)
+#: Least hashes that tell near copies in the labelled sample, and the words of a shingle for them.
+LEAST_HASHES, SHINGLE = 8, 3
 
 
 @dataclass
@@ -150,12 +156,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 10
     return np.append(slopes, w[-1] - slopes @ mid)
 
 
+def _least_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    salts = np.arange(1, LEAST_HASHES + 1, dtype=np.uint64) << np.uint64(32)
+    for b in batches:
+        sets = [shingles(t.as_py(), SHINGLE) for t in b.column(1)]
+        found = [[int(rolling.mixed(s ^ k).min() >> np.uint64(1)) for k in salts] if len(s) else [0] * LEAST_HASHES for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "least"])
+
+
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """The bounded labelled sample (doc_id, toxic, text) with one of the documents of a kind that share a least
+    hash: hash after hash, as the first may miss some of them."""
+    kind = dict(sample.dtypes)["doc_id"]
+    keys = sample.select("doc_id", "text").mapInArrow(_least_hashes, f"doc_id {kind}, least array<long>")
+    rows = sorted((r["doc_id"], tuple(r["least"]), r["toxic"]) for r in keys.join(sample.select("doc_id", "toxic"), "doc_id").collect())
+    for k in range(LEAST_HASHES):
+        rows = list({(x[1][k], x[2]): x for x in reversed(rows)}.values())
+    kept = sample.sparkSession.createDataFrame([(x[0],) for x in rows], f"doc_id {kind}")
+    return sample.join(F.broadcast(kept), "doc_id")
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Model:
     """Learns from docs (doc_id, text) that labels (doc_id, toxic) covers, held-out rows left out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(max_labelled)
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
-    sample = sample.select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    sample = _without_copies(sample).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)"), 1))
     stems = [_stems(F.col("tokens"), n) for n in STEMS]
     terms = F.array_distinct(F.concat(F.transform("tokens", lambda t: F.concat(F.lit("="), t)), *stems))
