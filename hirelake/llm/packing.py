@@ -24,7 +24,7 @@ from hirelake.llm.common import partitions
 
 MAX_TOKENS, END_ID = 2048, 1
 #: Words whose ids a worker remembers; it then starts again. Texts that are tokenized together.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 TOGETHER = 256
 
 

@@ -104,7 +104,7 @@ class Scanner:
         if w is None:
             terms = ["=" + token, *(token[:n] for n in STEMS if len(token) >= n)]
             w = max((self.weights[t] for t in terms if t in self.weights), key=lambda x: abs(x[1]), default=(0.0, 0.0))[0]
-            if len(self.known) > 500_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             self.known[token] = w
         return w
