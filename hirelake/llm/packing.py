@@ -24,7 +24,7 @@ from hirelake.llm.common import partitions
 
 MAX_TOKENS, END_ID = 2048, 1
 #: Words whose ids a worker remembers; it then starts again. Texts that are tokenized together.
-REMEMBERED = 800_000
+REMEMBERED = 1_500_000
 TOGETHER = 256
 
 
@@ -38,10 +38,10 @@ class WordTokens:
     """Ids of whole texts, with the ids of words between ASCII white space remembered: the tokenizer
     drops white space, so a text's ids are its words' ids in order."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.remembered = Tokenizer.from_file(path), remembered
         self.forget()
 
     def forget(self) -> None:
@@ -70,7 +70,7 @@ class WordTokens:
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, with the end token."""
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > self.remembered:
             self.forget()
         number = self.number.__getitem__
         words = [list(map(number, (t or "").encode().split())) for t in texts]
@@ -87,14 +87,14 @@ class WordTokens:
         return out
 
 
-_TOKENS: dict[str, WordTokens] = {}
+_TOKENS: dict[tuple[str, int], WordTokens] = {}
 
 
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, remembered: int) -> WordTokens:
     """One per Python worker, so that later tasks know the words of earlier ones."""
-    if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
+    if (path, remembered) not in _TOKENS:
+        _TOKENS[path, remembered] = WordTokens(path, remembered)
+    return _TOKENS[path, remembered]
 
 
 def pieces(n: int, most: int = MAX_TOKENS) -> list[int]:
@@ -102,13 +102,14 @@ def pieces(n: int, most: int = MAX_TOKENS) -> list[int]:
     return [most] * (n // most) + [1 << b for b in range(most.bit_length() - 1, -1, -1) if n % most >> b & 1]
 
 
-def pack(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
-    """One row per piece of docs (doc_id, text); with_ids adds the token ids themselves."""
+def pack(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """One row per piece of docs (doc_id, text); with_ids adds the token ids themselves. A worker
+    keeps the ids of `remembered` words between its tasks, about 0.25 GB a million."""
     path = path or tokenizer_path()
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = word_tokens(path)
+        tok = word_tokens(path, remembered)
         for batch in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), tok.batch(batch.column(1).to_pylist()), strict=True):

@@ -210,8 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 
 def score(docs: DataFrame, model: Model, with_passages: bool = False) -> DataFrame:
     """docs (doc_id, text) with `score`; with_passages adds (score, first, last token) of each
-    significant passage. Columns besides doc_id and text must be in a struct `row`, which is kept."""
-    keep = [c for c in docs.columns if c in ("doc_id", "row")]
+    significant passage. Columns besides doc_id and text must be in a struct `row`, which is kept; without a column
+    text, the row's own is scored."""
+    keep, own = [c for c in docs.columns if c in ("doc_id", "row")], "text" in docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = ", passages array<struct<score:double,first:int,last:int>>" * with_passages
     kinds = dict(docs.select(*keep).dtypes)
@@ -221,7 +222,7 @@ def score(docs: DataFrame, model: Model, with_passages: bool = False) -> DataFra
         m = shared.value
         scan, curve = Scanner(m.weights, m.lam, m.k), np.array(m.curve)
         for b in batches:
-            texts = b.column(len(keep))
+            texts = b.column(len(keep)) if own else b.column(keep.index("row")).field("text")
             x = np.array([scan.features(t.as_py()) for t in texts]).reshape(-1, 3)
             s = 1 / (1 + np.exp(-np.clip(x @ curve[:3] + curve[3], -30, 30)))
             cols = [*b.columns[: len(keep)], pa.array(s)]
@@ -230,4 +231,4 @@ def score(docs: DataFrame, model: Model, with_passages: bool = False) -> DataFra
                 cols.append(pa.array(found, pa.list_(pa.struct([("score", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))))
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "score", *["passages"] * with_passages])
 
-    return docs.select(*keep, "text").mapInArrow(scored, schema)
+    return docs.select(*keep, *["text"] * own).mapInArrow(scored, schema)
