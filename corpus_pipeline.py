@@ -15,10 +15,19 @@ def _row(docs: DataFrame):
     return F.struct(*[docs[c] for c in docs.columns]).alias("row")
 
 
+#: Rows of whole texts that a Python worker holds at once, and words whose ids it keeps between tasks.
+BATCH_ROWS, REMEMBERED = "1000", 300_000
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score is 0.5 or more."""
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(_row(docs), docs["text"]), model).where("score < 0.5").select("row.*")
+    _bound_batches(spark)
+    return toxicity.score(docs.select(_row(docs)), model).where("score < 0.5").select("row.*")
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +40,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by word shingles: five words, similarity 0.8 or more."""
+    _bound_batches(spark)
     return jaccard.keep_one(docs, percent=80, size=5)
 
 
@@ -41,7 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every document into sequences of power-of-two length."""
-    return packing.pack(docs)
+    _bound_batches(spark)
+    return packing.pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [
