@@ -331,9 +331,12 @@ def keep_one(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     """The rows of docs, one for each group of linked documents (the one with the smallest doc_id); texts
     without a word all stay."""
     found = similar(docs, percent, size)
-    kept = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th"))
+    kept = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("k"))
+    # Null ids get a value and a mark: with plain keys one shuffle of the rows serves the join and the repeats.
+    key = lambda d, t: (F.coalesce(d, F.lit(0)).alias("d"), d.isNull().alias("no_id"), t.alias("t"))
+    kept = kept.select(*key(F.col("k.doc_id"), F.col("k.th")))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = docs.select(row, *key(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
     blank = ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one = rows.where(~blank).join(kept, F.col("d").eqNullSafe(F.col("k_id")) & (F.col("t") == F.col("k_th"))).dropDuplicates(["d", "t"])
+    one = rows.where(~blank).join(kept, ["d", "no_id", "t"]).dropDuplicates(["d", "no_id", "t"])
     return one.select("row.*").unionByName(rows.where(blank).select("row.*"))
