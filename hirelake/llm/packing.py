@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from hirelake.llm.common import partitions
 
 MAX_TOKENS, END_ID = 2048, 1
-#: Words whose ids a worker remembers; it then starts again. Texts that are tokenized together.
+#: Words whose ids a worker remembers; it then starts again. Texts, and new words, that are tokenized together.
 REMEMBERED = 1_500_000
-TOGETHER = 256
+TOGETHER, NEW_WORDS = 256, 4096
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -59,13 +59,17 @@ class WordTokens:
 
     def learn(self) -> None:
         """Tokenizes the words met for the first time, and appends their ids."""
-        found = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in self.new], add_special_tokens=False)]
-        at = int(self.first[-1])
-        ends = at + np.cumsum([len(x) for x in found])
-        if ends[-1] > len(self.flat):
-            self.flat = np.concatenate([self.flat[:at], np.empty(int(ends[-1]) * 2 - at, np.uint32)])
-        self.flat[at : ends[-1]] = [i for x in found for i in x]
-        self.first = np.concatenate([self.first, ends])
+        firsts = [self.first]
+        for i in range(0, len(self.new), NEW_WORDS):
+            words = [w.decode() for w in self.new[i : i + NEW_WORDS]]
+            found = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+            at = int(firsts[-1][-1])
+            ends = at + np.cumsum([len(x) for x in found])
+            if ends[-1] > len(self.flat):
+                self.flat = np.concatenate([self.flat[:at], np.empty(int(ends[-1]) * 2 - at, np.uint32)])
+            self.flat[at : ends[-1]] = [i for x in found for i in x]
+            firsts.append(ends)
+        self.first = np.concatenate(firsts)
         self.new.clear()
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
