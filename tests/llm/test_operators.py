@@ -270,3 +270,13 @@ def test_html_choices_agree():
 def test_held_out(spark):
     rows = spark.range(50).select("id", toxicity.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
+
+
+def test_keep_one_ids(spark):
+    """A null id and 0 are different ids; repeated rows and blank texts."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(None, a), (0, b), (0, b), (7, b), (None, " "), (3, None)], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(docs, 80, 5).collect()]
+    assert len(kept) == 4 and set(kept) == {(None, a), (0, b), (None, " "), (3, None)}
+    swapped = jaccard.keep_one(docs.selectExpr("if(doc_id is null, 0, if(doc_id = 0, null, doc_id)) as doc_id", "text").where("trim(text) <> ''"), 80, 5)
+    assert swapped.count() == 2
