@@ -278,8 +278,9 @@ def only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id) for every row of docs (doc_id, text); th is xxhash64 of the
-    text."""
+    """(doc_id, th, n_shingles, component_id, label) for every row of docs (doc_id, text); th is xxhash64 of the
+    text. component_id is a doc_id, so components without ids or with a shared id can have the same one; label, the
+    component's smallest node, tells them apart (null for texts without a word)."""
     spark = docs.sparkSession
     rows, levels = describe(docs, size)
     filled = rows.where("n > 0")
@@ -322,8 +323,8 @@ def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     labels = components(links.unionByName(more))
     named = filled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(smallest, "label").select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0").select("doc_id", "th", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = named.join(smallest, "label").select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "label")
+    alone = rows.where("n = 0").select("doc_id", "th", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
     return out.unionByName(alone)
 
 
@@ -331,7 +332,7 @@ def keep_one(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     """The rows of docs, one for each group of linked documents (the one with the smallest doc_id); texts
     without a word all stay."""
     found = similar(docs, percent, size)
-    kept = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("k"))
+    kept = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("k"))
     # Null ids get a value and a mark: with plain keys one shuffle of the rows serves the join and the repeats.
     key = lambda d, t: (F.coalesce(d, F.lit(0)).alias("d"), d.isNull().alias("no_id"), t.alias("t"))
     kept = kept.select(*key(F.col("k.doc_id"), F.col("k.th")))

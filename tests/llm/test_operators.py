@@ -280,3 +280,20 @@ def test_keep_one_ids(spark):
     assert len(kept) == 4 and set(kept) == {(None, a), (0, b), (None, " "), (3, None)}
     swapped = jaccard.keep_one(docs.selectExpr("if(doc_id is null, 0, if(doc_id = 0, null, doc_id)) as doc_id", "text").where("trim(text) <> ''"), 80, 5)
     assert swapped.count() == 2
+
+
+def test_keep_one_of_unlinked_texts(spark):
+    """Texts that aren't linked all stay, with null ids or one id; linked ones leave one; against plain Python."""
+    t = [" ".join(f"{x}{i}" for i in range(60)) for x in "abcdefg"]
+    data = [(None, t[0]), (None, t[1]), (None, t[2]), (5, t[3]), (5, t[4]), (None, t[2] + " end"), (6, t[5]), (7, t[5] + " end"), (5, t[6]), (8, t[6]), (None, t[0]), (5, t[3])]
+    sets = [{tuple(words(x)[i : i + 5]) for i in range(len(words(x)) - 4)} for _, x in data]
+    label = list(range(len(data)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 100 * len(x & y) >= 80 * len(x | y):
+                label = [label[j] if k == label[i] else k for k in label]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(spark.createDataFrame(data, "doc_id long, text string"), 80, 5).collect()]
+    assert len(set(label)) == 7 and sorted(label[data.index(r)] for r in kept) == sorted(set(label))
+    for doc_id, x in kept:
+        ids = [data[k][0] for k, c in enumerate(label) if c == label[data.index((doc_id, x))]]
+        assert doc_id == (None if None in ids else min(ids))
