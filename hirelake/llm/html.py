@@ -9,8 +9,8 @@ and place as well. Decoding is hierarchical: below a dropped element everything
 all elements of a page together is the best one of that form, so no element contradicts its ancestors.
 
 Cases: null and empty pages give an empty text; unclosed and cut-off markup is closed at the end; a page
-of plain text is content; repeated rows are extracted like any other; an empty table gives an empty
-result. Pages are read whole.
+of plain text is content; a head without an end tag ends where the body's content starts; repeated rows are
+extracted like any other; an empty table gives an empty result. Pages are read whole.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ MAX_PAGES, MAX_NODES = 400, 20_000
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe xmp".split())
 BLOCKS = set("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
+HEAD = set("title meta link base script style noscript template".split())
 NEVER = set("script style noscript template iframe head title svg canvas select button input textarea object".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARAGRAPH_ENDS = BLOCKS - {"body", "html", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "option", "legend", "summary", "figcaption"} | {"p"}
@@ -62,6 +63,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
 
     def text(piece: str) -> None:
         if piece:
+            if nodes[stack[-1]].kind == "head" and piece.strip(" \t\n\r\f"):
+                close("head")
             runs.append((stack[-1], entities.unescape(piece) if "&" in piece else piece))
 
     def close(kind: str, within: set | frozenset = frozenset()) -> None:
@@ -92,6 +95,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             else:
                 close(kind)
             continue
+        # </head> may be left out: a head ends at the first tag or text that can't stand in it. What can is never
+        # left open here, so an open head is the last on the stack.
+        if nodes[stack[-1]].kind == "head" and kind not in HEAD:
+            close("head")
         if kind in PARAGRAPH_ENDS and "p" in (nodes[x].kind for x in stack):
             close("p", {"table", "button", "object"})
         for other in CLOSES.get(kind, ()):

@@ -297,3 +297,14 @@ def test_keep_one_of_unlinked_texts(spark):
     for doc_id, x in kept:
         ids = [data[k][0] for k, c in enumerate(label) if c == label[data.index((doc_id, x))]]
         assert doc_id == (None if None in ids else min(ids))
+
+
+@pytest.mark.parametrize("start", ["<body>", "<body class=x><!-- c -->", "", "\n", "<custom-part>"])
+def test_html_without_head_end(spark, start):
+    closed = PAGE.replace("<body>", start)
+    cut = closed.replace("</head>", "")
+    assert closed.count("</head>") == 1 and [n.kind for n in html.parse(cut)[0]] == [n.kind for n in html.parse(closed)[0]]
+    model = html.fit(spark.createDataFrame([(1, "u", PAGE)], "page_id long, url string, html string"))
+    df = spark.createDataFrame([(1, "u", closed), (2, "u", cut), (3, "u", "<head><title>no</title> plain &lt; text")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df, model).collect()}
+    assert got[2] and got[1] == got[2] and got[3] == "plain < text"
