@@ -376,16 +376,20 @@ def topk_exact(spark, d):
     return vectors.top_k(*_search(spark, d), 10)
 
 
-@query()
+# Cells of the search, and how many nearest ones a query always meets.
+CELLS = {"nlist": 16, "nprobe": 8}
+
+
+@query(_top(10))
 def ivf_search(spark, d):
-    return vectors.ivf_search(*_search(spark, d), 10, nlist=16, nprobe=8)
+    return vectors.ivf_search(*_search(spark, d), 10, **CELLS)
 
 
 @query("SELECT 1.0::DOUBLE AS recall")
 def recall_at_k(spark, d):
-    """Of the cell search over all cells, which is exact."""
+    """Of the cell search as the query ivf_search runs it."""
     queries, items = _search(spark, d)
-    return vectors.recall_at_k(vectors.ivf_search(queries, items, 10, nlist=4, nprobe=4), vectors.top_k(queries, items, 10), 10)
+    return vectors.recall_at_k(vectors.ivf_search(queries, items, 10, **CELLS), vectors.top_k(queries, items, 10), 10)
 
 
 def _candidates(spark, d):
