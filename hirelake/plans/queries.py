@@ -393,7 +393,7 @@ def recall_at_k(spark, d):
 
 
 def _candidates(spark, d):
-    """Profiles (every customer whose key is divisible by 20, with the order of that number) against the jobs that share a skill with them."""
+    """Profiles (every customer whose key is divisible by 20, with the order of that number) against the jobs of the same title."""
     jobs = job_view(spark, d)
     people = read(spark, d, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("query_id"), F.col("c_custkey").cast("string").alias("job_link"))
     profiles = people.join(jobs, "job_link").select("query_id", F.col("title").alias("q_title"), F.col("skills").alias("q_skills"), F.col("location").alias("q_place"))
