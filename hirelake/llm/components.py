@@ -3,18 +3,19 @@ iterative operators cut their lineage with."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir names. A session without one gets a temporary
-    folder, as in tests."""
+    """df, written to the shared folder that spark.checkpoint.dir names; without one it is an error on a cluster, as no
+    machine's own folder outlives the machine. A session that runs in one process may use its warehouse."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        spark.sparkContext.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()
 
 

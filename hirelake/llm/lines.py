@@ -1,9 +1,10 @@
 """Line dedup: lines that many documents share stay in one of them.
 
-Range partitions of the line keys, with a secondary sort by document and position, keep a common
-line's rows spread over many tasks; the first row of each (key, document) run is counted there, and
-only one small row per key and range goes on. What comes back to a document is a sparse bitmap of
-its lines, 64 to a word, never text. All of it is DataFrame expressions.
+Range partitions of the line keys, with a secondary sort by document and position, keep a common line's rows spread
+over many tasks: a key that holds a third of all lines fills a third of the ranges. The first row of each (key,
+document) run is counted inside its range, one small row per key and range goes on, and each key's verdict returns to
+the ranges that hold the key, so no task ever sees more of a key than a range of it. What comes back to a
+document is a sparse bitmap of its lines, 64 to a word, never text. All of it is DataFrame expressions.
 
 Cases: a null or empty text is one empty line. Rows that share a doc_id count as one document for the
 number of documents of a key, yet each row gets its own bitmap. A null doc_id is a document of its
@@ -47,12 +48,15 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     """(doc_id, th, drops): for each row that loses lines, a map from word index to the bits of the
     lines to drop; a row or a word that isn't there keeps everything."""
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc_nulls_last()]
-    # Saved, as both the heads and the lost lines come from it.
-    ranged = saved(occurrences(docs, min_chars).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "pos"))
-    # The range keeps a (key, document) run in one task, so its first row is found without a shuffle.
-    firsts = ranged.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("first_pos"))
-    heads = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("head")).where(F.col("n_docs") >= min_docs)
-    lost = ranged.join(heads, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("head")))
+    # Saved, as both the heads and the lost lines come from it, and a range's number must not change.
+    ranged = occurrences(docs, min_chars).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "pos")
+    ranged = saved(ranged.withColumn("range", F.spark_partition_id()))
+    # A range keeps the whole of a (key, document) run, so its first row and a key's documents are counted without a shuffle.
+    firsts = ranged.groupBy("h1", "h2", "doc_id", "range").agg(F.min("pos").alias("first_pos"))
+    held = saved(firsts.groupBy("h1", "h2", "range").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("head")))
+    heads = held.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("head").alias("head")).where(F.col("n_docs") >= min_docs)
+    told = held.select("h1", "h2", "range").join(heads.select("h1", "h2", "head"), ["h1", "h2"])
+    lost = ranged.join(told, ["h1", "h2", "range"]).where(~F.col("doc_id").eqNullSafe(F.col("head")))
     bit = F.expr(f"shiftleft(1L, cast(pos % {WORD_BITS} as int))")
     words = lost.groupBy("doc_id", "th", F.expr(f"pos div {WORD_BITS}").cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
     return words.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drops"))

@@ -2,14 +2,22 @@
 
 A text's payload (its bytes, padded with zero bytes to a positive multiple of 64) is stored as the
 8-bit samples of a mono WAV file: a 44-byte header, which follows from the length, and the payload cut into
-chunks where a rolling gear hash says so. Chunks are stored once per sha256 digest, compressed, after a
-shuffle by digest that drops copies on the map side already; a payload is the ordered list of its chunk digests.
+chunks of LEAST to MOST bytes where a rolling gear hash says so (about one place in 1 024), so that a passage shared by
+ordinary texts is stored once. Chunks are stored once per digest, compressed, after a shuffle by digest that drops copies
+on the map side already; a payload is the ordered list of its chunk digests.
+
 Reading joins lists and chunks by digest, checks every chunk against its digest, puts the file together again and
-computes from that. A payload of one chunk is whole right at the join, so only long ones move a second time,
-and texts with equal content are put together once.
+computes from that. Chunks that more than a partition's share of all list entries name are at most HOT many, a few MB,
+and are joined by broadcast, so a passage of a third of all texts isn't one task. A payload of one chunk is whole right
+at the join; the others' chunks are ranged by content and put together as they stream by, one content at a time, and
+texts with equal content are put together once.
+
+Short chunks compress badly alone. They share a dictionary, trained on the first DICTIONARY_TEXTS texts (at most
+DICTIONARY_BYTES of each); it changes how many bytes a chunk takes, never what is read back.
 
-Cases: null and empty texts are 64 zero bytes; equal texts share everything; a chunk that doesn't match its
-digest, or one that is missing, is an error; an empty table gives an empty result.
+Cases: null and empty texts are 64 zero bytes; equal texts share everything; a chunk that doesn't match its digest, or
+one that is missing, is an error; null and repeated ids keep their rows; other columns are left out; a text of any length is
+chunked whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm import rolling
+from hirelake.llm.common import partitions
+from hirelake.llm.components import saved
 
-#: Bytes: the least and the most in a chunk; a cut at every 16384th place between.
-LEAST, MOST, MASK = 16_384, 131_072, 0x3FFF << 8
-RATE, LEVEL, PAD = 8_000, 9, 64
+#: Bytes: the least and the most in a chunk; a cut at every 1024th place between.
+LEAST, MOST, MASK = 512, 8_192, 0x3FF << 8
+RATE, LEVEL, PAD, DIGEST = 8_000, 9, 64, 16
+#: The dictionary's size and the bounds of its sample; the most chunks that are joined by broadcast.
+DICTIONARY, DICTIONARY_TEXTS, DICTIONARY_BYTES, HOT = 32_768, 2_000, 4_096, 1_000
 
 
 def payload(text: str | None) -> bytes:
@@ -59,58 +71,71 @@ def feature(samples: np.ndarray) -> str:
 
 
 def content_id(text: Column) -> Column:
-    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, DIGEST)
+
+
+def _digest(part: bytes) -> bytes:
+    return hashlib.blake2b(part, digest_size=DIGEST).digest()
+
+
+def dictionary(contents: DataFrame) -> bytes:
+    """What short chunks share: trained on a bounded sample of contents (cid, text); empty for small tables."""
+    import zstandard
+
+    sample = [payload(r[0]) for r in contents.select(F.substring("text", 1, DICTIONARY_BYTES)).limit(DICTIONARY_TEXTS).collect()]
+    if sum(map(len, sample)) < 16 * DICTIONARY:
+        return b""
+    return zstandard.train_dictionary(DICTIONARY, sample).as_bytes()
 
 
-LISTED = "cid binary, seq int, n int, digest binary"
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+        found = dict(zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        lists = [[_digest(p) for p in chunks(payload(t.as_py()))] for t in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=["cid", "digests"])
 
 
-def _cut(with_bytes: bool):
+def _store(words: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        z = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
+        shared = zstandard.ZstdCompressionDict(words) if words else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)
+        z = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, dict_data=shared)
         for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
-            rows, seen, cut = [], set(), set()
-            for cid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if cid in seen:
-                    continue
-                seen.add(cid)
-                parts = chunks(payload(text))
-                for i, part in enumerate(parts):
-                    digest = hashlib.sha256(part).digest()
-                    if not with_bytes:
-                        rows.append((cid, i, len(parts), digest))
-                    elif digest not in cut:
-                        cut.add(digest)
-                        rows.append((digest, z.compress(part)))
-            cols = list(zip(*rows, strict=True))
-            names, kinds = (["digest", "stored"], [pa.binary()] * 2) if with_bytes else (["cid", "seq", "n", "digest"], [pa.binary(), pa.int32(), pa.int32(), pa.binary()])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols or [()] * len(names), kinds, strict=True)], names=names)
+            found = dict(zip(b.column(0).to_pylist(), b.column(1), strict=True))
+            parts = {_digest(p): p for t in found.values() for p in chunks(payload(t.as_py()))}
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.binary()), pa.array([z.compress(p) for p in parts.values()], pa.binary())], names=["digest", "stored"])
 
     return run
 
 
-def chunk_store(contents: DataFrame) -> DataFrame:
-    """(digest, stored): each distinct chunk of contents (cid, text) once, compressed."""
-    return contents.mapInArrow(_cut(True), "digest binary, stored binary").dropDuplicates(["digest"])
+def chunk_store(contents: DataFrame, words: bytes = b"") -> DataFrame:
+    """(digest, stored): each distinct chunk of contents (cid, text) once, compressed with the dictionary `words`."""
+    return contents.mapInArrow(_store(words), "digest binary, stored binary").dropDuplicates(["digest"])
 
 
 def chunk_lists(contents: DataFrame) -> DataFrame:
-    """(cid, seq, n, digest): the ordered chunk list of each distinct content."""
-    return contents.mapInArrow(_cut(False), LISTED).dropDuplicates(["cid", "seq"])
+    """(cid, digests): the ordered chunk list of each distinct content."""
+    return contents.mapInArrow(_lists, "cid binary, digests array<binary>").dropDuplicates(["cid"])
 
 
 READ = "cid binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _opened(digest: bytes, stored: bytes) -> bytes:
+def _opener(words: bytes):
     import zstandard
 
-    part = zstandard.ZstdDecompressor().decompress(stored)
-    if hashlib.sha256(part).digest() != digest:
-        raise ValueError(f"chunk {digest.hex()} doesn't match its digest")
-    return part
+    z = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None)
+
+    def opened(digest: bytes, stored: bytes) -> bytes:
+        part = z.decompress(stored)
+        if _digest(part) != digest:
+            raise ValueError(f"chunk {digest.hex()} doesn't match its digest")
+        return part
+
+    return opened
 
 
 def _read(cid: bytes, data: bytes) -> tuple:
@@ -124,31 +149,61 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], names=names)
 
 
-def _read_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield _batch([_read(c, _opened(d, s)) for c, d, s in zip(*(b.column(n).to_pylist() for n in ("cid", "digest", "stored")), strict=True)])
+def _read_single(words: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = _opener(words)
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            yield _batch([_read(c, opened(d, s)) for c, d, s in zip(*(b.column(n).to_pylist() for n in ("cid", "digest", "stored")), strict=True)])
+
+    return run
+
 
+def _read_long(words: bytes):
+    """Rows arrive ordered by content and place; one content is held at a time."""
 
-def _read_long(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("seq")
-    got = rows.to_pylist()
-    if [r["seq"] for r in got] != list(range(got[0]["n"])):
-        raise ValueError(f"content {got[0]['cid'].hex()} has lost chunks")
-    return pa.Table.from_batches([_batch([_read(got[0]["cid"], b"".join(_opened(r["digest"], r["stored"]) for r in got))])])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = _opener(words)
+        parts: list[bytes] = []
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            whole = []
+            for cid, seq, n, digest, stored in zip(*(b.column(c).to_pylist() for c in ("cid", "seq", "n", "digest", "stored")), strict=True):
+                if seq != len(parts):
+                    raise ValueError(f"content {cid.hex()} has lost chunks")
+                parts.append(opened(digest, stored))
+                if len(parts) == n:
+                    whole.append(_read(cid, b"".join(parts)))
+                    parts = []
+            yield _batch(whole)
+        if parts:
+            raise ValueError("the last content has lost chunks")
+
+    return run
 
 
-def read_back(lists: DataFrame, store: DataFrame) -> DataFrame:
+def read_back(lists: DataFrame, store: DataFrame, words: bytes = b"") -> DataFrame:
     """One row per content: what its stored bytes say."""
+    spark = lists.sparkSession
+    lists = saved(lists)
+    refs = lists.select("cid", F.size("digests").alias("n"), F.posexplode("digests").alias("seq", "digest"))
+    share = (lists.agg(F.sum(F.size("digests"))).first()[0] or 0) / min(partitions(spark), HOT)
+    hot = [r[0] for r in refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(share, 64)).select("digest").collect()]
     # A list without its chunk must not vanish in the join.
-    found = lists.join(store, "digest", "left").withColumn("stored", F.coalesce("stored", F.raise_error(F.lit("a chunk is missing")).cast("binary")))
-    single = found.where("n = 1").select("cid", "digest", "stored").mapInArrow(_read_single, READ)
-    long = found.where("n > 1").groupBy("cid").applyInArrow(_read_long, READ)
-    return single.unionByName(long)
+    missing = F.coalesce("stored", F.raise_error(F.lit("a chunk is missing")).cast("binary"))
+    if hot:
+        often = F.col("digest").isin([F.lit(bytes(d)) for d in hot])
+        found = refs.where(often).join(F.broadcast(store.where(often)), "digest", "left").unionByName(refs.where(~often).join(store.where(~often), "digest", "left"))
+    else:
+        found = refs.join(store, "digest", "left")
+    found = found.withColumn("stored", missing)
+    single = found.where("n = 1").select("cid", "digest", "stored").mapInArrow(_read_single(words), READ)
+    long = found.where("n > 1").repartition(partitions(spark), "cid").sortWithinPartitions("cid", "seq").select("cid", "seq", "n", "digest", "stored")
+    return single.unionByName(long.mapInArrow(_read_long(words), READ))
 
 
 def media_table(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) stored, read back and described."""
     contents = docs.select(content_id(F.col("text")).alias("cid"), F.col("text").alias("text"))
-    read = read_back(chunk_lists(contents), chunk_store(contents))
+    words = dictionary(contents)
+    read = read_back(chunk_lists(contents), chunk_store(contents, words), words)
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), content_id(F.col("text")).alias("cid"))
     return rows.join(read, "cid").drop("cid")

@@ -1,18 +1,23 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue of its shuffled documents. A document's virtual finish time is the number of
-its source's tokens up to its end, divided by the source's weight, so serving the smallest finish
-times first gives every queue its share at any moment. Ranging all queues by finish time and cutting at the
-total budget is the same as one time V* at which the queues have used the budget up; V* comes from
-the per-source totals alone (one row per source). A source that is smaller than its share is run
-through again, up to `max_epochs` times, and what it then can't give goes to the others.
-
-The running totals are two-level: totals per (source, shuffle chunk), then within one chunk, so a
-source that holds a third of all rows is spread over `chunks` tasks. All of it is DataFrame expressions.
-
-Cases: a null text has size 0 and is never taken; a null source is a source of its own, the last;
-repeated rows are documents of their own; the shuffle depends on nothing but doc_id and text, so reruns
-agree. An empty table gives an empty result.
+Every source is a queue of its shuffled documents, run through up to `max_epochs` times. A queue is served in packets
+of at most `quantum` words (a packet never crosses documents). A packet's virtual finish time is the number of its
+source's words up to its end, divided by the source's weight. All packets are range-sorted by finish time, summed up
+range by range, and the queue is truncated where the running total meets the budget, the size of all documents: what
+finishes by that time is in the mix. A source that is smaller than its share runs out, and what it can't give goes to
+the others, as their packets come next. Only (finish, words) rows are ranged; what a document gets follows from the
+cut alone.
+
+The running totals of a source are two-level: totals per (source, shuffle chunk), then within one chunk, so a
+source that holds a third of all rows is spread over `chunks` tasks. All of it is DataFrame expressions; the driver
+sees one row per step.
+
+`target` is what a source is entitled to, from one row per source; nothing is cut by it.
+
+Cases: a null text has size 0 and is never taken; a null source is a source of its own, the last; repeated rows are
+documents of their own; a text longer than a packet is many packets; the shuffle depends on nothing but doc_id and
+text, so reruns agree; columns besides doc_id, source and text are left out by `mix` and kept, whatever their names,
+by `mixed_rows`. An empty table, or one without a word, gives rows with nothing taken, and no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake.llm.common import partitions, word_count
+from hirelake.llm.components import saved
 
-SEED = "mix-1"
+#: Seed of the shuffle, and words in a packet.
+SEED, QUANTUM = "mix-1", 64
 
 
 def shuffle_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
@@ -30,7 +37,7 @@ def shuffle_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
-    """(source, source_size, weight, target, quota) from rows (source, size). The weights repeat over
+    """(source, source_size, weight, target) from rows (source, size). The weights repeat over
     the sources in code point order, null last. The budget is the size of everything. One row per
     source goes through the two windows here, never one per document.
 
@@ -48,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max
     # The first source, in filling order, that doesn't fill up by its time sets V*.
     per = per.withColumn("v", F.min(F.when(F.col("time") <= F.col("full_at"), F.struct("full_at", "time"))).over(whole)["time"])
     target = F.least(F.col("most").cast("double"), F.col("weight") * F.col("v"))
-    return per.select("source", "source_size", "weight", F.coalesce(target, F.col("most").cast("double")).alias("target")).withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
+    return per.select("source", "source_size", "weight", F.coalesce(target, F.col("most").cast("double")).alias("target"))
 
 
 def queue(docs: DataFrame, chunks: int = 1024) -> DataFrame:
@@ -66,29 +73,71 @@ def queue(docs: DataFrame, chunks: int = 1024) -> DataFrame:
     return joined.select("doc_id", "source", "size", "key", *row, (F.col("chunk_before") + F.col("within")).alias("before"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, chunks: int = 1024) -> DataFrame:
-    """Every document with its source's target and `taken`, the words of it that the mix holds over
-    all epochs; the copy at the cut is taken in part, so a source's words meet its quota exactly.
-    `finish` is the virtual finish time of its first copy."""
-    line = queue(docs, chunks)
-    per = source_targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, max_epochs)
-    per = per.select(F.col("source").alias("p_source"), "source_size", "weight", "target", "quota")
-    rows = line.join(per, line["source"].eqNullSafe(per["p_source"])).drop("p_source")
-    copies = [F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - F.col("source_size") * e - F.col("before"))) for e in range(max_epochs)]
-    taken = copies[0]
-    for c in copies[1:]:
-        taken = taken + c
-    return rows.withColumn("taken", taken.cast("long")).withColumn("finish", (F.col("before") + F.col("size")) / F.col("weight"))
+def packets(line: DataFrame, max_epochs: int, quantum: int) -> DataFrame:
+    """(finish, words) of every packet of every copy of line (size, before, source_size, weight)."""
+    copies = line.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
+    parts = copies.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / quantum))))
+    end = F.least(F.col("size"), (F.col("part") + 1) * quantum)
+    return parts.select(_finish(F.col("epoch"), end).alias("finish"), (end - F.col("part") * quantum).alias("words"))
 
 
-def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, chunks: int = 1024) -> DataFrame:
+def _finish(epoch: Column, end: Column) -> Column:
+    """When the first `end` words of a row's copy are served."""
+    return (F.col("source_size") * epoch + F.col("before") + end) / F.col("weight")
+
+
+def cut_time(served: DataFrame, budget: int) -> float | None:
+    """The finish time at which the running total of served (finish, words) meets the budget: ranges in order,
+    then the packets of the one range that holds the cut. None without a packet."""
+    ranged = saved(served.repartitionByRange(partitions(served.sparkSession), "finish").withColumn("range", F.spark_partition_id()))
+    line = lambda column: Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = ranged.groupBy("range").agg(F.sum("words").alias("words")).withColumn("upto", F.sum("words").over(line("range")))
+    here = totals.where(F.col("upto") >= budget).orderBy("range").first()
+    if here is None:
+        return None
+    inside = ranged.where(F.col("range") == here["range"]).groupBy("finish").agg(F.sum("words").alias("words"))
+    inside = inside.withColumn("upto", F.sum("words").over(line("finish")) + (here["upto"] - here["words"]))
+    return inside.where(F.col("upto") >= budget).agg(F.min("finish")).first()[0]
+
+
+def _line(docs: DataFrame, weights: tuple[float, ...], max_epochs: int, chunks: int, quantum: int) -> tuple[DataFrame, DataFrame, float | None]:
+    """(every document's place in its queue, the sources' sizes, weights and targets, the time of the cut)."""
+    line = saved(queue(docs.select("doc_id", "source", "text"), chunks))
+    per = saved(source_targets(line, weights, max_epochs))
+    budget = per.agg(F.sum("source_size")).first()[0]
+    return line, per, cut_time(packets(_placed(line, per), max_epochs, quantum), budget) if budget else None
+
+
+def _placed(line: DataFrame, per: DataFrame) -> DataFrame:
+    per = per.withColumnRenamed("source", "p_source")
+    return line.join(per, line["source"].eqNullSafe(per["p_source"])).drop("p_source")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, chunks: int = 1024, quantum: int = QUANTUM) -> DataFrame:
+    """Every document with its source's target and `taken`, the words of it that the mix holds over all epochs: its
+    packets that finish by the cut. `finish` is the virtual finish time of its first copy."""
+    line, per, cut = _line(docs, weights, max_epochs, chunks, quantum)
+    size, taken = F.col("size"), F.lit(0).cast("long")
+    parts = F.floor((size - 1) / quantum)
+
+    def served(epoch: Column) -> Column:
+        # Only the copy in service at the cut counts its packets.
+        some = F.size(F.filter(F.sequence(F.lit(1).cast("long"), parts), lambda k: _finish(epoch, k * quantum) <= cut)) * quantum
+        return F.when(_finish(epoch, size) <= cut, size).when((parts < 1) | (_finish(epoch, F.lit(quantum)) > cut), 0).otherwise(some)
+
+    for e in range(max_epochs if cut is not None else 0):
+        taken = taken + served(F.lit(e))
+    return _placed(line, per).withColumn("taken", taken.cast("long")).withColumn("finish", _finish(F.lit(0), size))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, chunks: int = 1024, quantum: int = QUANTUM) -> DataFrame:
     """The mix itself: the rows of docs, each as often as the mix takes it, ranged over the partitions by the
-    virtual finish times of the copies. Rows stay whole: the copy at a source's cut stays if half of it
-    is within the quota."""
+    virtual finish times of the copies. Rows stay whole: the copy in service at the cut stays if half of it is served
+    by then."""
+    _, per, cut = _line(docs, weights, max_epochs, chunks, quantum)
     kept = docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    mixed = mix(kept, weights, max_epochs, chunks).where(F.col("taken") > 0)
-    n = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    copies = mixed.where(n > 0).select("row", "key", "size", "before", "source_size", "weight", F.explode(F.sequence(F.lit(0), n - 1)).alias("epoch"))
-    finish = (F.col("source_size") * F.col("epoch") + F.col("before") + F.col("size")) / F.col("weight")
-    ordered = copies.withColumn("finish", finish).repartitionByRange(partitions(docs.sparkSession), "finish", "key").sortWithinPartitions("finish", "key")
+    half = _finish(F.col("epoch"), F.col("size") / 2)
+    copies = _placed(queue(kept, chunks), per).where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
+    copies = copies.where(half <= (cut if cut is not None else -1.0)).withColumn("finish", _finish(F.col("epoch"), F.col("size")))
+    ordered = copies.select("row", "key", "finish").repartitionByRange(partitions(docs.sparkSession), "finish", "key").sortWithinPartitions("finish", "key")
     return ordered.select("row.*")

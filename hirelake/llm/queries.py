@@ -32,14 +32,18 @@ f AS (SELECT *, source_size * 3 AS most, (source_size * 3) / weight AS full_at F
 t AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER p, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0.0)) AS time
       FROM f WINDOW p AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT arg_min(time, full_at) AS v FROM t WHERE time <= full_at),
-g AS (SELECT source, source_size, coalesce(least(CAST(most AS DOUBLE), weight * v.v), CAST(most AS DOUBLE)) AS target FROM t LEFT JOIN v ON true),
-q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM g),
-b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY CAST('0x' || substr(key, 1, 8) AS BIGINT) % 1024, key, size
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(greatest(0, least(size, quota - before)) + greatest(0, least(size, quota - source_size - before))
-            + greatest(0, least(size, quota - 2 * source_size - before)) AS BIGINT) AS taken
-FROM b JOIN q ON b.source IS NOT DISTINCT FROM q.source"""
+g AS (SELECT source, source_size, weight, coalesce(least(CAST(most AS DOUBLE), weight * v.v), CAST(most AS DOUBLE)) AS target FROM t LEFT JOIN v ON true),
+b AS (SELECT *, row_number() OVER () AS r, coalesce(sum(size) OVER (PARTITION BY source ORDER BY CAST('0x' || substr(key, 1, 8) AS BIGINT) % 1024, key, size
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+l AS (SELECT r, doc_id, size, source_size, target, before, weight FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source),
+e AS (SELECT *, unnest([0, 1, 2]) AS epoch FROM l WHERE size > 0),
+p AS (SELECT *, unnest(range((size + 63) // 64)) AS part FROM e),
+k AS (SELECT r, (source_size * epoch + before + least(size, (part + 1) * 64)) / weight AS finish, least(size, (part + 1) * 64) - part * 64 AS words FROM p),
+u AS (SELECT finish, sum(words) OVER (ORDER BY finish RANGE UNBOUNDED PRECEDING) AS upto FROM k),
+c AS (SELECT min(finish) AS cut FROM u WHERE upto >= (SELECT sum(size) FROM d)),
+n AS (SELECT r, sum(words) AS taken FROM k, c WHERE finish <= cut GROUP BY r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM l LEFT JOIN n USING (r)"""
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

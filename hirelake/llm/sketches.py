@@ -7,11 +7,17 @@ Subtracting two sketches leaves the pieces that differ, and peeling cells that h
 them. When that fails, both texts are sketched again with four times the cells. The likeness is the
 Jaccard index of the two multisets of pieces.
 
-The fingerprint string is the smallest sketch, so equal texts have equal fingerprints. To meet its
-neighbour, every text moves once, by range of doc_id; only the two ends of each range are looked at again.
+The fingerprint string is the smallest sketch, of CELLS cells, which depends on its text alone, so equal texts have equal
+fingerprints. It decodes differences of about 16 pieces; `edited_cells` and `next_cells` tell the size that decoded.
+Where that is CELLS, the two fingerprints alone give the likeness (`likeness_of`); where it is more, they can tell that
+the texts differ but not by how much, and larger sketches of the texts, `strings` of that many cells, are needed.
 
-Cases: a null text is empty; two empty texts are alike (1.0), a single row is its own neighbour; repeated
-ids are ordered by text; null ids come last; an empty table gives an empty result.
+To meet its neighbour, every text moves once, by range of (doc_id, hash), so rows without an id or with one repeated
+id spread too; only the two ends of each range are looked at again.
+
+Cases: a null text is empty; two empty texts are alike (1.0), a single row is its own neighbour; rows of one id and
+those without are ordered by their text's hash; null ids come last; other columns are left out; texts of any length
+are sketched whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -105,31 +111,51 @@ class Sketches:
         return whole, *parts
 
 
-def differing(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
-    """How many pieces differ between each a[i] and b[i]; failures are tried again, four times larger."""
-    out, rest, m = np.zeros(len(a), np.int64), np.arange(len(a)), cells
+def read_string(fingerprint: str) -> Sketches:
+    """The sketch of a fingerprint string."""
+    raw = np.frombuffer(base64.b64decode(fingerprint), np.uint8)
+    out = object.__new__(Sketches)
+    m = out.m = len(raw) // 16
+    out.count, out.key, out.check = raw[: 4 * m].view("<i4").copy(), raw[4 * m : 12 * m].view("<u8").copy(), raw[12 * m :].view("<u4").copy()
+    return out
+
+
+def likeness_of(a: str, b: str) -> float | None:
+    """The likeness of two texts from their fingerprints of one size; None if they are too small to tell."""
+    x, y = read_string(a), read_string(b)
+    both = int(x.count.sum() + y.count.sum()) // HASHES
+    whole, doc, _, _ = x.minus(y).peel()
+    return None if not whole[0] else (both - len(doc)) / (both + len(doc)) if both else 1.0
+
+
+def differing(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """(how many pieces differ between each a[i] and b[i], the cells that told it); failures are tried again, four
+    times larger."""
+    out, used, rest, m = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.arange(len(a)), cells
     while len(rest):
         x, y = [a[i] for i in rest], [b[i] for i in rest]
         whole, doc, _, _ = Sketches(x, m).minus(Sketches(y, m)).peel()
-        out[rest] = np.bincount(doc, minlength=len(rest))
+        out[rest], used[rest] = np.bincount(doc, minlength=len(rest)), m
         rest, m = rest[~whole], m * 4
-    return out
+    return out, used
 
 
-def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> list[float]:
+def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[float], list[int]]:
+    """The Jaccard index of the pieces of each a[i] and b[i], and the cells that told it."""
     both = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], float)
-    d = differing(a, b)
-    return np.where(both > 0, (both - d) / np.maximum(both + d, 1), 1.0).tolist()
+    d, used = differing(a, b)
+    return np.where(both > 0, (both - d) / np.maximum(both + d, 1), 1.0).tolist(), used.tolist()
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_cells long, next_cells long"
 
 
 def _rows(ids: list, texts: list[str], following: list[str], own: list[np.ndarray], after: list[np.ndarray]) -> pa.RecordBatch:
     edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, following, strict=True)]
     changed = [digests(t) for t in edited]
-    cols = [ids, [len(t) for t in texts], [hashlib.sha256(t.encode()).hexdigest() for t in edited], Sketches(own, CELLS).strings(), Sketches(changed, CELLS).strings(), likeness(own, changed), likeness(own, after)]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    (near, near_cells), (far, far_cells) = likeness(own, changed), likeness(own, after)
+    cols = [ids, [len(t) for t in texts], [hashlib.sha256(t.encode()).hexdigest() for t in edited], Sketches(own, CELLS).strings(), Sketches(changed, CELLS).strings(), near, far, near_cells, far_cells]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
@@ -156,11 +182,12 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The contract's columns for docs (doc_id, text), each against the next by descending doc_id; the
     last one's next is the first."""
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    ranged = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").desc_nulls_last())
+    order = [F.col(c).desc_nulls_last() for c in ("doc_id", "th", "text")]
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    ranged = rows.repartitionByRange(partitions(docs.sparkSession), *order[:2])
     inside = ranged.sortWithinPartitions(*order).mapInArrow(_inside, SCHEMA)
-    whole = F.struct("doc_id", "text")
+    whole = F.struct("doc_id", "th", "text")
     edges = ranged.groupBy(F.spark_partition_id().alias("pid")).agg(F.max(whole).alias("head"), F.min(whole).alias("tail"))
     # One row per range from here on.
     line = Window.orderBy("pid")
