@@ -42,3 +42,13 @@ def identity(text: Column) -> Column:
     """128 bits that tell texts apart, as two longs in a struct."""
     t = F.coalesce(text, F.lit(""))
     return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(7), t).alias("b"))
+
+
+def join_spread(rows: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with small (key, members, ...), which has one row per key and tells how many of the `total` rows have
+    it. Keys of more than a partition's share, at most as many as there are partitions, are broadcast, so a key
+    with a third of all rows doesn't go to one task; the others meet by key."""
+    share = max(total // partitions(rows.sparkSession), 1)
+    hot = F.broadcast(small.where(F.col("members") > share).drop("members"))
+    cold = small.where(F.col("members") <= share).drop("members")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

@@ -2,10 +2,12 @@
 
 A document is the set of its distinct word shingles (64-bit hashes); documents with equal sets are one node.
 Under any global order of the shingles, two sets with Jaccard similarity of t or more share one of each other's
-first |x| - ceil(t |x|) + 1, their prefixes. The first order puts shingles of crowded counting buckets last; its
-prefixes are joined, and what else a pair must meet is tried from cheap to dear: sizes, the parity bitmaps of both
-sets (their distance is at most the sets' symmetric difference), then, with both texts at hand, shared
-prefixes under the other orders, and the exact overlap at last. No filter loses a link.
+first |x| - ceil(t |x|) + 1, their prefixes. There are ORDERS of them, each a permutation of its own that puts shingles
+of crowded counting buckets last. The first order's prefixes are joined, which gives candidates; a candidate stays
+only if it passes the filters of all orders, which travel with the nodes as short hashes: sizes, the parity bitmaps of
+both sets (their distance is at most the sets' symmetric difference), and a shared prefix shingle under every
+other order. Only then do texts move, a centre's once for up to PAIRS others, and the exact overlap decides. No filter
+loses a link.
 
 Groups stay small in four steps: (1) only shingles in two nodes or more go on; (2) each shingle's nodes are
 compared with its most connected one, and the links found are joined into components; (3) what is left of a
@@ -15,7 +17,8 @@ sets; two different sets get one id with probability n^2 / 2^65.
 
 Cases: a text with fewer words than a shingle is one shingle; null, empty and blank texts have none, link
 with nothing and are their own component; copies, repeated rows and repeated ids share a node; a null
-doc_id never names a component that has another id; an empty table gives an empty result.
+doc_id never names a component that has another id; texts of any length count whole; columns besides doc_id and text
+are left out by `similar` and kept, whatever their names, by `keep_one`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm import rolling
-from hirelake.llm.common import partitions
+from hirelake.llm.common import join_spread, partitions
 from hirelake.llm.components import components, saved
 
 U = np.uint64
-#: Counting buckets of the first order, least bits of a parity bitmap, orders in all, shingles in a block.
-BUCKET_BITS, BITMAP, ORDERS, BLOCK_TOKENS = 16, 1024, 3, 1 << 21
+#: Counting buckets of the orders, least bits of a parity bitmap, orders in all, shingles in a block, pairs per centre's text.
+BUCKET_BITS, BITMAP, ORDERS, BLOCK_TOKENS, PAIRS = 16, 1024, 3, 1 << 21, 1024
+#: From so many prefix shingles on, their hashes have 32 bits instead of 16.
+WIDE = 256
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 _MULTIPLIERS = np.random.default_rng(4).integers(1, 2**63, 16, dtype=U) | U(1)
@@ -97,6 +102,11 @@ def most_apart(a, b, percent: int):
     return (100 - percent) * (a + b) // (100 + percent)
 
 
+def node_of(sh: np.ndarray) -> int:
+    """A set's own id: 64 bits of a hash of all its shingles."""
+    return int.from_bytes(hashlib.blake2b(sh.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
@@ -113,7 +123,7 @@ def _describe(size: int):
                 sh = shingles(text.as_py(), size)
                 counts += np.bincount((sh >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
                 ns.append(len(sh))
-                nodes.append(int.from_bytes(hashlib.blake2b(sh.tobytes(), digest_size=8).digest(), "little", signed=True))
+                nodes.append(node_of(sh))
                 bits.append(bitmap(sh))
             cols = [b.column(0), b.column(1), ns, nodes, bits, [None] * len(ns), [None] * len(ns)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
@@ -138,38 +148,54 @@ def describe(docs: DataFrame, size: int = 4) -> tuple[DataFrame, np.ndarray]:
     return both.where("bucket is null").drop("bucket", "cnt"), np.clip(over, 0, 255).astype(U)
 
 
-def _entries(size: int, percent: int, levels: np.ndarray):
+def short_hashes(tokens: np.ndarray) -> bytes:
+    """The prefix of a set under one order, as sorted short hashes."""
+    kind = np.uint32 if len(tokens) >= WIDE else np.uint16
+    return bytes([np.dtype(kind).itemsize]) + np.unique((tokens >> U(8)).astype(kind)).tobytes()
+
+
+def share(a: bytes, b: bytes) -> bool:
+    """Whether two prefixes may share a shingle: true whenever they do."""
+    x, y = (np.frombuffer(h, np.uint32 if h[0] == 4 else np.uint16, offset=1) for h in (a, b))
+    if x.dtype != y.dtype:
+        x, y = (np.unique(h.astype(np.uint16)) for h in (x, y))
+    return len(np.intersect1d(x, y, assume_unique=True)) > 0
+
+
+OTHERS = [f"p{k}" for k in range(1, ORDERS)]
+FILTERS = "node long, tokens array<long>, " + ", ".join(f"{p} binary" for p in OTHERS)
+
+
+def _filters(size: int, percent: int, levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, nodes = [np.empty(0, U)], []
+            found: dict[int, tuple] = {}
             for text in b.column(0):
                 sh = shingles(text.as_py(), size)
-                if len(sh):
-                    found.append(prefix(sh, 0, percent, levels))
-                    nodes.append((int.from_bytes(hashlib.blake2b(sh.tobytes(), digest_size=8).digest(), "little", signed=True), len(found[-1])))
-            node = np.repeat(np.array([x for x, _ in nodes], np.int64), [x for _, x in nodes])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(node)], names=["token", "node"])
+                if len(sh) and (node := node_of(sh)) not in found:
+                    found[node] = (prefix(sh, 0, percent, levels).view(np.int64), *(short_hashes(prefix(sh, k, percent, levels)) for k in range(1, ORDERS)))
+            cols = list(zip(*found.values(), strict=True)) or [()] * ORDERS
+            kinds = [pa.list_(pa.int64())] + [pa.binary()] * len(OTHERS)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["node", "tokens", *OTHERS])
 
     return run
 
 
-def _verified(size: int, percent: int, levels: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None, None)
-
-        def sets(text):
-            sh = shingles(text, size)
-            return sh, [prefix(sh, k, percent, levels) for k in range(1, ORDERS)]
+def _verified(size: int, percent: int):
+    """Rows arrive ordered by (v, part, side): a centre's text, then the texts to hold against it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, held = None, np.empty(0, U)
         for b in batches:
             us, vs = [], []
-            for u, v, tu, tv in zip(*(b.column(n) for n in ("u", "v", "tu", "tv")), strict=True):
-                if last[0] != v.as_py():
-                    last = (v.as_py(), *sets(tv.as_py()))
-                x, px = sets(tu.as_py())
-                if all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(px, last[2], strict=True)) and linked(x, last[1], percent):
-                    us.append(u.as_py())
-                    vs.append(v.as_py())
+            for v, side, node, text in zip(*(b.column(n).to_pylist() for n in ("v", "side", "node")), b.column("text"), strict=True):
+                if not side:
+                    centre, held = v, shingles(text.as_py(), size)
+                elif v != centre:
+                    raise ValueError(f"the text of node {v} is missing")
+                elif linked(shingles(text.as_py(), size), held, percent):
+                    us.append(node)
+                    vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
@@ -236,7 +262,7 @@ def _block_pairs(percent: int):
 
 
 def _passing(percent: int):
-    """Pairs whose bitmaps are near enough for a link."""
+    """Pairs that pass the filters of every order: their bitmaps are near enough for a link, and so are their prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,6 +274,8 @@ def _passing(percent: int):
                     w = min(x.shape[1], y.shape[1])
                     far[p[q]] = _ONES[folded(x[q], w) ^ folded(y, w)].sum(1)
             ok = far <= most_apart(b.column("nu").to_numpy().astype(np.int64), b.column("nv").to_numpy(), percent)
+            for i in np.flatnonzero(ok):
+                ok[i] = all(share(b.column(f"{p}u")[i].as_py(), b.column(f"{p}v")[i].as_py()) for p in OTHERS)
             yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(ok)), b.column("v").filter(pa.array(ok))], names=["u", "v"])
 
     return run
@@ -284,28 +312,38 @@ def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     spark = docs.sparkSession
     rows, levels = describe(docs, size)
     filled = rows.where("n > 0")
-    nodes = filled.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    entries = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(_entries(size, percent, levels), "token long, node long")
+    filters = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(_filters(size, percent, levels), FILTERS).dropDuplicates(["node"])
+    nodes = filled.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("members"))
+    nodes = saved(nodes.join(filters, "node"))
+    entries = nodes.select(F.explode("tokens").alias("token"), "node")
     shared = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
-    shared = saved(entries.join(shared, "token").distinct())
+    shared = saved(entries.join(shared, "token"))
     many = shared.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     pop = shared.join(many, "token").groupBy("node").agg(F.sum("df").alias("pop")).join(nodes.select("node", "n"), "node")
     known = shared.join(pop, "node").withColumn("rank", F.col("pop") / F.col("n"))
     centres = known.groupBy("token").agg(F.max(F.struct("rank", "node", "n")).alias("c"))
     near = (100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n"))) & (F.col("node") != F.col("c.node"))
     pairs = known.join(centres, "token").where(near).select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v")).distinct()
-    sides = [nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"b{s}")) for s in "uv"]
-    stars = saved(pairs.join(sides[0], "u").join(sides[1], "v").mapInArrow(_passing(percent), "u long, v long"))
+    sides = [nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"b{s}"), *(F.col(p).alias(p + s) for p in OTHERS)) for s in "uv"]
+
+    def passing(found: DataFrame) -> DataFrame:
+        return saved(found.join(sides[0], "u").join(sides[1], "v").mapInArrow(_passing(percent), "u long, v long"))
 
+    stars = passing(pairs)
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
 
     def verify(found: DataFrame) -> DataFrame:
-        """The pairs that link. Texts of nodes in pairs alone go through the shuffle by node."""
+        """The pairs that link. Texts of nodes in pairs alone go through the shuffle by node; then each u's text, and v's
+        once for PAIRS of them, meet by v and part."""
         used = found.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
         used = saved(used)
         held = only(texts, used.select(F.col("rep.th").alias("t"))).join(used, F.col("d").eqNullSafe(F.col("rep.doc_id")) & (F.col("t") == F.col("rep.th"))).select("node", "text").dropDuplicates(["node"])
-        two = found.join(held.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(held.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
-        return saved(two.select("u", "v", "tu", "tv").mapInArrow(_verified(size, percent, levels), "u long, v long"))
+        parts = found.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("parts"))
+        dealt = found.join(parts, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("part"))
+        centres = dealt.select("v", "part").distinct().join(held, F.col("v") == F.col("node")).select("v", "part", F.lit(0).alias("side"), "node", "text")
+        others = dealt.join(held, F.col("u") == F.col("node")).select("v", "part", F.lit(1).alias("side"), "node", "text")
+        ordered = centres.unionByName(others).repartition(partitions(spark), "v", "part").sortWithinPartitions("v", "part", "side")
+        return saved(ordered.mapInArrow(_verified(size, percent), "u long, v long"))
 
     links = verify(stars)
     labels = components(links)
@@ -319,11 +357,13 @@ def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "bits")
     ordered = dealt.repartition(partitions(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j")
     left = ordered.mapInArrow(_block_pairs(percent), "u long, v long").distinct().join(stars, ["u", "v"], "left_anti")
-    more = verify(saved(left))
+    more = verify(passing(left))
     labels = components(links.unionByName(more))
-    named = filled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(smallest, "label").select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "label")
+    total = nodes.agg(F.sum("members")).first()[0] or 0
+    placed = nodes.select("node", "members").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "members")
+    named = saved(join_spread(filled.select("doc_id", "th", "n", "node"), placed, "node", total).drop("node"))
+    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    out = join_spread(named, smallest, "label", total).select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "label")
     alone = rows.where("n = 0").select("doc_id", "th", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
     return out.unionByName(alone)
 
