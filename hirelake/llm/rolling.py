@@ -9,7 +9,7 @@ import numpy as np
 GEAR = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 GEAR32 = (GEAR >> np.uint64(29)).astype(np.uint32)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
+_BASES = (_BASE, 0xC2B2AE3D27D4EB4F | 1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -31,16 +31,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """len+1 running sums of GEAR[byte] * base**position."""
+def prefix(data: np.ndarray, base: int = 0) -> np.ndarray:
+    """len+1 running sums of GEAR[byte] * base**position, for one of two bases."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(GEAR[data] * powers(_BASE, len(data)), out=out[1:])
+    np.cumsum(GEAR[data] * powers(_BASES[base], len(data)), out=out[1:])
     return out
 
 
-def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
     """The hash of each data[start:end], wherever it stands; lengths count too."""
-    h = (sums[ends] - sums[starts]) * powers(_INVERSE, len(sums))[starts]
+    h = (sums[ends] - sums[starts]) * powers(pow(_BASES[base], -1, 2**64), len(sums))[starts]
     return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -4,19 +4,26 @@ Equal suffixes of up to `length` bytes are found block by block, without ever ho
 
 1. Equal texts become one row with a count (before their shuffle); every byte of a text that comes twice and is long
    enough is repeated.
-2. Of each remaining text, the positions of a difference cover modulo V get names (hashes) of the length - V + 1
-   bytes that follow. For two places p and q of one string there is a shift below V that takes both to positions of
-   the cover, so a string can only be repeated if a cover position in its first V bytes has a repeated name. Names
-   are dealt into buckets, and one bucket at a time is sorted.
+2. Of each remaining text, the positions of a difference cover modulo V get names of the length - V + 1 bytes that
+   follow. For two places p and q of one string there is a shift below V that takes both to positions of the cover, so
+   a string can only be repeated if a cover position in its first V bytes has a repeated name. Names are dealt into
+   buckets, and one bucket at a time is sorted.
 3. Positions before a repeated cover position get the name of all `length` bytes; these, too, are dealt into buckets
    and sorted one bucket at a time, which tells the repeated ones.
 
-Names travel as packed arrays per (text group, bucket), in an order that both sides know, and what comes back is a
-bitmap. A task holds one bucket or one group of texts. Names have 64 bits: n suffixes make a wrong match with
-probability n^2 / 2^65.
+A name stands for a rank: it is a 64-bit hash in a bucket that a second, independent hash chooses, so n suffixes in b
+buckets make a wrong match with probability n^2 / (2^65 b). Ranks themselves would need the order of two suffixes at the
+shift that takes both to the cover, which differs from pair to pair, so the text behind a suffix would have to travel with
+it: 307 bytes for each candidate. Names need 8.
+
+Groups of texts and buckets of names are as many as the bytes ask for (TASK_BYTES of text each), never fewer than the
+session's partitions. A task holds one of them at a time, whatever the input; names travel as packed arrays per (group, bucket),
+each once per group, so a passage of a third of all texts is one name per group in its bucket, and what comes back is a
+bitmap. With very many groups and buckets the arrays get short, down to a row per name.
 
 Cases: null and empty texts have nothing to remove; overlapping matches count, also within one text; repeated
-rows are documents of their own; null ids are kept; an empty table gives an empty result.
+rows are documents of their own; null ids are kept; a text longer than TASK_BYTES is a group's only large one; columns besides
+doc_id and text are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +41,8 @@ from hirelake.llm import rolling
 from hirelake.llm.common import partitions
 
 U = np.uint64
-LENGTH, FIELD = 400, 17
+#: TASK_BYTES: of whole texts in a group.
+LENGTH, FIELD, TASK_BYTES = 400, 17, 16 << 20
 
 
 @cache
@@ -100,18 +108,39 @@ def _group(rows: pa.Table) -> list[tuple[bytes, np.ndarray, int]]:
     return [(c, x[0], x[1]) for c, x in sorted(found.items())]
 
 
-def _deal(g: int, names: np.ndarray, buckets: int, kind) -> pa.Table:
-    """Rows (bucket, g, names): the names of a group by bucket, each in order."""
-    bucket = (names % U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    used = np.flatnonzero(cut[1:] > cut[:-1])
-    short = (names // U(buckets)).astype(kind)[order]
-    return pa.table({"bucket": pa.array(used, pa.int32()), "g": pa.array([g] * len(used), pa.int32()), "names": pa.array([short[cut[i] : cut[i + 1]].tobytes() for i in used], pa.binary())})
+class Names:
+    """A group's names: 64-bit hashes, each once, in order of (bucket, hash); the bucket comes from a second hash."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]], buckets: int):
+        none = np.empty(0, U)
+        first, second = (np.concatenate([none, *x]) for x in (zip(*parts, strict=True) if parts else ([], [])))
+        order = np.argsort(first)
+        own = np.concatenate([[True], first[order][1:] != first[order][:-1]])[: len(first)]
+        self.place = np.empty(len(first), np.int64)
+        self.place[order] = np.cumsum(own) - 1
+        self.many = np.bincount(self.place, minlength=int(own.sum())) > 1
+        self.hash, bucket = first[order][own], (second[order][own] % U(buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.used, start = np.unique(bucket[self.order], return_index=True)
+        self.cut = np.append(start, len(bucket))
+
+    def dealt(self, g: int, kind) -> pa.Table:
+        """Rows (bucket, g, names); short kinds keep the upper bits."""
+        short = (self.hash[self.order] >> U(64 - 8 * np.dtype(kind).itemsize)).astype(kind)
+        packed = [short[a:z].tobytes() for a, z in zip(self.cut[:-1], self.cut[1:], strict=True)]
+        return pa.table({"bucket": pa.array(self.used, pa.int32()), "g": pa.array([g] * len(self.used), pa.int32()), "names": pa.array(packed, pa.binary())})
+
+    def returned(self, marks: pa.Table) -> np.ndarray:
+        """Which of the group's places have a repeated name: within the group, or by the bitmaps that came back."""
+        hit = self.many.copy()
+        for i, bits in zip(np.searchsorted(self.used, marks["bucket"].to_numpy()), marks["bits"], strict=True):
+            at = self.order[self.cut[i] : self.cut[i + 1]]
+            hit[at] |= np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(at)).astype(bool)
+        return hit[self.place]
 
 
 def _marks(kind):
-    """One bucket: which of its names come more than once, as a bitmap per group."""
+    """One bucket: which of its names come more than once, as a bitmap per group that has any."""
 
     def run(rows: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x.as_py(), kind) for x in rows["names"]]
@@ -122,40 +151,28 @@ def _marks(kind):
         hit[order[1:][twin]] = True
         hit[order[:-1][twin]] = True
         ends = np.cumsum([len(p) for p in parts])
-        bits = [np.packbits(hit[e - len(p) : e]).tobytes() for p, e in zip(parts, ends, strict=True)]
-        return pa.table({"g": rows["g"].cast(pa.int32()), "bucket": rows["bucket"].cast(pa.int32()), "bits": pa.array(bits, pa.binary())})
+        found = [(i, hit[e - len(p) : e]) for i, (p, e) in enumerate(zip(parts, ends, strict=True)) if hit[e - len(p) : e].any()]
+        at = pa.array([i for i, _ in found], pa.int64())
+        return pa.table({"g": rows["g"].cast(pa.int32()).take(at), "bucket": rows["bucket"].cast(pa.int32()).take(at), "bits": pa.array([np.packbits(h).tobytes() for _, h in found], pa.binary())})
 
     return run
 
 
-def _returned(names: np.ndarray, marks: pa.Table, buckets: int) -> np.ndarray:
-    """Which of a group's names are repeated, from the bitmaps that came back."""
-    bucket = (names % U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    hit = np.zeros(len(names), bool)
-    for b, bits in zip(marks["bucket"].to_pylist(), marks["bits"], strict=True):
-        at = order[cut[b] : cut[b + 1]]
-        hit[at] = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(at)).astype(bool)
-    return hit
+def _hashes(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(rolling.spans(rolling.prefix(data, k), at, at + size, k) for k in (0, 1))
 
 
-def _cover_names(group: list, length: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _cover_names(group: list, length: int, buckets: int) -> tuple[Names, list[np.ndarray]]:
     """Names of the cover positions of a group's texts, and their positions by text."""
     v, _ = difference_cover()
-    names, where = [np.empty(0, U)], []
-    for _, data, _ in group:
-        at = cover_positions(len(data), length) if len(data) >= length else np.empty(0, np.int64)
-        where.append(at)
-        if len(at):
-            names.append(rolling.spans(rolling.prefix(data), at, at + (length - v + 1)))
-    return np.concatenate(names), where
+    where = [cover_positions(len(data), length) if len(data) >= length else np.empty(0, np.int64) for _, data, _ in group]
+    return Names([_hashes(data, at, length - v + 1) for (_, data, _), at in zip(group, where, strict=True) if len(at)], buckets), where
 
 
-def _suffixes(group: list, cover: np.ndarray, where: list[np.ndarray], length: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _suffixes(group: list, cover: np.ndarray, where: list[np.ndarray], length: int, buckets: int) -> tuple[Names, list[np.ndarray]]:
     """Names of all positions that may start a repeated string, and these positions by text."""
     v, _ = difference_cover()
-    names, found, used = [np.empty(0, U)], [], 0
+    names, found, used = [], [], 0
     for (_, data, _), at in zip(group, where, strict=True):
         hits = at[cover[used : used + len(at)]]
         used += len(at)
@@ -169,8 +186,8 @@ def _suffixes(group: list, cover: np.ndarray, where: list[np.ndarray], length: i
         p = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
         found.append(p)
         if len(p):
-            names.append(rolling.spans(rolling.prefix(data), p, p + length))
-    return np.concatenate(names), found
+            names.append(_hashes(data, p, length))
+    return Names(names, buckets), found
 
 
 RESULT = "cid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
@@ -182,33 +199,33 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     v, _ = difference_cover()
     if length < v:
         raise ValueError(f"length must be {v} or more")
-    groups = buckets = partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = buckets = max(partitions(spark), -(-size // TASK_BYTES))
     texts = docs.select(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("cid"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.mapInArrow(_thin(groups), "g int, cid binary, text string, copies long")
+    texts = texts.mapInArrow(_thin(groups), "g int, cid binary, text string, copies long").repartition(groups, "g")
     dealt, marked = "bucket int, g int, names binary", "g int, bucket int, bits binary"
     # Cover names only rule positions out, so four bytes and the bucket do.
-    first = texts.groupBy("g").applyInArrow(lambda t: _deal(t["g"][0].as_py(), _cover_names(_group(t), length)[0], buckets, np.uint32), dealt)
-    covered = first.groupBy("bucket").applyInArrow(_marks(np.uint32), marked)
+    first = texts.groupBy("g").applyInArrow(lambda t: _cover_names(_group(t), length, buckets)[0].dealt(t["g"][0].as_py(), np.uint32), dealt)
+    covered = first.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_marks(np.uint32), marked)
 
     def deal_suffixes(t: pa.Table, marks: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), "names": pa.array([], pa.binary())})
-        group = _group(t)
-        names, where = _cover_names(group, length)
-        found, _ = _suffixes(group, _returned(names, marks, buckets), where, length)
-        return _deal(t["g"][0].as_py(), found, buckets, np.uint64)
+        group = _group(t) if t.num_rows else []
+        names, where = _cover_names(group, length, buckets)
+        found, _ = _suffixes(group, names.returned(marks), where, length, buckets)
+        return found.dealt(t["g"][0].as_py() if group else 0, np.uint64)
 
-    second = texts.groupBy("g").cogroup(covered.groupBy("g")).applyInArrow(deal_suffixes, dealt)
-    suffixes = second.groupBy("bucket").applyInArrow(_marks(np.uint64), marked)
-    both = covered.withColumn("kind", F.lit(0)).unionByName(suffixes.withColumn("kind", F.lit(1)))
+    second = texts.groupBy("g").cogroup(covered.repartition(groups, "g").groupBy("g")).applyInArrow(deal_suffixes, dealt)
+    suffixes = second.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_marks(np.uint64), marked)
+    both = covered.withColumn("kind", F.lit(0)).unionByName(suffixes.withColumn("kind", F.lit(1))).repartition(groups, "g")
 
     def cut(t: pa.Table, marks: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         group = _group(t) if t.num_rows else []
         kind = marks["kind"].to_numpy()
-        names, where = _cover_names(group, length)
-        suffix, at = _suffixes(group, _returned(names, marks.filter(pa.array(kind == 0)), buckets), where, length)
-        hit, used = _returned(suffix, marks.filter(pa.array(kind == 1)), buckets), 0
+        names, where = _cover_names(group, length, buckets)
+        suffix, at = _suffixes(group, names.returned(marks.filter(pa.array(kind == 0))), where, length, buckets)
+        hit, used = suffix.returned(marks.filter(pa.array(kind == 1))), 0
         for (cid, data, copies), p in zip(group, at, strict=True):
             p = p[hit[used : used + len(p)]] if copies == 1 else np.arange(max(len(data) - length + 1, 0))
             used += len(at[len(rows)])
