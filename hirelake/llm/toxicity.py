@@ -7,19 +7,25 @@ most evidence speaks for it, and a document counts once per term. Of near copies
 documents of one kind, one counts, so that a copied text's own words don't pass for evidence. A linear scan (the
 all-maximal-segments algorithm of Ruzzo and Tompa, run over the few tokens with evidence and the gaps
 between them) finds every passage that scores above its surroundings. A passage's score S is calibrated as an
-extreme value, lambda * S - ln(K * n) over n tokens, and a logistic curve over the best passage, the sum of all
-significant ones and a document's length maps it to 0..1.
+extreme value: E = K * n * exp(-lambda * S) passages of that score are expected in n clean tokens. lambda is the root
+of E[exp(lambda * s)] = 1 over the clean token scores, K the most likely one for the best passages of the clean
+labelled documents. A logistic curve over -ln E of the best passage, the sum of all significant ones, a document's
+length and the log-odds of its distinct words maps it to 0..1.
 
-The labelled sample has at most `max_labelled` rows and the lexicon at most `max_terms` words, so both
-may be broadcast; every text is scored whole.
+The labelled sample has at most `max_labelled` rows, and the lexicon holds what has |z| >= LEAST_Z in it, so both
+may be broadcast; every text is scored whole. Learning and scoring cut words by one and the same rule, letters of the
+composed (NFC) lower-cased text.
 
 Cases: null and empty texts get the score of a text without a passage; without labelled documents of both
-kinds every score is 0; repeated rows and null ids are scored like others.
+kinds every score is 0; repeated rows and null ids are scored like others, and a null id counts as the empty text
+where ids are hashed, so it is held out; a very long text is one document; columns besides doc_id and text go along
+in a struct `row`, so their names can't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +37,9 @@ from pyspark.sql import functions as F
 from hirelake.llm import rolling
 from hirelake.llm.jaccard import shingles
 
-TOKEN = r"[^\W\d_]+"
-#: The classifier's bounds: labelled rows, lexicon size.
-MAX_LABELLED, MAX_TERMS = 20_000, 20_000
+_FIND = re.compile(r"[^\W\d_]+").findall
+#: The classifier's bound: labelled rows.
+MAX_LABELLED = 20_000
 PRIOR_STRENGTH, PRIOR_FLOOR, LEAST_Z, GAP = 200.0, 0.5, 3.0, 0.05
 STEMS = (4, 5, 6)
 #: Least hashes that tell near copies in the labelled sample, and the words of a shingle for them.
@@ -49,11 +55,23 @@ class Model:
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def _stems(tokens: Column, n: int) -> Column:
-    return F.transform(F.filter(tokens, lambda t: F.length(t) >= n), lambda t: F.substring(t, 1, n))
+def tokens(text: str | None) -> list[str]:
+    """The words of a text: runs of letters of its composed, lower-cased form."""
+    return _FIND(unicodedata.normalize("NFC", text or "").lower())
+
+
+def terms(token: str) -> list[str]:
+    """What can speak for a token: the word itself and its stems."""
+    return ["=" + token, *(token[:n] for n in STEMS if len(token) >= n)]
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [list({x for w in set(tokens(t.as_py())) for x in terms(w)}) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["toxic", "terms"])
 
 
 def log_odds(toxic: Column, clean: Column, n_toxic: float, n_clean: float) -> tuple[Column, Column]:
@@ -95,31 +113,42 @@ class Scanner:
     """Passages and features of one text under a lexicon of term -> (log-odds, z)."""
 
     def __init__(self, weights: dict[str, tuple[float, float]], lam: float, k: float):
-        self.weights, self.lam, self.k, self.find = weights, lam, k, re.compile(TOKEN).findall
+        self.weights, self.lam, self.k = weights, lam, k
         self.known: dict[str, float] = {}
 
     def weight(self, token: str) -> float:
         """Of the term with the most evidence; 0 without any."""
         w = self.known.get(token)
         if w is None:
-            terms = ["=" + token, *(token[:n] for n in STEMS if len(token) >= n)]
-            w = max((self.weights[t] for t in terms if t in self.weights), key=lambda x: abs(x[1]), default=(0.0, 0.0))[0]
+            w = max((self.weights[t] for t in terms(token) if t in self.weights), key=lambda x: abs(x[1]), default=(0.0, 0.0))[0]
             if len(self.known) > 150_000:
                 self.known.clear()
             self.known[token] = w
         return w
 
-    def passages(self, text: str | None) -> tuple[int, list[tuple[float, int, int]]]:
-        tokens = self.find((text or "").lower())
-        hits = [(w, i) for i, w in enumerate(map(self.weight, tokens)) if w]
-        return len(tokens), segments([w for w, _ in hits], [i for _, i in hits], GAP)
+    def passages(self, text: str | None) -> tuple[int, float, list[tuple[float, int, int]]]:
+        """(tokens, log-odds of the distinct words that have evidence, maximal segments)."""
+        words = tokens(text)
+        hits = [(w, i) for i, w in enumerate(map(self.weight, words)) if w]
+        return len(words), sum(map(self.weight, set(words))), segments([w for w, _ in hits], [i for _, i in hits], GAP)
+
+    def features(self, text: str | None) -> tuple[float, ...]:
+        n, words, found = self.passages(text)
+        return surprise(n, words, [s for s, _, _ in found], self.lam, self.k)
+
+
+def surprise(n: int, words: float, scores: list[float], lam: float, k: float) -> tuple[float, ...]:
+    """(-ln E of the best passage, the logarithm of the sum over all with E below 1, ln(K n), the words' own log-odds)
+    of n tokens."""
+    scale = float(np.log(k * max(n, 1)))
+    bits = [lam * s - scale for s in scores]
+    return max(bits, default=-scale), float(np.log1p(sum(b for b in bits if b > 0))), scale, float(words)
+
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        n, found = self.passages(text)
-        scale = np.log(max(self.k * max(n, 1), 1e-9))
-        bits = [self.lam * s - scale for s, _, _ in found]
-        good = [b for b in bits if b > 0]
-        return (max(bits, default=-scale), float(np.log1p(sum(good))), scale)
+def extreme_k(n: np.ndarray, best: np.ndarray, lam: float) -> float:
+    """The most likely K, given the best passage scores of clean documents of n tokens: P(S < x) = exp(-K n exp(-lambda x))."""
+    expected = float((np.maximum(n, 1) * np.exp(-lam * best)).sum())
+    return len(n) / expected if expected > 0 else 1.0
 
 
 def _rate(weights: np.ndarray, freq: np.ndarray) -> float:
@@ -176,36 +205,35 @@ def _without_copies(sample: DataFrame) -> DataFrame:
     return sample.join(F.broadcast(kept), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Learns from docs (doc_id, text) that labels (doc_id, toxic) covers, held-out rows left out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(max_labelled)
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
     sample = _without_copies(sample).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)"), 1))
-    stems = [_stems(F.col("tokens"), n) for n in STEMS]
-    terms = F.array_distinct(F.concat(F.transform("tokens", lambda t: F.concat(F.lit("="), t)), *stems))
-    words = sample.select("toxic", tokens.alias("tokens")).select("toxic", F.explode(terms).alias("word"))
+    words = sample.mapInArrow(_terms, "toxic int, terms array<string>").select("toxic", F.explode("terms").alias("word"))
     counts = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     sums = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not sums or not sums[0] or not sums[1]:
-        return Model({}, 1.0, 1.0, (0.0, 0.0, 0.0, -30.0))
+        return Model({}, 1.0, 1.0, (0.0, 0.0, 0.0, 0.0, -30.0))
     delta, z = log_odds(F.col("toxic"), F.col("clean"), float(sums[0]), float(sums[1]))
     scored = counts.select("word", delta.alias("delta"), z.alias("z"), ((F.col("toxic") + F.col("clean")) / float(sums[0] + sums[1])).alias("freq"))
-    top = scored.where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(max_terms).collect()
+    top = scored.where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").collect()
     weights = {r["word"]: (float(r["delta"]), float(r["z"])) for r in top}
     w, f = np.array([r["delta"] for r in top] + [-GAP]), np.array([r["freq"] for r in top])
     lam = _rate(w, np.append(f, max(1 - f.sum(), 0)))
     scan = Scanner(weights, lam, 1.0)
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.array([scan.features(t.as_py()) for t in b.column(1)]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.float64()), *map(pa.array, rows.T)], names=["y", "a", "b", "c"])
+            found = [scan.passages(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _, _ in found], pa.int64()), pa.array([float(w) for _, w, _ in found]), pa.array([[s for s, _, _ in p] for _, _, p in found], pa.list_(pa.float64()))], names=["y", "n", "words", "scores"])
 
-    data = np.array(sample.mapInArrow(featured, "y double, a double, b double, c double").collect(), float).reshape(-1, 4)
-    curve = _logistic(data[:, 1:], data[:, 0])
-    return Model(weights, lam, 1.0, tuple(map(float, curve)))
+    rows = sample.mapInArrow(scanned, "y int, n long, words double, scores array<double>").collect()
+    clean = [(r["n"], max(r["scores"], default=0.0)) for r in rows if not r["y"]]
+    k = extreme_k(*map(np.array, zip(*clean, strict=True)), lam) if clean else 1.0
+    curve = _logistic(np.array([surprise(r["n"], r["words"], r["scores"], lam, k) for r in rows]), np.array([float(r["y"]) for r in rows]))
+    return Model(weights, lam, k, tuple(map(float, curve)))
 
 
 def score(docs: DataFrame, model: Model, with_passages: bool = False) -> DataFrame:
@@ -223,11 +251,11 @@ def score(docs: DataFrame, model: Model, with_passages: bool = False) -> DataFra
         scan, curve = Scanner(m.weights, m.lam, m.k), np.array(m.curve)
         for b in batches:
             texts = b.column(len(keep)) if own else b.column(keep.index("row")).field("text")
-            x = np.array([scan.features(t.as_py()) for t in texts]).reshape(-1, 3)
-            s = 1 / (1 + np.exp(-np.clip(x @ curve[:3] + curve[3], -30, 30)))
+            x = np.array([scan.features(t.as_py()) for t in texts]).reshape(-1, len(curve) - 1)
+            s = 1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30)))
             cols = [*b.columns[: len(keep)], pa.array(s)]
             if with_passages:
-                found = [[{"score": v, "first": i, "last": j} for v, i, j in p if m.lam * v - np.log(max(m.k * max(n, 1), 1e-9)) > 0] for n, p in (scan.passages(t.as_py()) for t in texts)]
+                found = [[{"score": v, "first": i, "last": j} for v, i, j in p if m.lam * v > np.log(m.k * max(n, 1))] for n, _, p in (scan.passages(t.as_py()) for t in texts)]
                 cols.append(pa.array(found, pa.list_(pa.struct([("score", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))))
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "score", *["passages"] * with_passages])
 
