@@ -1,31 +1,43 @@
 """HTML extraction with gradient-boosted trees over DOM-node features.
 
 Every page becomes a small tree of elements. Each element has features of its subtree's density (text, tags,
-links), its depth, siblings and place, its kind and the tokens of its class, id and role. Boosted trees
-score each element as content or not. They are trained here, on the elements of a bounded sample of
-pages that say what they are (article, main; nav, footer, aside, form, telling class tokens) and on small
-written examples of such parts; copies of the training rows without kind and tokens teach the trees density
-and place as well. Decoding is hierarchical: below a dropped element everything is dropped, and the choice of
-all elements of a page together is the best one of that form, so no element contradicts its ancestors.
+links), its depth, its siblings (place, share, the largest one before and after it), its kind, whether an article holds it,
+and the evidence of its attribute tokens and of those above it. Boosted trees score each element as content or
+not.
+
+What a token says is learned, not listed: the log-odds of the labels of the training elements that have it. Labels come from
+two places: small pages written by rule (`written_pages`), whose author marks every part as content or not, under many
+names, kinds and layouts, with parts that have no name and names that mislead; and a bounded sample of the
+table's pages, where elements inside article or main, and inside nav, footer, aside or form, are taken at their kind. The
+latter train without kind and tokens, so they can't repeat the kind, only show what such text looks like here.
+
+Tokens of html and body, and of an article or main with most of the page's text, describe the page and are not
+evidence; nor are names of states (no-sidebar, comments-open) or classes of headings. Decoding is hierarchical: below
+a dropped element everything is dropped, and the choice of all elements of a page together is the best one of that
+form, so no element contradicts its ancestors.
 
 Cases: null and empty pages give an empty text; unclosed and cut-off markup is closed at the end; a page
-of plain text is content; a head without an end tag ends where the body's content starts; repeated rows are
-extracted like any other; an empty table gives an empty result. Pages are read whole.
+of plain text is content; a head without an end tag ends where the body's content starts; a slash at the end of a tag closes
+nothing but void and drawing elements, as in HTML; repeated rows and ids are extracted like any other; pages of any length
+and depth are read whole; columns besides page_id, url and html are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The classifier's bounds: sampled pages and training elements.
-MAX_PAGES, MAX_NODES = 400, 20_000
+#: The classifier's bounds: sampled pages and training elements; depths from which on elements look alike.
+MAX_PAGES, MAX_NODES, MAX_DEPTH = 400, 10_000, 12
 
 # Kinds of elements, and the tokens by which a page names its parts.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,29 +49,46 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 PARAGRAPH_ENDS = BLOCKS - {"body", "html", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "option", "legend", "summary", "figcaption"} | {"p"}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 CONTENT_KINDS = {"article", "main"}
-OTHER_KINDS = {"nav", "footer", "aside", "form", "script", "style", "dialog", "menu"}
-CONTENT_TOKENS = set("article content post entry story main text body prose hentry".split())
-OTHER_TOKENS = set("ad ads advert advertisement adsense sponsor sponsored banner promo cookie cookies consent gdpr notice popup modal newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead topbar sidebar widget related recommended share sharing social comment comments reply replies disqus respond form search skip toolbar copyright legal".split())
+OTHER_KINDS = {"nav", "footer", "aside", "form", "dialog", "menu"}
+DRAWN = {"path", "circle", "rect", "line", "polygon", "polyline", "ellipse", "use", "stop", "g", "image"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Parts of names that tell a state of the page, not what the element is.
+STATES = {"no", "non", "without", "with", "has", "is", "free", "open", "opened", "closed", "enabled", "disabled", "hidden", "single", "off", "on"}
 KINDS = ["html", "body", "div", "section", "article", "main", "header", "footer", "nav", "aside", "p", "h1", "h2", "h3", "ul", "ol", "li", "table", "form", "figure", "blockquote", "pre", "span", "a", "b", "td"]
 
+KIND_AT = {k: i for i, k in enumerate(KINDS)}
+
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-TOKENS = re.compile(r"[a-z]+")
+NAMES = re.compile(r"[a-z]+(?:[-_]+[a-z]+)*")
+PARTS = re.compile(r"[a-z]+")
+MARK = re.compile(r"\bdata-keep=\"([01])\"")
 SPACE = re.compile(r"\s+")
 
 
+def names(attributes: str) -> frozenset:
+    """The parts of an element's names; a name that tells a state gives none."""
+    found: set[str] = set()
+    for a in ATTRIBUTE.finditer(attributes):
+        for name in NAMES.findall((a[2] or a[3] or a[4] or "").lower()):
+            parts = PARTS.findall(name)
+            if not STATES.intersection(parts):
+                found.update(parts)
+    return frozenset(found)
+
+
 class Node:
-    __slots__ = ("attrs", "below", "depth", "has", "kind", "links", "own", "parent", "text", "tokens")
+    __slots__ = ("below", "depth", "kind", "mark", "parent", "tokens")
 
-    def __init__(self, kind: str, parent: int, depth: int, tokens: frozenset):
-        self.kind, self.parent, self.depth, self.tokens = kind, parent, depth, tokens
-        self.own = self.text = self.links = self.below = self.has = 0
+    def __init__(self, kind: str, parent: int, depth: int, tokens: frozenset, mark: int = -1):
+        self.kind, self.parent, self.depth, self.tokens, self.mark, self.below = kind, parent, depth, tokens, mark, 0
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     """(elements in page order, the root first; runs of text by element, with None where a block begins or
     ends)."""
     nodes, runs, stack, at = [Node("#root", -1, 0, frozenset())], [], [0], 0
+    opened: dict[str, int] = {}
 
     def text(piece: str) -> None:
         if piece:
@@ -68,11 +97,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             runs.append((stack[-1], entities.unescape(piece) if "&" in piece else piece))
 
     def close(kind: str, within: set | frozenset = frozenset()) -> None:
+        if not opened.get(kind):
+            return
         for i in range(len(stack) - 1, 0, -1):
             k = nodes[stack[i]].kind
             if k == kind:
                 if any(nodes[x].kind in BLOCKS for x in stack[i:]):
                     runs.append((stack[i], None))
+                for x in stack[i:]:
+                    opened[nodes[x].kind] -= 1
                 del stack[i:]
                 return
             if k in within:
@@ -99,21 +132,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         # left open here, so an open head is the last on the stack.
         if nodes[stack[-1]].kind == "head" and kind not in HEAD:
             close("head")
-        if kind in PARAGRAPH_ENDS and "p" in (nodes[x].kind for x in stack):
+        if kind in PARAGRAPH_ENDS and opened.get("p"):
             close("p", {"table", "button", "object"})
         for other in CLOSES.get(kind, ()):
             close(other, SCOPES.get(kind, frozenset()))
         rest = m[3] or ""
-        tokens = frozenset(t for a in ATTRIBUTE.finditer(rest) for t in TOKENS.findall((a[2] or a[3] or a[4] or "").lower())) if rest else frozenset()
         parent = stack[-1]
-        nodes.append(Node(kind, parent, len(stack), tokens))
+        mark = MARK.search(rest)
+        nodes.append(Node(kind, parent, len(stack), names(rest) if rest else frozenset(), int(mark[1]) if mark else -1))
         nodes[parent].below += 1
         me = len(nodes) - 1
         if kind == "br":
             runs.append((parent, " "))
         elif kind in BLOCKS:
             runs.append((me, None))
-        if kind in VOID or rest.endswith("/"):
+        if kind in VOID or kind in DRAWN and rest.endswith("/"):
             continue
         if kind in RAW:
             end = re.compile(rf"</{re.escape(kind)}\b[^>]*>?", re.I).search(page, at)
@@ -122,6 +155,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                 runs.append((me, piece))
             continue
         stack.append(me)
+        opened[kind] = opened.get(kind, 0) + 1
     return nodes, runs
 
 
@@ -138,89 +172,166 @@ def blocks(runs: list[tuple[int, str | None]], kept: np.ndarray) -> str:
     return "\n".join(out)
 
 
-N_FEATURES = 16 + 2 + len(KINDS)
+N_DENSITY = 19
+N_FEATURES = N_DENSITY + 6 + len(KINDS)
 
 
-def features(nodes: list[Node], runs: list[tuple[int, str | None]]) -> np.ndarray:
-    """One row per element."""
-    n = len(nodes)
-    own, link, first = np.zeros(n), np.zeros(n), np.full(n, len(runs) + 1.0)
-    for i, (node, piece) in enumerate(runs):
+def tree_sums(nodes: list[Node], runs: list[tuple[int, str | None]]) -> tuple[list, ...]:
+    """Letters of each element's own text, and of its subtree: text, tags, linked text and paragraphs."""
+    own = [0] * len(nodes)
+    for node, piece in runs:
         if piece:
             own[node] += len(piece.strip())
-        first[node] = min(first[node], i)
-    parent = [x.parent for x in nodes]
-    text, tags, stop = own.copy(), np.ones(n), own * 0
-    for i, x in enumerate(nodes):
-        if x.kind == "a":
-            link[i] = own[i]
-    paragraphs = np.array([float(x.kind == "p") for x in nodes])
-    for i in range(n - 1, 0, -1):
-        p = parent[i]
+    text, tags = own.copy(), [1] * len(nodes)
+    link = [t if x.kind == "a" else 0 for x, t in zip(nodes, own, strict=True)]
+    paragraphs = [int(x.kind == "p") for x in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        p = nodes[i].parent
         text[p] += text[i]
         tags[p] += tags[i]
         link[p] += link[i]
         paragraphs[p] += paragraphs[i]
-    del stop
-    order: dict[int, int] = {}
-    place = np.zeros(n)
+    return own, text, tags, link, paragraphs
+
+
+def said(x: Node, share: float) -> frozenset:
+    """The tokens of an element that are evidence of what it is."""
+    if x.kind in ("html", "body") or x.kind in HEADINGS or x.kind in CONTENT_KINDS and share > 0.5:
+        return frozenset()
+    return x.tokens
+
+
+def features(nodes: list[Node], runs: list[tuple[int, str | None]], evidence: dict[str, float]) -> np.ndarray:
+    """One row per element: density and place, then tokens and article, then kind."""
+    n = len(nodes)
+    own, text, tags, link, paragraphs = tree_sums(nodes, runs)
+    up = [max(x.parent, 0) for x in nodes]
+    whole = max(text[0], 1)
+    place, before, after, seen, most = ([0] * n for _ in range(5))
     for i in range(1, n):
-        place[i] = order.get(parent[i], 0)
-        order[parent[i]] = order.get(parent[i], 0) + 1
-    below = np.array([x.below for x in nodes], float)
-    up = np.array(parent)
-    up[0] = 0
-    whole = max(text[0], 1.0)
-    out = np.zeros((n, N_FEATURES), np.float32)
-    cols = [np.log1p(text), np.log1p(own), text / tags, link / np.maximum(text, 1), np.log1p(tags), np.array([x.depth for x in nodes], float), below, place, below[up], text / whole, text / np.maximum(text[up], 1), np.arange(n) / n, paragraphs, link[up] / np.maximum(text[up], 1), text / np.maximum(below, 1), paragraphs[up]]
-    for j, c in enumerate(cols):
-        out[:, j] = c
-    # Tokens and kinds of an element and those above it.
-    good, bad = np.zeros(n), np.zeros(n)
+        p = up[i]
+        place[i], before[i] = seen[p], most[p]
+        seen[p] += 1
+        most[p] = max(most[p], text[i])
+    most = [0] * n
+    for i in range(n - 1, 0, -1):
+        after[i] = most[up[i]]
+        most[up[i]] = max(most[up[i]], text[i])
+    low, high, inside, said_here, near = ([0.0] * n for _ in range(5))
+    kind = np.zeros((n, len(KINDS)), np.float32)
     for i, x in enumerate(nodes):
-        p = max(x.parent, 0)
-        good[i] = max(good[p], float(x.kind in CONTENT_KINDS or bool(x.tokens & CONTENT_TOKENS)))
-        bad[i] = max(bad[p], float(x.kind in OTHER_KINDS or bool(x.tokens & OTHER_TOKENS)))
-        if x.kind in KINDS:
-            out[i, 18 + KINDS.index(x.kind)] = 1
-    out[:, 16], out[:, 17] = good, bad
+        p = up[i]
+        mine = sum(evidence.get(t, 0.0) for t in said(x, text[i] / whole)) if x.tokens else 0.0
+        said_here[i] = mine = max(-3.0, min(3.0, mine))
+        low[i], high[i] = min(low[p], mine), max(high[p], mine)
+        inside[i] = 1.0 if x.kind in CONTENT_KINDS else inside[p]
+        near[i] = float(x.kind in OTHER_KINDS or nodes[p].kind in OTHER_KINDS)
+        if x.kind in KIND_AT:
+            kind[i, KIND_AT[x.kind]] = 1
+    articles = max((text[i] for i, x in enumerate(nodes) if x.kind in CONTENT_KINDS), default=0)
+    up_ = np.array(up)
+    text_, own_, tags_, link_, below, paragraphs_, low_, high_ = (np.array(c, np.float32) for c in (text, own, tags, link, [x.below for x in nodes], paragraphs, low, high))
+    depth = np.minimum(np.array([x.depth for x in nodes], np.float32), MAX_DEPTH)
+    linked = link_ / np.maximum(text_, 1)
+    cols = [np.log1p(text_), np.log1p(own_), text_ / tags_, linked, np.log1p(tags_), depth, below, place, below[up_], text_ / whole, text_ / np.maximum(text_[up_], 1), np.arange(n) / n, paragraphs_, linked[up_], text_ / np.maximum(below, 1), paragraphs_[up_], np.array(before) / whole, np.array(after) / whole, text_[up_] / whole]
+    cols += [said_here, low_[up_], high_[up_], inside, near, np.full(n, articles / whole)]
+    return np.concatenate([np.array(cols, np.float32).T, kind], axis=1)
+
+
+def marked(nodes: list[Node]) -> np.ndarray:
+    """The author's marks on a written page: of the nearest marked element above, else -1."""
+    out = np.full(len(nodes), -1)
+    for i, x in enumerate(nodes):
+        out[i] = x.mark if x.mark >= 0 or not i else out[x.parent]
     return out
 
 
-def weak_labels(nodes: list[Node]) -> np.ndarray:
-    """1 and 0 for elements that the page itself calls content or not, else -1."""
+def by_kind(nodes: list[Node]) -> np.ndarray:
+    """1 inside article or main, 0 inside nav, footer, aside, form and the like, else -1."""
     out = np.full(len(nodes), -1)
     for i, x in enumerate(nodes):
-        p = out[x.parent] if x.parent >= 0 else -1
-        if p == 0 or x.kind in OTHER_KINDS or x.tokens & OTHER_TOKENS:
-            out[i] = 0
-        elif p == 1 or x.kind in CONTENT_KINDS or x.tokens & CONTENT_TOKENS:
-            out[i] = 1
+        above = out[x.parent] if x.parent >= 0 else -1
+        out[i] = 0 if above == 0 or x.kind in OTHER_KINDS else 1 if above == 1 or x.kind in CONTENT_KINDS else -1
     return out
 
 
-def written_pages() -> list[str]:
-    """Small examples, by rule: each naming token around the kind of text that it usually names."""
-    long = "It was a long paragraph, with several sentences. Each of them says something new, and none is a link. " * 3
-    links = "".join(f'<li><a href="/{i}">item {i}</a></li>' for i in range(5))
+# Names that authors give to parts of a page, for the written pages.
+CONTENT_NAMES = ["article", "content", "post", "entry", "story", "text", "prose", "hentry", "entry-content", "post-body", "article-body", "main-content", "page-content", "single-post"]
+PART_NAMES = {
+    "links": ["nav", "navbar", "navigation", "menu", "main-menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "topbar", "related", "related-posts", "recommended", "share", "sharing", "social", "skip", "site-header", "masthead", "header", "sidebar", "widget", "footer"],
+    "blurb": ["ad", "ads", "advert", "advertisement", "adsense", "sponsor", "sponsored", "banner", "promo", "cookie", "cookies", "consent", "gdpr", "cookie-notice", "notice", "popup", "modal", "copyright", "legal", "footer", "site-footer", "footnotes-legal"],
+    "form": ["newsletter", "subscribe", "signup", "login", "search", "form", "respond", "search-box"],
+    "talk": ["comment", "comments", "comment-list", "reply", "replies", "disqus", "comments-area", "sidebar", "widget"],
+}
+STATE_NAMES = ["no-sidebar", "has-sidebar", "comments-open", "comments-closed", "ad-free", "with-banner", "menu-open", "single-post", "page", "home", "dark"]
+
+
+def written_pages(n: int = 240, seed: int = 7) -> list[str]:
+    """Pages by rule, each part of them marked by data-keep."""
+    rng = random.Random(seed)
+
+    def prose(least: int, most: int) -> str:
+        out: list[str] = []
+        size = rng.randint(least, most)
+        while sum(map(len, out)) < size:
+            out.append(" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(4, 18))).capitalize() + ".")
+        return " ".join(out)
+
+    def links(k: int) -> str:
+        items = [f'<a href="/{i}">{"w" * rng.randint(3, 20)}</a>' for i in range(k)]
+        return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if rng.random() < 0.7 else " | ".join(items)
+
+    def article() -> str:
+        out, heads = [], rng.choice(["", ' class="post-header"', ' class="entry-title"', ' class="article-header"'])
+        title = f"<h1{heads}>{prose(15, 60)}</h1>"
+        out.append(f"<header>{title}<p>{prose(10, 40)}</p></header>" if rng.random() < 0.3 else title)
+        for _ in range(rng.choice([1, 2, 3, 5, 9, 20])):
+            kind = rng.random()
+            p = prose(20, rng.choice([80, 400, 1500]))
+            out.append(f"<h2{heads}>{prose(10, 40)}</h2><p>{p}</p>" if kind < 0.15 else f"<ul><li>{p}</li><li>{prose(10, 200)}</li></ul>" if kind < 0.25 else f"<blockquote>{p}</blockquote>" if kind < 0.3 else f'<p>{p} <a href="/x">{prose(10, 30)}</a> {p}</p>' if kind < 0.45 else f"<table><tr><td>{p}</td><td>{prose(5, 60)}</td></tr></table>" if kind < 0.5 else f"<p><b>{prose(10, 60)}</b><br>{p}</p>" if kind < 0.6 else f"<pre>{p}</pre>" if kind < 0.63 else f"<div>{p}</div>" if kind < 0.7 else f"<p>{p}</p>")
+            if rng.random() < 0.06:
+                out.append(part("links" if rng.random() < 0.5 else "blurb", True))
+        return "".join(out)
+
+    def part(what: str, named: bool) -> str:
+        body = {
+            "links": lambda: links(rng.randint(3, 14)),
+            "blurb": lambda: f"<p>{prose(10, 140)}</p>" if rng.random() < 0.5 else prose(10, 160) + rng.choice(["", ' <a href="#">Wwwww</a>', "<button>Ww</button>"]),
+            "form": lambda: f"<form>{prose(5, 60)}<input type=text><button>Wwww</button></form>",
+            "talk": lambda: "".join(f"<div><b>Wwww</b><p>{prose(20, 400)}</p></div>" for _ in range(rng.randint(1, 6))),
+        }[what]()
+        kind = rng.choice({"links": ["div", "nav", "ul", "section", "aside", "header", "footer"], "blurb": ["div", "div", "aside", "footer", "section"], "form": ["div", "section", "aside"], "talk": ["div", "section", "ol", "aside"]}[what]) if named else "div"
+        name = f' {rng.choice(["class", "id"])}="{rng.choice(PART_NAMES[what])}"' if named else ""
+        if named and kind in OTHER_KINDS | {"header"} and rng.random() < 0.4:
+            name = ""
+        return f'<{kind}{name} data-keep="0">{body}</{kind}>'
+
     out = []
-    for i, bad in enumerate(sorted(OTHER_TOKENS)):
-        good = sorted(CONTENT_TOKENS)[i % len(CONTENT_TOKENS)]
-        part = [f"<ul>{links}</ul>", f"<p>{long}</p><p>So says a reader.</p>", "We use these to serve you. <a href='#'>Accept</a>"][i % 3]
-        side = f'<div class="{bad}">{part}</div>'
-        body = f'<div class="{good}"><h1>A title</h1><p>{long}</p><h2>Part</h2><p>{long * (1 + i % 3)}</p><ul><li>{long}</li></ul></div>'
-        out.append("<html><body>" + (side + body if i % 2 else body + side) + "</body></html>")
-    for i, kind in enumerate(["nav", "footer", "aside", "form"]):
-        out.append(f"<html><body><{kind}>{links if i % 2 else long}</{kind}><article><h1>A title</h1><p>{long}</p></article></body></html>")
+    for _ in range(n):
+        kind = rng.choice(["article", "article", "main", "div", "div", "div", "section", "td"])
+        states = " ".join(rng.sample(STATE_NAMES, rng.randint(0, 3)))
+        name = f'class="{rng.choice(CONTENT_NAMES)} {states}"' if kind not in ("article", "main") and rng.random() < 0.7 or rng.random() < 0.4 else f'class="{states}"'
+        body = f'<{kind} {name} data-keep="1">{article()}</{kind}>'
+        body = f"<table><tr>{body}</tr></table>" if kind == "td" else body
+        top = [part("links", rng.random() < 0.9) for _ in range(rng.randint(0, 2))] + [part("blurb", True) for _ in range(rng.randint(0, 2))]
+        end = [part(rng.choice(["links", "blurb", "form", "talk"]), True) for _ in range(rng.randint(0, 4))]
+        if kind in CONTENT_KINDS and rng.random() < 0.6:
+            end.insert(0, part(rng.choice(["talk", "blurb"]), False))
+        if rng.random() < 0.5:
+            end.append(part("blurb", True).replace("<div", "<footer").replace("</div>", "</footer>"))
+        inner = "".join([*top, body, *end])
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            inner = f'<div class="{rng.choice(["wrap", "container", "page", "site", "row"])}">{inner}</div>'
+        out.append(f'<html><head><title>w</title></head><body class="{" ".join(rng.sample(STATE_NAMES, rng.randint(0, 3)))}">{inner}</body></html>')
     return out
 
 
 class Boosted:
     """Gradient-boosted trees with logistic loss over binned features."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 24):
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.3, bins: int = 24):
         self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
-        b = self.binned(x)
+        b = np.asfortranarray(self.binned(x).astype(np.int32))
         mean = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.base, self.depth, self.trees = float(np.log(mean / (1 - mean))), depth, []
         score = np.full(len(y), self.base)
@@ -229,7 +340,7 @@ class Boosted:
             p = 1 / (1 + np.exp(-score))
             g, h = y - p, p * (1 - p)
             split = np.zeros((2**depth - 1, 2), int)
-            at = np.zeros(len(y), int)
+            at = np.zeros(len(y), np.int32)
             for level in range(depth):
                 low = 2**level - 1
                 n = 2**level
@@ -285,34 +396,50 @@ def decode(nodes: list[Node], logit: np.ndarray, own: np.ndarray) -> np.ndarray:
     return kept
 
 
+@dataclass
+class Model:
+    evidence: dict[str, float]
+    trees: Boosted
+
+
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        xs, ys = [], []
+    """Elements with a label by kind: their density and place, nothing else."""
+    for b in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+        xs, ys, order = [], [], []
         for page in b.column(0).to_pylist():
             nodes, runs = parse(page or "")
-            y = weak_labels(nodes)
-            xs += features(nodes, runs)[y >= 0].tolist()
+            y = by_kind(nodes)
+            xs += features(nodes, runs, {})[y >= 0, :N_DENSITY].tolist()
             ys += y[y >= 0].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float32())), pa.array(ys, pa.int32())], names=["x", "y"])
-
-
-def fit(pages: DataFrame, max_pages: int = MAX_PAGES, max_nodes: int = MAX_NODES) -> Boosted:
-    """Trains on the labelled elements of at most max_pages pages, the first by a hash of their ids."""
-    sample = pages.select("page_id", "html").where(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
-    rows = sample.select("html").mapInArrow(_training, "x array<float>, y int").limit(max_nodes).collect()
-    x, y = [r["x"] for r in rows], [r["y"] for r in rows]
-    for page in written_pages():
-        nodes, runs = parse(page)
-        label = weak_labels(nodes)
-        x += features(nodes, runs)[label >= 0].tolist()
-        y += label[label >= 0].tolist()
-    x, y = np.array(x, np.float32), np.array(y, float)
-    blind = x.copy()
-    blind[:, 16:] = 0
-    return Boosted(np.concatenate([x, blind]), np.concatenate([y, y]))
-
-
-def extract(pages: DataFrame, model: Boosted) -> DataFrame:
+            order += [zlib.crc32(f"{i} {page}".encode()) for i in np.flatnonzero(y >= 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float32())), pa.array(ys, pa.int32()), pa.array(order, pa.int64())], names=["x", "y", "o"])
+
+
+def fit(pages: DataFrame, max_pages: int = MAX_PAGES, max_nodes: int = MAX_NODES) -> Model:
+    """Trains on the written pages and on the elements of at most max_pages pages, the first by a hash of their ids."""
+    sample = pages.select("page_id", "html").where(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(max_pages)
+    rows = sample.select("html").mapInArrow(_training, "x array<float>, y int, o long").orderBy("o", "y", "x").limit(max_nodes).collect()
+    written = [(*parse(p),) for p in written_pages()]
+    good: dict[str, int] = {}
+    bad: dict[str, int] = {}
+    for nodes, runs in written:
+        _, text, *_ = tree_sums(nodes, runs)
+        for x, y, t in zip(nodes, marked(nodes), text, strict=True):
+            for token in said(x, t / max(text[0], 1)) if y >= 0 else ():
+                (good if y else bad)[token] = (good if y else bad).get(token, 0) + 1
+    evidence = {t: float(np.clip(np.log((good.get(t, 0) + 0.5) / (bad.get(t, 0) + 0.5)), -3, 3)) for t in good.keys() | bad.keys()}
+    x, y = [], []
+    for nodes, runs in written:
+        label = marked(nodes)
+        x.append(features(nodes, runs, evidence)[label >= 0])
+        y.append(label[label >= 0])
+    seen = np.zeros((len(rows), N_FEATURES), np.float32)
+    if rows:
+        seen[:, :N_DENSITY] = [r["x"] for r in rows]
+    return Model(evidence, Boosted(np.concatenate([*x, seen]), np.concatenate([*y, [r["y"] for r in rows]]).astype(float)))
+
+
+def extract(pages: DataFrame, model: Model) -> DataFrame:
     """pages (page_id, url, html) with their main text."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
     kinds = dict(pages.dtypes)
@@ -321,8 +448,8 @@ def extract(pages: DataFrame, model: Boosted) -> DataFrame:
         m = shared.value
         for b in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             trees = [parse(p or "") for p in b.column(2).to_pylist()]
-            rows = [features(*t) for t in trees]
-            logit = m.logit(np.concatenate(rows)) if rows else np.empty(0)
+            rows = [features(*t, m.evidence) for t in trees]
+            logit = m.trees.logit(np.concatenate(rows)) if rows else np.empty(0)
             texts, at = [], 0
             for (nodes, runs), x in zip(trees, rows, strict=True):
                 kept = decode(nodes, logit[at : at + len(nodes)], np.expm1(x[:, 1]))
