@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm import rolling
-from hirelake.llm.common import join_spread, partitions
+from hirelake.llm.common import join_spread
 from hirelake.llm.components import components, saved
 
 U = np.uint64
@@ -309,7 +309,6 @@ def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, label) for every row of docs (doc_id, text); th is xxhash64 of the
     text. component_id is a doc_id, so components without ids or with a shared id can have the same one; label, the
     component's smallest node, tells them apart (null for texts without a word)."""
-    spark = docs.sparkSession
     rows, levels = describe(docs, size)
     filled = rows.where("n > 0")
     filters = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(_filters(size, percent, levels), FILTERS).dropDuplicates(["node"])
@@ -342,7 +341,7 @@ def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
         dealt = found.join(parts, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("part"))
         centres = dealt.select("v", "part").distinct().join(held, F.col("v") == F.col("node")).select("v", "part", F.lit(0).alias("side"), "node", "text")
         others = dealt.join(held, F.col("u") == F.col("node")).select("v", "part", F.lit(1).alias("side"), "node", "text")
-        ordered = centres.unionByName(others).repartition(partitions(spark), "v", "part").sortWithinPartitions("v", "part", "side")
+        ordered = centres.unionByName(others).repartition("v", "part").sortWithinPartitions("v", "part", "side")
         return saved(ordered.mapInArrow(_verified(size, percent), "u long, v long"))
 
     links = verify(stars)
@@ -355,7 +354,7 @@ def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     dealt = placed.join(rest, "token").join(nodes.select("node", "bits"), "node").withColumn("block", block)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "bits")
-    ordered = dealt.repartition(partitions(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    ordered = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     left = ordered.mapInArrow(_block_pairs(percent), "u long, v long").distinct().join(stars, ["u", "v"], "left_anti")
     more = verify(passing(left))
     labels = components(links.unionByName(more))
