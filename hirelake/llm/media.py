@@ -2,7 +2,7 @@
 
 A text's payload (its bytes, padded with zero bytes to a positive multiple of 64) is stored as the
 8-bit samples of a mono WAV file: a 44-byte header, which follows from the length, and the payload cut into
-chunks of LEAST to MOST bytes where a rolling gear hash says so (about one place in 1 024), so that a passage shared by
+chunks of LEAST to MOST bytes where a rolling gear hash says so (about one place in 2 048), so that a passage shared by
 ordinary texts is stored once. Chunks are stored once per digest, compressed, after a shuffle by digest that drops copies
 on the map side already; a payload is the ordered list of its chunk digests.
 
@@ -36,11 +36,11 @@ from hirelake.llm import rolling
 from hirelake.llm.common import partitions
 from hirelake.llm.components import saved
 
-#: Bytes: the least and the most in a chunk; a cut at every 1024th place between.
-LEAST, MOST, MASK = 512, 8_192, 0x3FF << 8
-RATE, LEVEL, PAD, DIGEST = 8_000, 9, 64, 16
+#: Bytes: the least and the most in a chunk; a cut at every 2048th place between.
+LEAST, MOST, MASK = 256, 8_192, 0x7FF << 8
+RATE, LEVEL, PAD, DIGEST = 8_000, 16, 64, 16
 #: The dictionary's size and the bounds of its sample; the most chunks that are joined by broadcast.
-DICTIONARY, DICTIONARY_TEXTS, DICTIONARY_BYTES, HOT = 32_768, 2_000, 4_096, 1_000
+DICTIONARY, DICTIONARY_TEXTS, DICTIONARY_BYTES, HOT = 65_536, 2_000, 4_096, 1_000
 
 
 def payload(text: str | None) -> bytes:
@@ -196,7 +196,7 @@ def read_back(lists: DataFrame, store: DataFrame, words: bytes = b"") -> DataFra
         found = refs.join(store, "digest", "left")
     found = found.withColumn("stored", missing)
     single = found.where("n = 1").select("cid", "digest", "stored").mapInArrow(_read_single(words), READ)
-    long = found.where("n > 1").repartition(partitions(spark), "cid").sortWithinPartitions("cid", "seq").select("cid", "seq", "n", "digest", "stored")
+    long = found.where("n > 1").repartition("cid").sortWithinPartitions("cid", "seq").select("cid", "seq", "n", "digest", "stored")
     return single.unionByName(long.mapInArrow(_read_long(words), READ))
 
 
