@@ -44,11 +44,14 @@ def identity(text: Column) -> Column:
     return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(7), t).alias("b"))
 
 
-def join_spread(rows: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+def join_spread(rows: DataFrame, small: DataFrame, key: str, total: int, *spread: str) -> DataFrame:
     """rows joined with small (key, members, ...), which has one row per key and tells how many of the `total` rows have
-    it. Keys of more than a partition's share, at most as many as there are partitions, are broadcast, so a key
-    with a third of all rows doesn't go to one task; the others meet by key."""
+    it. Keys of more than a partition's share, at most as many as there are partitions, are broadcast, and their rows
+    go through the join of the others by a hash of the columns `spread`, so a key with a third of all rows isn't one task."""
     share = max(total // partitions(rows.sparkSession), 1)
-    hot = F.broadcast(small.where(F.col("members") > share).drop("members"))
-    cold = small.where(F.col("members") <= share).drop("members")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    told = [c for c in small.columns if c not in (key, "members")]
+    hot = F.broadcast(small.where(F.col("members") > share).select(key, F.struct(*told).alias("hot")))
+    cold = small.where(F.col("members") <= share).select(F.col(key).alias("j"), F.lit(False).alias("spread"), F.struct(*told).alias("cold"))
+    found = rows.join(hot, key, "left").withColumn("spread", F.col("hot").isNotNull())
+    found = found.withColumn("j", F.when(F.col("spread"), F.xxhash64(*spread)).otherwise(F.col(key)))
+    return found.join(cold, ["j", "spread"], "left").select(*rows.columns, *[F.coalesce(F.col("hot")[c], F.col("cold")[c]).alias(c) for c in told])

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake.llm import rolling
@@ -213,6 +213,7 @@ def _block_pairs(percent: int):
     def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         side, node, comp, n = (t[c].to_numpy() for c in ("block", "node", "comp", "n"))
         column = t["bits"].to_pylist()
+        others = [t[p].to_pylist() for p in OTHERS]
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
         us, vs = [], []
@@ -226,8 +227,14 @@ def _block_pairs(percent: int):
                         continue
                     ok &= _apart(folded(x[at : at + 512], w), folded(y, w)) <= most_apart(n[a][:, None].astype(np.int64), n[z][None, :], percent)
                     f, g = np.nonzero(ok)
-                    us.append(node[a][f])
-                    vs.append(node[z][g])
+                    f, g = a[f], z[g]
+                    if len(f):
+                        _, back = np.unique(np.stack([node[f], node[g]]), axis=1, return_index=True)
+                        f, g = f[back], g[back]
+                        both = np.array([all(share(o[x], o[y]) for o in others) for x, y in zip(f.tolist(), g.tolist(), strict=True)], bool)
+                        f, g = f[both], g[both]
+                    us.append(node[f])
+                    vs.append(node[g])
         u, v = np.concatenate([np.empty(0, np.int64), *us]), np.concatenate([np.empty(0, np.int64), *vs])
         return np.maximum(u, v), np.minimum(u, v)
 
@@ -337,11 +344,10 @@ def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
         used = found.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
         used = saved(used)
         held = only(texts, used.select(F.col("rep.th").alias("t"))).join(used, F.col("d").eqNullSafe(F.col("rep.doc_id")) & (F.col("t") == F.col("rep.th"))).select("node", "text").dropDuplicates(["node"])
-        parts = found.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("parts"))
-        dealt = found.join(parts, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("part"))
-        centres = dealt.select("v", "part").distinct().join(held, F.col("v") == F.col("node")).select("v", "part", F.lit(0).alias("side"), "node", "text")
-        others = dealt.join(held, F.col("u") == F.col("node")).select("v", "part", F.lit(1).alias("side"), "node", "text")
-        ordered = centres.unionByName(others).repartition("v", "part").sortWithinPartitions("v", "part", "side")
+        part = F.pmod(F.xxhash64("u"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("v")) / PAIRS))
+        need = found.select("v", part.alias("part"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("v").alias("node")), F.struct(F.lit(1).alias("side"), F.col("u").alias("node")))).alias("x"))
+        need = need.select("v", "part", "x.side", "x.node").distinct()
+        ordered = need.join(held, "node").repartition("v", "part").sortWithinPartitions("v", "part", "side").select("v", "part", "side", "node", "text")
         return saved(ordered.mapInArrow(_verified(size, percent), "u long, v long"))
 
     links = verify(stars)
@@ -351,18 +357,18 @@ def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     rest = placed.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("weight")).where("df > 2 and lo <> hi")
     rest = rest.select("token", F.ceil(F.col("weight") / BLOCK_TOKENS).cast("int").alias("n_blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
-    dealt = placed.join(rest, "token").join(nodes.select("node", "bits"), "node").withColumn("block", block)
+    dealt = placed.join(rest, "token").join(nodes.select("node", "bits", *OTHERS), "node").withColumn("block", block)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "bits")
+    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "bits", *OTHERS)
     ordered = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     left = ordered.mapInArrow(_block_pairs(percent), "u long, v long").distinct().join(stars, ["u", "v"], "left_anti")
-    more = verify(passing(left))
+    more = verify(saved(left))
     labels = components(links.unionByName(more))
     total = nodes.agg(F.sum("members")).first()[0] or 0
     placed = nodes.select("node", "members").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "members")
-    named = saved(join_spread(filled.select("doc_id", "th", "n", "node"), placed, "node", total).drop("node"))
+    named = saved(join_spread(filled.select("doc_id", "th", "n", "node"), placed, "node", total, "doc_id", "th").drop("node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    out = join_spread(named, smallest, "label", total).select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "label")
+    out = join_spread(named, smallest, "label", total, "doc_id", "th").select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "label")
     alone = rows.where("n = 0").select("doc_id", "th", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
     return out.unionByName(alone)
 
