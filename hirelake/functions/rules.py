@@ -35,3 +35,55 @@ SOURCE_WEIGHTS = {"historical": 0.45, "incremental": 0.55}
 SKILL_SOURCE_WEIGHTS = {"historical": 0.40, "incremental": 0.60}
 KIND_WEIGHTS = {"title": 0.30, "skills": 0.30, "full": 0.40}
 RERANK = {"semantic": 0.45, "title": 0.20, "skills": 0.25, "location": 0.10}
+
+# What the incremental source's titles lose, in this order, and what is stripped from their ends.
+BATCH_TITLE_NOISE = [
+    r"\bhiring week\b", r"\bhot job\b", r"\burgent hiring\b", r"\bimmediate hiring\b", r"\btalent pool\b", r"\bvietnamese only\b", r"\boutsourcing\b",
+    r"\bin hcmc office\b", r"\bin hanoi office\b", r"\bhcmc office\b", r"\bhanoi office\b", r"\bhcm office\b", r"\bhcm\b", r"\bhn\b",
+    r"\(vietnamese only\)", r"\(outsourcing\)", r"\(contract\)", r"\(talent pool\)", r"\(non-technical background required\)", r"\(based in cambodia\)",
+]
+TITLE_ENDS = " -_|/.,;:"
+
+# Spellings of skills in the incremental source, matched as they are written.
+SKILL_SPELLINGS = {
+    "Ai": "AI", "ai": "AI", "Power Bi": "Power BI", "power bi": "Power BI", "Ms Excel": "Microsoft Excel", "MS Excel": "Microsoft Excel", "Excel": "Microsoft Excel", "Sql": "SQL", "sql": "SQL",
+    "Javascript": "JavaScript", "javascript": "JavaScript", "Typescript": "TypeScript", "typescript": "TypeScript", "Nodejs": "Node.js", "NodeJS": "Node.js", "nodejs": "Node.js",
+    "Reactjs": "React", "ReactJS": "React", "reactjs": "React", "Vuejs": "Vue.js", "VueJS": "Vue.js", "Devops": "DevOps", "devops": "DevOps", "Apis": "APIs", "Restful Apis": "RESTful APIs",
+    "Aws": "AWS", "Aws Cloud": "AWS Cloud", "Pytorch": "PyTorch", "Tensorflow": "TensorFlow", "Nlp": "NLP", "LlM": "LLM", "LLM": "LLM", "Crm": "CRM", "CRM": "CRM", "Jira": "JIRA", "jira": "JIRA",
+}
+
+# Skills of the incremental source by their lower-cased names.
+SKILL_ALIASES_BATCH = {
+    "ai": "AI", "powerbi": "Power BI", "power bi": "Power BI", "microsoft power bi": "Power BI", "excel": "Microsoft Excel", "ms excel": "Microsoft Excel", "microsoft excel": "Microsoft Excel",
+    "powerpoint": "Microsoft PowerPoint", "ms powerpoint": "Microsoft PowerPoint", "sql": "SQL", "sql server": "SQL Server", "mssql": "SQL Server", "mysql": "MySQL", "postgres": "PostgreSQL",
+    "postgresql": "PostgreSQL", "js": "JavaScript", "javascript": "JavaScript", "typescript": "TypeScript", "nodejs": "Node.js", "node js": "Node.js", "node.js": "Node.js", "reactjs": "React",
+    "react js": "React", "react.js": "React", "vuejs": "Vue.js", "vue js": "Vue.js", "vue": "Vue.js", "devops": "DevOps", "aws": "AWS", "aws cloud": "AWS Cloud", "azure": "Azure",
+    "azure cloud": "Azure Cloud", "restful apis": "RESTful APIs", "apis": "APIs", "api design": "API Design", "pytorch": "PyTorch", "tensorflow": "TensorFlow", "nlp": "NLP", "llm": "LLM",
+    "rag": "RAG", "crm": "CRM", "salesforce crm": "Salesforce CRM", "jira": "JIRA", "ifrs": "IFRS", "gaap": "GAAP", "seo": "SEO", "sem": "SEM",
+}
+
+# Skills of profiles by their lower-cased names.
+PROFILE_ALIASES = {
+    "sql": "SQL", "power bi": "Power BI", "powerbi": "Power BI", "excel": "Microsoft Excel", "ms excel": "Microsoft Excel", "python": "Python", "java": "Java", "javascript": "JavaScript",
+    "typescript": "TypeScript", "nodejs": "Node.js", "node.js": "Node.js", "reactjs": "React", "react": "React", "machine learning": "Machine Learning", "ml": "Machine Learning",
+    "deep learning": "Deep Learning", "nlp": "NLP", "llm": "LLM", "rag": "RAG", "etl": "ETL", "spark": "Spark", "pyspark": "PySpark", "postgresql": "PostgreSQL", "postgres": "PostgreSQL",
+    "mysql": "MySQL", "mongodb": "MongoDB", "docker": "Docker", "kubernetes": "Kubernetes", "aws": "AWS", "azure": "Azure",
+}
+
+# Occupation groups of the incremental source, the first that matches wins.
+BATCH_GROUPS = [
+    ("Data & Analytics", r"\b(data analyst|data analytics|analytics|business intelligence|bi analyst|power bi|tableau|looker|data scientist|machine learning|deep learning|data engineer|analytics engineer|bigquery|databricks|data modeling|data analysis|reporting|data visualization)\b"),
+    ("IT / Software", r"\b(software engineer|software developer|backend|frontend|fullstack|full stack|developer|devops|java|python|javascript|typescript|node\.?js|react|vue|angular|\.net|c\+\+|golang|kubernetes|docker|api|apis|microservices|cloud|aws|azure|qa engineer|test automation|solution designer|solution architect|product owner|security engineer|soc|cyber security|information security|ai engineer|nlp|llm|rag|langchain|langgraph|generative ai)\b"),
+    ("Finance & Accounting", r"\b(finance|financial|accountant|accounting|audit|auditor|chief accountant|cfo|ifrs|gaap|tax|payroll|investment analyst|banking|credit card|wealth banking|budgeting|financial management|cash flow|bancassurance)\b"),
+    ("Sales", r"\b(sales|account executive|account manager|business development|key account|inside sales|country sales|sales manager|sales executive|relationship manager|seller management|client engagement|crm|salesforce|negotiation|b2b sales)\b"),
+    ("Marketing / Communications", r"\b(marketing|digital marketing|social media|content|seo|sem|google analytics|facebook ads|brand|communication|communications|user acquisition|growth|performance marketing|media relations|influencer|ad tech|campaign|meta ads)\b"),
+    ("Human Resources", r"\b(hr|human resources|talent acquisition|recruitment|recruiter|learning partner|payroll service|hrbp|employee relations|organization development|learning development|hr operations|workforce planning|benefits|employee engagement)\b"),
+    ("Healthcare", r"\b(nurse|registered nurse|medical|clinical|healthcare|pharma|pharmaceutical|lab|regulatory affairs|quality assurance in pharma|patient|therapy|hospital)\b"),
+    ("Education / Training", r"\b(teacher|trainer|training|education|instructor|learning|teaching|professor|tutor|instructional design|curriculum)\b"),
+    ("Logistics / Supply Chain", r"\b(logistics|supply chain|warehouse|transportation|procurement|purchasing|inventory|shipping|linehaul|spx|scommerce|material coordinator|import export|customs|vendor selection|mro sourcing)\b"),
+    ("Customer Service", r"\b(customer service|customer support|customer success|client support|field service|service engineer|support engineer|customer onboarding|customer retention)\b"),
+    ("Engineering", r"\b(engineer|mechanical|electrical|civil|hardware|cad|drafter|quality engineer|process engineer|manufacturing engineer|functional safety|fusa|test engineer|low voltage|interior module|pcb|schematic|simulation|autocad|catia|tensorRT|cuda)\b"),
+    ("Legal", r"\b(legal|law|lawyer|attorney|compliance|ip associate|regulatory compliance|trade compliance|contractual|counsel|data protection|governance|grc|risk management|audit compliance)\b"),
+    ("Retail / Hospitality", r"\b(retail|hospitality|hotel|resort|housekeeping|restaurant|cashier|front office|guest relations|rooms|concierge|cage cashier|barista|store manager|store associate)\b"),
+    ("Manufacturing / Production", r"\b(production|manufacturing|factory|smt|equipment maintenance|machine|quality control|qc staff|pqa|gmp|visual inspection|equipment installation|calibration|process control)\b"),
+]

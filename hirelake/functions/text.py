@@ -171,7 +171,8 @@ def first_non_blank(*cols: Column, default: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cols], F.lit(default))
 
 
-def squeeze_text(c: Column, most: int = 12_000) -> Column:
-    """Three newlines or more to two, runs of blanks to one, stripped; at most `most` characters."""
+def squeeze_text(c: Column, most: int | None = 12_000) -> Column:
+    """Three newlines or more to two, runs of blanks to one, stripped; at most `most` characters, all for None."""
     t = F.regexp_replace(F.regexp_replace(text_or_blank(c), r"\n{3,}", "\n\n"), r"[ \t]+", " ")
-    return F.substring(F.btrim(t, F.lit(" \t\n\r")), 1, most)
+    t = F.btrim(t, F.lit(" \t\n\r"))
+    return t if most is None else F.substring(t, 1, most)

@@ -86,9 +86,51 @@ def aligned(sides: Mapping[str, DataFrame], key: str) -> DataFrame:
 def mart_job_skills(jobs: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """One row per job and skill, with the job's attributes; blank keys go."""
     rows = jobs.select("source_job_id", F.explode("skills").alias("skill"), *attributes).withColumn("skill", F.trim("skill"))
-    return rows.where((F.col("source_job_id") != "") & (F.col("skill") != "")).dropDuplicates(["source_job_id", "skill"])
+    return keep_first(rows.where((F.col("source_job_id") != "") & (F.col("skill") != "")), ["source_job_id", "skill"], [F.col(a) for a in attributes])
 
 
 def sample_seeded(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """n rows that any engine picks alike."""
     return df.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary")), key).limit(n)
+
+
+def check_aligned(sides: Mapping[str, DataFrame], key: str) -> None:
+    """An error unless every side has as many rows as the first and all of its keys."""
+    rows = aligned(sides, key).collect()
+    if bad := [r["side"] for r in rows if r["n"] != rows[0]["n"] or r["missing"]]:
+        raise ValueError(f"sides that don't match: {bad}")
+
+
+def strip_text(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return df.withColumns({n: F.trim(F.coalesce(F.col(n).cast("string"), F.lit(""))) for n in names})
+
+
+def coerce_int(c: Column) -> Column:
+    """What isn't a number is 0."""
+    return F.coalesce(F.nanvl(c.cast("string").try_cast("double"), F.lit(0.0)), F.lit(0.0)).cast("int")
+
+
+def validity_flags(title: Column, skills: Column, location: Column) -> dict[str, Column]:
+    has = {"has_title": F.length(F.trim(title)) > 0, "has_skills": F.coalesce(F.size(skills), F.lit(0)) > 0, "has_location": F.length(F.trim(location)) > 0}
+    return has | {"is_valid_for_gold": has["has_title"] & has["has_skills"]}
+
+
+def mart_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table_name, n) of the mart's tables."""
+    out = None
+    for name, df in tables.items():
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def mark_batches(ledger: DataFrame, batches: DataFrame, key: str, at: Column) -> DataFrame:
+    """The ledger (key, processed_at) with the batches that it doesn't have yet; conflicts are ignored."""
+    new = insert_if_absent(batches.select(key).where(F.col(key).isNotNull()).distinct(), ledger, [key])
+    return ledger.select(key, "processed_at").unionByName(new.select(key, at.alias("processed_at")))
+
+
+def choose_config(results: DataFrame, least_recall: float) -> DataFrame:
+    """One row of results (name, recall, ms): the fastest with enough recall, else the best recall, the fastest of these."""
+    enough = F.col("recall") >= least_recall
+    return results.orderBy(enough.desc(), F.when(~enough, -F.col("recall")).otherwise(0.0), "ms", "name").limit(1)

@@ -333,15 +333,35 @@ def similar_roles(spark, d):
     return _nearest(spark, d)[0]
 
 
-@query(f"""WITH job, {_model}{_matrix}{_docs}{_terms}{_query}, ow AS (SELECT user_id, unnest(skills) AS skill FROM qd),
-ag AS (SELECT user_id, skill, sum(tf * sim) * any_value(idf) * CASE WHEN skill LIKE 'hot %' THEN 1.5 ELSE 1.0 END AS score, max(tf) AS tf, any_value(idf) AS idf, CAST(sum(job_count) AS BIGINT) AS job_count FROM nr JOIN mx USING (role) ANTI JOIN ow USING (user_id, skill) GROUP BY 1, 2)
-SELECT user_id, skill, score, tf, idf, job_count FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, skill) AS rk FROM ag) WHERE rk <= 10""")
+# Weights of skills by level over the part words of the given tables, beside the domain's own.
+LOCAL_WEIGHTS = {"senior": {"hot gear": 1.5, "cold plate": 1.4, "large rod": 1.2}, "junior": {"small ring": 1.2, "blue bolt": 1.1}}
+_weights = [(level, skill, w) for table in (rules.LEVEL_WEIGHTS, LOCAL_WEIGHTS) for level, ws in table.items() for skill, w in ws.items()]
+_sql_weights = ", ".join(f"('{level}', '{skill}', {w}::DOUBLE)" for level, skill, w in _weights)
+
+
+@query(f"""WITH job, {_model}{_matrix}{_docs}{_terms}{_query}, ow AS (SELECT user_id, unnest(skills) AS skill FROM qd), lw AS (SELECT * FROM (VALUES {_sql_weights}) AS t(level, skill, weight)),
+ag AS (SELECT user_id, skill, sum(tf * sim) * any_value(idf) AS score, max(tf) AS tf, any_value(idf) AS idf, CAST(sum(job_count) AS BIGINT) AS job_count FROM nr JOIN mx USING (role) ANTI JOIN ow USING (user_id, skill) GROUP BY 1, 2),
+wg AS (SELECT user_id, ag.skill, score * coalesce(weight, 1.0) AS score, tf, idf, job_count FROM ag LEFT JOIN lw ON lw.skill = ag.skill AND lw.level = CASE WHEN user_id % 2 = 0 THEN 'senior' ELSE 'junior' END)
+SELECT user_id, skill, score, tf, idf, job_count FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, skill) AS rk FROM wg) WHERE rk <= 10""")
 def tfidf_query(spark, d):
     near, counts, roles, profiles = _nearest(spark, d)
     matrix = textmodel.skill_tfidf(counts, roles)
     owned = profiles.select("user_id", F.explode("skills").alias("skill"))
-    levels = matrix.select("skill").distinct().where("skill like 'hot %'").crossJoin(profiles.select("user_id")).select("user_id", "skill", F.lit(1.5).alias("weight"))
-    return textmodel.recommend_skills(near, matrix, owned, "user_id", 10, levels)
+    users = profiles.select("user_id", F.when(F.col("user_id") % 2 == 0, "senior").otherwise("junior").alias("level"))
+    weights = spark.createDataFrame(_weights, "level string, skill string, weight double")
+    return textmodel.recommend_skills(near, matrix, owned, "user_id", 10, (users, weights))
+
+
+@query(f"""WITH job, {_model}{_matrix}{_docs}{_terms}{_query}, br AS (SELECT user_id, role FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(sim, 9) DESC, role) AS rk FROM nr) WHERE rk = 1)
+SELECT user_id, role, skill, score FROM (SELECT user_id, role, skill, score, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, skill) AS rk FROM br JOIN mx USING (role)) WHERE rk <= 5""")
+def nearest_role_skills(spark, d):
+    near, counts, roles, _ = _nearest(spark, d)
+    return textmodel.role_skills(near, textmodel.skill_tfidf(counts, roles), "user_id", 5)
+
+
+@query(f"WITH job, {_model} SELECT role FROM rc ORDER BY role")
+def role_list(spark, d):
+    return _skill_model(spark, d)[1].select("role").orderBy("role")
 
 
 @query(f"WITH job, {_model}{_matrix} SELECT role, skill, score FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY round(score, 9) DESC, skill) AS rk FROM mx) WHERE rk <= 5")
@@ -385,32 +405,54 @@ def ivf_search(spark, d):
     return vectors.ivf_search(*_search(spark, d), 10, **CELLS)
 
 
-@query("SELECT 1.0::DOUBLE AS recall")
+@query()
 def recall_at_k(spark, d):
     """Of the cell search as the query ivf_search runs it."""
     queries, items = _search(spark, d)
     return vectors.recall_at_k(vectors.ivf_search(queries, items, 10, **CELLS), vectors.top_k(queries, items, 10), 10)
 
 
+# How many items of each source a search for one kind of vector returns.
+NEAREST = 20
+
+
 def _candidates(spark, d):
-    """Profiles (every customer whose key is divisible by 20, with the order of that number) against the jobs of the same title."""
-    jobs = job_view(spark, d)
-    people = read(spark, d, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("query_id"), F.col("c_custkey").cast("string").alias("job_link"))
-    profiles = people.join(jobs, "job_link").select("query_id", F.col("title").alias("q_title"), F.col("skills").alias("q_skills"), F.col("location").alias("q_place"))
-    by_title = profiles.join(jobs.select(F.col("job_link").cast("long").alias("item_id"), "source", "title", "skills", "location"), F.col("q_title") == F.col("title"))
-    scores = by_title.withColumn("title_score", text.text_similarity(F.col("q_title"), F.col("title"))).withColumn("skills_score", text.skill_overlap(F.col("q_skills"), F.col("skills"))).withColumn("full_score", (F.col("item_id") % 10) / 10)
-    scores = scores.withColumn("fuzzy_title", F.col("title_score")).withColumn("overlap", F.col("skills_score")).withColumn("place", text.location_score(F.col("q_place"), F.col("location")))
+    """Profiles (every customer whose key is divisible by 20, with the order of that number) against the jobs that three searches
+    per source find for them: by title, by skills and by all of it."""
+    jobs = job_view(spark, d).select(F.col("job_link").cast("long").alias("item_id"), "source", "title", "skills", "location").persist()
+    people = read(spark, d, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("item_id"))
+    profiles = people.join(jobs, "item_id").select(F.col("item_id").alias("query_id"), F.col("title").alias("q_title"), F.col("skills").alias("q_skills"), F.col("location").alias("q_place"))
+    skills = F.array_join("skills", " ")
+    found = None
+    for kind, whole in {"title": F.col("title"), "skills": skills, "full": F.concat_ws(" ", "title", skills, "location")}.items():
+        rows = vectors.dense(vectors.encode_hashed(jobs.select("item_id", whole.alias("t")), "item_id", "t"), "item_id").join(jobs.select("item_id", "source"), "item_id").persist()
+        asked = rows.join(F.broadcast(profiles.select("query_id")), F.col("item_id") == F.col("query_id")).select("query_id", "vec")
+        for source in rules.SOURCE_LIMITS:
+            got = vectors.top_k(asked, rows.where(F.col("source") == source), NEAREST).where("score > 0")
+            got = got.select("query_id", F.lit(source).alias("source"), "item_id", F.lit(kind).alias("kind"), "score")
+            found = got if found is None else found.unionByName(got)
+    rows = vectors.merge_kinds(found).join(jobs.drop("source"), "item_id").join(profiles, "query_id")
+    scores = rows.withColumn("fuzzy_title", text.text_similarity(F.col("q_title"), F.col("title"))).withColumn("overlap", text.skill_overlap(F.col("q_skills"), F.col("skills"))).withColumn("place", text.location_score(F.col("q_place"), F.col("location")))
     return vectors.rerank(scores), profiles
 
 
-_cand = """WITH job, pf AS (SELECT CAST(c_custkey AS BIGINT) AS query_id, title AS q_title, skills AS q_skills, location AS q_place FROM customer JOIN job ON CAST(c_custkey AS VARCHAR) = job_link WHERE c_custkey % 20 = 0),
-sc AS (SELECT query_id, source, CAST(job_link AS BIGINT) AS item_id, skills, CASE WHEN trim(title) = '' THEN 0.0 ELSE 1.0 END AS t,
- CASE WHEN len(q_skills) = 0 OR len(skills) = 0 THEN 0.0 ELSE len(list_intersect(q_skills, skills)) / len(q_skills) END AS s, (CAST(job_link AS BIGINT) % 10) / 10 AS f, q_place, location,
- string_split(replace(lower(q_place), ',', ''), ' ') AS u, string_split(replace(lower(location), ',', ''), ' ') AS l FROM pf JOIN job ON q_title = title),
+_toks = lambda c: f"list_distinct(list_filter(string_split(trim(regexp_replace(lower({c}), '[^a-z0-9+#.]+', ' ', 'g')), ' '), lambda x: x <> ''))"
+_cand = f"""WITH job, pf AS (SELECT CAST(c_custkey AS BIGINT) AS query_id, title AS q_title, skills AS q_skills, location AS q_place FROM customer JOIN job ON CAST(c_custkey AS VARCHAR) = job_link WHERE c_custkey % 20 = 0),
+jb AS (SELECT CAST(job_link AS BIGINT) AS id, source, title, skills, array_to_string(skills, ' ') AS st, location FROM job),
+kd AS (SELECT id, source, 'title' AS kind, title AS t FROM jb UNION ALL SELECT id, source, 'skills', st FROM jb UNION ALL SELECT id, source, 'full', concat_ws(' ', title, st, location) FROM jb),
+tk AS (SELECT id, source, kind, unnest(list_filter(string_split(trim(regexp_replace(lower(t), '[^a-z0-9+#.]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM kd),
+en AS (SELECT id, source, kind, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS b, count(*) AS n FROM tk GROUP BY ALL),
+ev AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY id, kind)) AS v FROM en),
+sr AS (SELECT q.id AS query_id, x.source, x.id AS item_id, x.kind, round(sum(q.v * x.v), 9) AS score FROM ev q JOIN ev x ON q.kind = x.kind AND q.b = x.b WHERE q.id IN (SELECT query_id FROM pf) GROUP BY ALL),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, kind ORDER BY score DESC, item_id) AS rk FROM sr) WHERE rk <= 20),
+mg AS (SELECT query_id, source, item_id, coalesce(max(score) FILTER (kind = 'title'), 0) AS st, coalesce(max(score) FILTER (kind = 'skills'), 0) AS ss, coalesce(max(score) FILTER (kind = 'full'), 0) AS sf FROM tp GROUP BY ALL),
+tt AS (SELECT mg.*, jb.skills, jb.location, q_place, q_skills, {_toks('q_title')} AS a, {_toks('jb.title')} AS c FROM mg JOIN jb ON jb.id = mg.item_id JOIN pf USING (query_id)),
+sc AS (SELECT *, CASE WHEN len(a) = 0 OR len(c) = 0 THEN 0.0 ELSE greatest(len(list_intersect(a, c)) / len(list_distinct(list_concat(a, c))), len(list_intersect(a, c)) / len(a)) END AS t,
+ CASE WHEN len(q_skills) = 0 OR len(skills) = 0 THEN 0.0 ELSE len(list_intersect(q_skills, skills)) / len(q_skills) END AS s, string_split(replace(lower(q_place), ',', ''), ' ') AS u, string_split(replace(lower(location), ',', ''), ' ') AS l FROM tt),
 sd AS (SELECT *, list_filter(list_transform(u, lambda x: trim(regexp_replace(x, '[^a-z0-9+#.]+', ' ', 'g'))), lambda x: x <> '') AS ut, trim(regexp_replace(lower(q_place), '[^a-z0-9+#.]+', ' ', 'g')) AS un, trim(regexp_replace(lower(location), '[^a-z0-9+#.]+', ' ', 'g')) AS jn FROM sc),
 se AS (SELECT *, list_distinct(string_split(un, ' ')) AS x, list_distinct(string_split(jn, ' ')) AS y FROM sd),
 pl AS (SELECT *, CASE WHEN un = '' OR jn = '' THEN 0.0 WHEN un = jn THEN 1.0 WHEN contains(un, jn) OR contains(jn, un) THEN 0.8 ELSE least(0.6::DOUBLE, len(list_intersect(x, y)) / len(x)) END AS p FROM se),
-rr AS (SELECT query_id, source, item_id, skills, t * 0.3::DOUBLE + s * 0.3::DOUBLE + f * 0.4::DOUBLE AS semantic, t, s, p FROM pl),
+rr AS (SELECT query_id, source, item_id, skills, st * 0.3::DOUBLE + ss * 0.3::DOUBLE + sf * 0.4::DOUBLE AS semantic, t, s, p FROM pl),
 bs AS (SELECT *, semantic * 0.45::DOUBLE + t * 0.20::DOUBLE + s * 0.25::DOUBLE + p * 0.10::DOUBLE AS base FROM rr),
 fn AS (SELECT *, base * CASE source WHEN 'historical' THEN 0.45::DOUBLE ELSE 0.55::DOUBLE END AS final FROM bs)"""
 
@@ -474,9 +516,9 @@ def profile_json(spark, d):
     return read(spark, d, "events").select("event_id", got["k"].alias("k"), text.or_default(got["title"], "Unknown").alias("job_title"))
 
 
-@query("""SELECT doc_id, substr(trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)), 1, 12000) AS squeezed FROM documents""")
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS squeezed FROM documents""")
 def squeeze_text(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.squeeze_text(F.col("text")).alias("squeezed"))
+    return read(spark, d, "documents").select("doc_id", text.squeeze_text(F.col("text"), None).alias("squeezed"))
 
 
 @query("""WITH job SELECT job_link, coalesce(nullif(trim(location), ''), nullif(trim(job_link), ''), 'No link') AS link, least(CAST(trunc(100 * ((CAST(job_link AS BIGINT) % 131) / 100.0::DOUBLE)) AS INTEGER), 100) AS pct FROM job""")
@@ -498,12 +540,11 @@ def group_family(spark, d):
 @query("SELECT DISTINCT event_id, user_id, event_type FROM events")
 def stream_mart(spark, d):
     """All event files as a stream, appended to a mart by key; the folder is new, so the whole table arrives."""
-    import tempfile
     import uuid
 
     from hirelake.streaming.ingest import append_new_rows, run_available, stream_files
 
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir') + '/_streams'}/{uuid.uuid4().hex}"
     schema = read(spark, d, "events").schema
     stream = stream_files(spark, f"{d}/events.parquet*", schema).select("event_id", "user_id", "event_type")
     run_available(stream, f"{root}/state", append_new_rows(f"{root}/mart", ["event_id"], [F.col("user_id"), F.col("event_type")]))
