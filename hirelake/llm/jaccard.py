@@ -322,7 +322,7 @@ def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     known = shared.join(pop, "node").withColumn("rank", F.col("pop") / F.col("n"))
     centres = known.groupBy("token").agg(F.max(F.struct("rank", "node", "n")).alias("c"))
     near = (100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n"))) & (F.col("node") != F.col("c.node"))
-    pairs = known.join(centres, "token").where(near).select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v")).distinct()
+    pairs = known.join(centres, "token").where(near).select(F.col("node").alias("u"), F.col("c.node").alias("v")).distinct()
     sides = [nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"b{s}"), *(F.col(p).alias(p + s) for p in OTHERS)) for s in "uv"]
 
     def passing(found: DataFrame) -> DataFrame:
@@ -354,7 +354,7 @@ def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "bits")
     ordered = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    left = ordered.mapInArrow(_block_pairs(percent), "u long, v long").distinct().join(stars, ["u", "v"], "left_anti")
+    left = ordered.mapInArrow(_block_pairs(percent), "u long, v long").distinct().join(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
     more = verify(passing(left))
     labels = components(links.unionByName(more))
     total = nodes.agg(F.sum("members")).first()[0] or 0
