@@ -8,9 +8,12 @@ Template: <|im_start|>ROLE newline TEXT <|im_end|> newline. Inside roles and tex
 becomes \\s and every <| becomes <\\p (a role's newline \\n), so no text can spell a control string, and
 the way back is exact. All of it is DataFrame expressions.
 
+A kind is escaped like a role, and cannot close its own placeholder.
+
 Cases: null roles and texts are empty; a null turn comes first and repeated turns are ordered by role
 and text; rows with a null conversation form one; a conversation without an assistant turn has an empty
-loss mask; an empty table gives an empty result.
+loss mask; an empty table gives an empty result; columns besides conv_id, turn, role and parts are left out; texts of
+any length are formatted whole.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ def text_part(text: Column) -> Column:
 
 
 def _placeholder(kind: Column, number: Column) -> Column:
-    return F.concat(F.lit("<|"), kind, F.lit("_"), number.cast("string"), F.lit("|>"))
+    return F.concat(F.lit("<|"), F.replace(escape_role(kind), F.lit("|>"), F.lit("\\q")), F.lit("_"), number.cast("string"), F.lit("|>"))
 
 
 def visit_parts(parts: Column) -> tuple[Column, Column]:

@@ -266,7 +266,7 @@ PART_NAMES = {
 STATE_NAMES = ["no-sidebar", "has-sidebar", "comments-open", "comments-closed", "ad-free", "with-banner", "menu-open", "single-post", "page", "home", "dark"]
 
 
-def written_pages(n: int = 240, seed: int = 7) -> list[str]:
+def written_pages(n: int = 320, seed: int = 7) -> list[str]:
     """Pages by rule, each part of them marked by data-keep."""
     rng = random.Random(seed)
 
@@ -308,28 +308,33 @@ def written_pages(n: int = 240, seed: int = 7) -> list[str]:
 
     out = []
     for _ in range(n):
-        kind = rng.choice(["article", "article", "main", "div", "div", "div", "section", "td"])
+        kind = rng.choice(["article", "article", "main", "div", "div", "div", "section", "td", "bare", "bare"])
         states = " ".join(rng.sample(STATE_NAMES, rng.randint(0, 3)))
         name = f'class="{rng.choice(CONTENT_NAMES)} {states}"' if kind not in ("article", "main") and rng.random() < 0.7 or rng.random() < 0.4 else f'class="{states}"'
         body = f'<{kind} {name} data-keep="1">{article()}</{kind}>'
         body = f"<table><tr>{body}</tr></table>" if kind == "td" else body
-        top = [part("links", rng.random() < 0.9) for _ in range(rng.randint(0, 2))] + [part("blurb", True) for _ in range(rng.randint(0, 2))]
+        bare = kind == "bare"
+        alone = bare and rng.random() < 0.6
+        if bare:
+            short = rng.choice([prose(10, 60), f"<p>{prose(10, 60)}</p>", f"<div>{prose(10, 200)}</div>", f"<h1>{prose(10, 30)}</h1><p>{prose(10, 80)}</p>"])
+            body = short if rng.random() < 0.5 else article()
+        top = [part("links", kind == "bare" or rng.random() < 0.9) for _ in range(rng.randint(0, 2))] + [part("blurb", True) for _ in range(rng.randint(0, 2))]
         end = [part(rng.choice(["links", "blurb", "form", "talk"]), True) for _ in range(rng.randint(0, 4))]
         if kind in CONTENT_KINDS and rng.random() < 0.6:
             end.insert(0, part(rng.choice(["talk", "blurb"]), False))
         if rng.random() < 0.5:
             end.append(part("blurb", True).replace("<div", "<footer").replace("</div>", "</footer>"))
-        inner = "".join([*top, body, *end])
-        for _ in range(rng.choice([0, 0, 1, 2])):
+        inner = body if alone else "".join([*top, body, *end])
+        for _ in range(0 if bare else rng.choice([0, 0, 1, 2])):
             inner = f'<div class="{rng.choice(["wrap", "container", "page", "site", "row"])}">{inner}</div>'
-        out.append(f'<html><head><title>w</title></head><body class="{" ".join(rng.sample(STATE_NAMES, rng.randint(0, 3)))}">{inner}</body></html>')
+        out.append(f'<html><head><title>w</title></head><body class="{" ".join(rng.sample(STATE_NAMES, rng.randint(0, 3)))}"{' data-keep="1"' * bare}>{inner}</body></html>')
     return out
 
 
 class Boosted:
     """Gradient-boosted trees with logistic loss over binned features."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.3, bins: int = 24):
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 70, depth: int = 4, rate: float = 0.3, bins: int = 24):
         self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
         b = np.asfortranarray(self.binned(x).astype(np.int32))
         mean = np.clip(y.mean(), 1e-3, 1 - 1e-3)
