@@ -1,5 +1,10 @@
 """A training corpus from the documents table, in five stages. Each takes all that the one before kept and returns
-rows of documents; the last returns packed pieces."""
+rows of documents; the last returns packed pieces.
+
+Cases: null and empty texts aren't toxic, have one line, are in no group of near copies, and have no word to be mixed; null and
+repeated ids and repeated rows stay apart but for near copies; an empty table passes every stage. Python workers get at most
+BATCH_ROWS whole texts at once: the stages set spark.sql.execution.arrow.maxRecordsPerBatch for their session, as a
+DataFrame reads it when it runs."""
 
 from __future__ import annotations
 
@@ -63,7 +68,7 @@ STAGES = [
     ("packing", pack_documents),
 ]
 
-#: Learned scores and shingle components can't be told in SQL; tests hold each stage against plain Python.
+#: Learned scores and shingle components can't be told in SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
