@@ -1,6 +1,7 @@
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,15 @@ def test_no_python_in_text_queries(spark):
 
     plan = spark.range(1).select(text.basic_clean_title(F.lit("a")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_top_k_in_blocks(spark):
+    """Queries that may not be broadcast meet the items in blocks; ties go to the smaller item."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (300, 6)).astype(float)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, vec array<double>")
+    queries = items.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
+    want = {(q, i, s) for q in range(0, 300, 20) for s, i in sorted((-float(x[q] @ x[i]), i) for i in range(300))[:5]}
+    for most in (0, 1 << 20):
+        got = {(r["query_id"], r["item_id"], -r["score"]) for r in vectors.top_k(queries, items, 5, query_bytes=most).collect()}
+        assert got == want
