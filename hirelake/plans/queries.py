@@ -130,29 +130,54 @@ def canonical_title(spark, d):
     return job_view(spark, d).select("title", canonical.alias("canonical")).distinct()
 
 
-# Spellings of places, chosen by the order's number.
-US_PLACES = ["Remote, Austin, TX", "Hybrid | London; U.K.", "san jose, california, usa", "Paris", "", "o'fallon, mo", "Anywhere - Toronto, Canada", "none, Germany"]
-VN_PLACES = ["HCM", "District 1, HCMC, Vietnam", "Vietnam", "Hanoi - Vietnam", "", "Da Nang, Somewhere", "Germany, Berlin", "nan"]
+#: What the postings' own places are spelled with: a word that says nothing, a separator, a country or state, all by the company's number.
+PLACE_PREFIXES = ["", *rules.LOCATION_NOISE]
+PLACE_SEPARATORS = [", ", "; ", " | ", " - ", ",, "]
+PLACE_NAMES = [*sorted({**rules.COUNTRIES, **rules.COUNTRIES_BATCH}), *sorted(rules.CITIES_BATCH), *rules.STATE_CODES, *rules.STATE_NAMES, "", "none", "nan", "o'fallon"]
 
 
-def _place(places: list[str]):
-    return F.element_at(F.array(*[F.lit(p) for p in places]), (F.col("job_link").cast("long") % len(places) + 1).cast("int"))
+def _spelled_location():
+    """The view's location as a posting may spell it: with a country, city or state before or after it, or that alone."""
+    n = F.coalesce(F.regexp_extract("company", r"(\d+)$", 1).try_cast("long"), F.lit(0))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    sep, name = pick(PLACE_SEPARATORS), pick(PLACE_NAMES)
+    place = F.when(n % 3 == 0, F.concat("location", sep, name)).when(n % 3 == 1, F.concat(name, sep, "location")).otherwise(name)
+    return F.concat(pick(PLACE_PREFIXES), F.lit(" "), place)
 
 
-def _places_sql(places: list[str], results: list[tuple[str, str, str]]) -> str:
-    cols = [_sql_list(x) for x in zip(*results, strict=True)]
-    at = f"[1 + CAST(job_link AS BIGINT) % {len(places)}]"
-    return f"WITH job SELECT job_link, {cols[0]}{at} AS city_clean, {cols[1]}{at} AS country_clean, {cols[2]}{at} AS location_final FROM job"
+def _sql_pick(values: list[str]) -> str:
+    return f"{_sql_list(values)}[1 + n % {len(values)}]"
 
 
-@query(_places_sql(US_PLACES, [("Austin", "United States", "Austin, United States"), ("London", "United Kingdom", "London, United Kingdom"), ("San Jose", "United States", "San Jose, United States"), ("Paris", "", "Paris"), ("", "", "Unknown"), ("O'Fallon", "United States", "O'Fallon, United States"), ("Toronto", "Canada", "Toronto, Canada"), ("", "Germany", "Germany")]))
+_place = f"""num AS (SELECT job_link, location, coalesce(try_cast(regexp_extract(company, '(\\d+)$', 1) AS BIGINT), 0) AS n FROM job),
+raw AS (SELECT job_link, concat({_sql_pick(PLACE_PREFIXES)}, ' ', CASE n % 3 WHEN 0 THEN concat(location, {_sql_pick(PLACE_SEPARATORS)}, {_sql_pick(PLACE_NAMES)})
+  WHEN 1 THEN concat({_sql_pick(PLACE_NAMES)}, {_sql_pick(PLACE_SEPARATORS)}, location) ELSE {_sql_pick(PLACE_NAMES)} END) AS r FROM num)"""
+_quiet = "translate(trim(regexp_replace(lower(r), '\\s+', ' ', 'g')), '|;', ',,')"
+for _w in rules.LOCATION_NOISE:
+    _quiet = f"replace({_quiet}, '{_w}', '')"
+_country = f"coalesce({_sql_map(rules.COUNTRIES)}[replace(p, '.', '')], CASE WHEN list_contains({_sql_list([*rules.STATE_CODES, *rules.STATE_NAMES])}, replace(p, '.', '')) THEN 'United States' END)"
+
+
+@query(f"""WITH job, {_place}, q AS (SELECT job_link, list_filter(list_transform(string_split(trim({_quiet}, ' ,-/'), ','), lambda p: trim(p, ' ,-/')), lambda p: p <> '') AS parts FROM raw),
+c AS (SELECT job_link, parts, list_transform(parts, lambda p: {_country}) AS found FROM q),
+k AS (SELECT job_link, coalesce({_sql_title(f"list_filter(parts, lambda p, i: found[i] IS NULL AND p NOT IN ('', 'nan', 'none', 'null'))[1]")}, '') AS city_clean, coalesce(list_filter(list_reverse(found), lambda x: x IS NOT NULL)[1], '') AS country_clean FROM c)
+SELECT *, CASE WHEN city_clean || country_clean = '' THEN 'Unknown' ELSE array_to_string(list_filter([city_clean, country_clean], lambda x: x <> ''), ', ') END AS location_final FROM k""")
 def location_us(spark, d):
-    return job_view(spark, d).select("job_link", location.clean_city_country(_place(US_PLACES)).alias("x")).select("job_link", "x.*")
+    return job_view(spark, d).select("job_link", location.clean_city_country(_spelled_location()).alias("x")).select("job_link", "x.*")
+
+
+_find = lambda p: f"{_sql_map(rules.COUNTRIES_BATCH)}[lower({p})]"
+_city = lambda p: f"coalesce({_sql_map(rules.CITIES_BATCH)}[lower({p})], {_sql_title(p)})"
 
 
-@query(_places_sql(VN_PLACES, [("Ho Chi Minh", "Unknown", "Ho Chi Minh, Unknown"), ("Ho Chi Minh", "Vietnam", "Ho Chi Minh, Vietnam"), ("Unknown", "Vietnam", "Unknown, Vietnam"), ("Hanoi", "Vietnam", "Hanoi, Vietnam"), ("Unknown", "Unknown", "Unknown"), ("Da Nang", "Somewhere", "Da Nang, Somewhere"), ("Berlin", "Germany", "Berlin, Germany"), ("Unknown", "Unknown", "Unknown")]))
+@query(f"""WITH job, {_place}, t AS (SELECT job_link, CASE WHEN lower(trim(r)) IN ('', 'nan', 'none', 'null') THEN '' ELSE trim(r) END AS t FROM raw),
+q AS (SELECT job_link, list_filter(list_transform(string_split(replace(translate(t, '|;', ',,'), ' - ', ','), ','), lambda p: trim(p)), lambda p: p <> '') AS parts FROM t),
+a AS (SELECT job_link, parts, len(parts) AS n, coalesce(list_position(list_transform(parts, lambda p: {_find("p")} IS NOT NULL), true), 0) AS pos FROM q),
+k AS (SELECT job_link, CASE WHEN n = 0 THEN 'Unknown' WHEN n = 1 THEN coalesce({_find("parts[1]")}, 'Unknown') WHEN pos > 0 THEN {_find("parts[pos]")} ELSE {_sql_title("parts[-1]")} END AS country_clean,
+  CASE WHEN n = 0 OR (n = 1 AND pos > 0) THEN 'Unknown' ELSE {_city("parts[CASE WHEN n = 1 OR pos = 0 THEN 1 WHEN pos = 1 THEN 2 ELSE pos - 1 END]")} END AS city_clean FROM a)
+SELECT *, CASE WHEN city_clean = 'Unknown' AND country_clean = 'Unknown' THEN 'Unknown' ELSE concat_ws(', ', city_clean, country_clean) END AS location_final FROM k""")
 def location_vn(spark, d):
-    return job_view(spark, d).select("job_link", location.clean_location_batch(_place(VN_PLACES)).alias("x")).select("job_link", "x.*")
+    return job_view(spark, d).select("job_link", location.clean_location_batch(_spelled_location()).alias("x")).select("job_link", "x.*")
 
 
 def _sql_scores(weights: tuple[str, str], title: str, by_pattern: bool = False) -> str:

@@ -34,11 +34,18 @@ def test_text(spark, made, expected):
     assert value(spark, made()) == expected
 
 
-@pytest.mark.parametrize("place,expected", [("Remote, Austin, TX", ("Austin", "United States", "Austin, United States")), (None, ("", "", "Unknown"))])
+@pytest.mark.parametrize("place,expected", [
+    ("Remote, Austin, TX", ("Austin", "United States", "Austin, United States")), (None, ("", "", "Unknown")), ("", ("", "", "Unknown")), ("Paris", ("Paris", "", "Paris")),
+    ("Hybrid | London; U.K.", ("London", "United Kingdom", "London, United Kingdom")), ("o'fallon, mo", ("O'Fallon", "United States", "O'Fallon, United States")),
+    ("Anywhere - Toronto, Canada", ("Toronto", "Canada", "Toronto, Canada")), ("none, Germany", ("", "Germany", "Germany")),
+])
 def test_city_country(spark, place, expected):
     assert tuple(value(spark, location.clean_city_country(F.lit(place).cast("string")))) == expected
 
 
-@pytest.mark.parametrize("place,expected", [("HCM", ("Ho Chi Minh", "Unknown", "Ho Chi Minh, Unknown")), ("District 1, HCMC, Vietnam", ("Ho Chi Minh", "Vietnam", "Ho Chi Minh, Vietnam"))])
+@pytest.mark.parametrize("place,expected", [("HCM", ("Ho Chi Minh", "Unknown", "Ho Chi Minh, Unknown")), ("District 1, HCMC, Vietnam", ("Ho Chi Minh", "Vietnam", "Ho Chi Minh, Vietnam")),
+    ("Vietnam", ("Unknown", "Vietnam", "Unknown, Vietnam")), ("Hanoi - Vietnam", ("Hanoi", "Vietnam", "Hanoi, Vietnam")), ("", ("Unknown", "Unknown", "Unknown")), ("nan", ("Unknown", "Unknown", "Unknown")),
+    ("Da Nang, Somewhere", ("Da Nang", "Somewhere", "Da Nang, Somewhere")), ("Germany, Berlin", ("Berlin", "Germany", "Berlin, Germany")),
+])
 def test_location_batch(spark, place, expected):
     assert tuple(value(spark, location.clean_location_batch(F.lit(place)))) == expected
