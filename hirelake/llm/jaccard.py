@@ -112,21 +112,30 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+#: Buckets of shingles met that are counted at once.
+MET = 1 << 18
+
+
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        counts, met, n_met = np.zeros(1 << BUCKET_BITS, np.int64), [np.empty(0, np.int64)], 0
         names = ["doc_id", "th", "n", "node", "bits", "bucket", "cnt"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
         for b in batches:
             ns, nodes, bits = [], [], []
             for text in b.column(2):
                 sh = shingles(text.as_py(), size)
-                counts += np.bincount((sh >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
+                met.append((sh >> U(64 - BUCKET_BITS)).astype(np.int64))
+                n_met += len(sh)
+                if n_met >= MET:
+                    counts += np.bincount(np.concatenate(met), minlength=len(counts))
+                    met, n_met = [np.empty(0, np.int64)], 0
                 ns.append(len(sh))
                 nodes.append(node_of(sh))
                 bits.append(bitmap(sh))
             cols = [b.column(0), b.column(1), ns, nodes, bits, [None] * len(ns), [None] * len(ns)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        counts += np.bincount(np.concatenate(met), minlength=len(counts))
         at = np.flatnonzero(counts)
         none = [pa.nulls(len(at), k) for k in kinds[:5]]
         yield pa.RecordBatch.from_arrays([*none, pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=names)
