@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import chat, html, jaccard, lines, media, mixing, packing, sketches, substrings, toxicity
+from hirelake.llm import chat, codes, html, jaccard, lines, media, mixing, packing, periodic, sketches, substrings, tokencount, toxicity
 from hirelake.llm.common import table
 
 
@@ -123,5 +123,69 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substrings, op3_mixing, op4_fingerprints, op5_line_dedup, op6_toxicity, op7_chat_format, op8_jaccard, op9_media, op10_html)}
-ORACLES = {"op3_mixing": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_chat_format": OP7_SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+_DISTANCE = "list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))"
+_assigned = lambda i: f"""a{i} AS (SELECT n, p, arg_min(e, {{'d': d, 'e': e}}) AS e, min(d) AS d FROM (SELECT x.n, x.p, c.e, CAST({_DISTANCE} AS BIGINT) AS d FROM x JOIN c{i} c ON x.p = c.p) GROUP BY n, p)"""
+_moved = lambda i: f"""m{i} AS (SELECT p, e, list(m ORDER BY place) AS v FROM (
+  SELECT p, e, place, (s - ((s % k) + k) % k) // k AS m FROM (SELECT x.p, a.e, place, CAST(sum(v[place]) AS BIGINT) AS s, count(*) AS k
+    FROM (SELECT n, p, v, unnest(range(1, len(v) + 1)) AS place FROM x) x JOIN a{i} a ON x.n = a.n AND x.p = a.p GROUP BY ALL)) GROUP BY p, e),
+c{i + 1} AS (SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m ON c.p = m.p AND c.e = m.e)"""
+
+OP11_SQL = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(4096 * CAST(y AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y) OR abs(y) > 32768)) = 0),
+x AS (SELECT n, p, v[p * w + 1:p * w + w] AS v FROM (SELECT n, v, len(v) // 8 AS w, unnest(range(8)) AS p FROM k)),
+c0 AS (SELECT p, n - 1 AS e, v FROM x WHERE n <= 16),
+{", ".join(f"{_assigned(i)}, {_moved(i)}" for i in range(6))}, {_assigned(6)},
+r AS (SELECT n, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY n),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h FROM c6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM k JOIN r USING (n), h"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    out = periodic.periodic_runs(docs).withColumn("best", best)
+    told = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.l")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("-1000 * best.l div best.period").alias("exponent_milli"),
+        F.sha2(told.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([CAST(i AS BIGINT)], range(8)), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)])), 4294967295) AS h FROM documents, t),
+g AS (SELECT *, h // 10 AS g, len(w) AS n FROM d),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+e AS (SELECT r, doc_id, CASE WHEN doc_id IS NOT NULL AND h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+u AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM e),
+f AS (SELECT * FROM u QUALIFY count(*) OVER (PARTITION BY r, word) >= 4),
+m AS (SELECT x.r, y.i - x.i AS q, x.i FROM f x JOIN f y ON x.r = y.r AND x.word = y.word AND y.i > x.i),
+l AS (SELECT r, q, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS isle, i FROM m),
+c AS (SELECT r, q, min(i) AS s, count(*) + q AS len FROM l GROUP BY r, q, isle HAVING count(*) + q >= greatest(6, 4 * q)),
+z AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.r = c.r AND o.q < c.q AND c.q % o.q = 0 AND o.s <= c.s AND o.s + o.len >= c.s + c.len)),
+b AS (SELECT r, count(*) AS n_runs, arg_min({'s': s, 'l': len, 'q': q}, {'l': -len, 's': s, 'q': q}) AS b,
+        sha256(string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q)) AS runs_sha256 FROM z GROUP BY r),
+k AS (SELECT u.r, sha256(string_agg(word, ' ' ORDER BY i)) AS kept FROM u WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.r = u.r AND u.i >= z.s + z.q AND u.i < z.s + z.len) GROUP BY u.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(kept, sha256('')) AS collapsed_sha256
+FROM e LEFT JOIN b USING (r) LEFT JOIN k USING (r)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substrings, op3_mixing, op4_fingerprints, op5_line_dedup, op6_toxicity, op7_chat_format, op8_jaccard, op9_media, op10_html, op11_vector_codes, op12_token_counts, op13_periodic_runs)}
+ORACLES = {"op3_mixing": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "op11_vector_codes": OP11_SQL, "op13_periodic_runs": OP13_SQL}
