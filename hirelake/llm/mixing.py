@@ -4,7 +4,9 @@ Every source is a queue of its shuffled documents, run through up to `max_epochs
 of at most `quantum` words (a packet never crosses documents). A packet's virtual finish time is the number of its
 source's words up to its end, divided by the source's weight. All packets are range-sorted by finish time, summed up
 range by range, and the queue is truncated where the running total meets the budget, the size of all documents: what
-finishes by that time is in the mix. A source that is smaller than its share runs out, and what it can't give goes to
+finishes by that time is in the mix. `mix` lets the packets in service at the cut count in part, by their words' own finish times, so the sum over all
+documents is the budget (words that finish at the very same time go together), and a source is off its target by less than
+1 + weight * sources / sum of weights words. A source that is smaller than its share runs out, and what it can't give goes to
 the others, as their packets come next. Only (finish, words) rows are ranged; what a document gets follows from the
 cut alone.
 
@@ -113,21 +115,32 @@ def _placed(line: DataFrame, per: DataFrame) -> DataFrame:
     return line.join(per, line["source"].eqNullSafe(per["p_source"])).drop("p_source")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, chunks: int = 1024, quantum: int = QUANTUM) -> DataFrame:
-    """Every document with its source's target and `taken`, the words of it that the mix holds over all epochs: its
-    packets that finish by the cut. `finish` is the virtual finish time of its first copy."""
-    line, per, cut = _line(docs, weights, max_epochs, chunks, quantum)
-    size, taken = F.col("size"), F.lit(0).cast("long")
-    parts = F.floor((size - 1) / quantum)
+def words_by(time: Column, weight: Column) -> Column:
+    """How many words of a queue with that weight have finished by a time: the largest n with n / weight <= time."""
+    near = F.floor(weight * time)
+    return F.when((near + 1) / weight <= time, near + 1).when(near / weight <= time, near).otherwise(near - 1)
+
 
-    def served(epoch: Column) -> Column:
-        # Only the copy in service at the cut counts its packets.
-        some = F.size(F.filter(F.sequence(F.lit(1).cast("long"), parts), lambda k: _finish(epoch, k * quantum) <= cut)) * quantum
-        return F.when(_finish(epoch, size) <= cut, size).when((parts < 1) | (_finish(epoch, F.lit(quantum)) > cut), 0).otherwise(some)
+def word_time(per: DataFrame, cut: float, budget: int, max_epochs: int, quantum: int) -> float:
+    """The cut to the word: packets in service at the cut count in part, so the words of one packet's time before the cut are
+    put in order of their own finish times, and the running total meets the budget at one of these. `per` has one row per source."""
+    early = cut - quantum / per.agg(F.min("weight")).first()[0]
+    most = F.col("source_size") * max_epochs
+    line = per.select("weight", *[F.greatest(F.least(words_by(F.lit(t), F.col("weight")), most), F.lit(0)).alias(n) for n, t in (("first", early), ("last", cut))])
+    served = line.agg(F.sum("first")).first()[0]
+    words = line.where("last > first").select("weight", F.explode(F.sequence(F.col("first") + 1, "last")).alias("n"))
+    return cut_time(words.select((F.col("n") / F.col("weight")).alias("finish"), F.lit(1).cast("long").alias("words")), budget - served)
 
-    for e in range(max_epochs if cut is not None else 0):
-        taken = taken + served(F.lit(e))
-    return _placed(line, per).withColumn("taken", taken.cast("long")).withColumn("finish", _finish(F.lit(0), size))
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, chunks: int = 1024, quantum: int = QUANTUM) -> DataFrame:
+    """Every document with its source's target and `taken`, the words of it that the mix holds over all epochs: those that
+    finish by the cut, to the word. `finish` is the virtual finish time of its first copy."""
+    line, per, cut = _line(docs, weights, max_epochs, chunks, quantum)
+    time = word_time(per, cut, per.agg(F.sum("source_size")).first()[0], max_epochs, quantum) if cut is not None else 0.0
+    upto, taken = words_by(F.lit(time), F.col("weight")), F.lit(0)
+    for e in range(max_epochs):
+        taken = taken + F.greatest(F.least(upto - F.col("source_size") * e - F.col("before"), F.col("size")), F.lit(0))
+    return _placed(line, per).withColumn("taken", taken.cast("long")).withColumn("finish", _finish(F.lit(0), F.col("size")))
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, chunks: int = 1024, quantum: int = QUANTUM) -> DataFrame:

@@ -41,9 +41,13 @@ p AS (SELECT *, unnest(range((size + 63) // 64)) AS part FROM e),
 k AS (SELECT r, (source_size * epoch + before + least(size, (part + 1) * 64)) / weight AS finish, least(size, (part + 1) * 64) - part * 64 AS words FROM p),
 u AS (SELECT finish, sum(words) OVER (ORDER BY finish RANGE UNBOUNDED PRECEDING) AS upto FROM k),
 c AS (SELECT min(finish) AS cut FROM u WHERE upto >= (SELECT sum(size) FROM d)),
-n AS (SELECT r, sum(words) AS taken FROM k, c WHERE finish <= cut GROUP BY r)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
-FROM l LEFT JOIN n USING (r)"""
+o AS (SELECT weight, unnest(range(greatest(CAST(floor(weight * (cut - 64)) AS BIGINT) - 1, 0) + 1, least(source_size * 3, CAST(floor(weight * cut) AS BIGINT) + 1) + 1)) AS n, greatest(CAST(floor(weight * (cut - 64)) AS BIGINT) - 1, 0) AS skipped, source_size FROM g, c),
+j AS (SELECT n / weight AS finish, count(*) AS words FROM o GROUP BY 1),
+i AS (SELECT CAST(sum(least(source_size * 3, greatest(CAST(floor(weight * (cut - 64)) AS BIGINT) - 1, 0))) AS BIGINT) AS early FROM g, c),
+q AS (SELECT min(finish) AS cut FROM (SELECT finish, sum(words) OVER (ORDER BY finish RANGE UNBOUNDED PRECEDING) AS upto FROM j), i WHERE upto + early >= (SELECT sum(size) FROM d)),
+x AS (SELECT l.*, list_count(list_filter([floor(weight * cut) - 1, floor(weight * cut), floor(weight * cut) + 1], lambda m: m / weight <= cut)) + floor(weight * cut) - 2 AS by_cut FROM l, q),
+n AS (SELECT *, CASE WHEN by_cut IS NULL THEN 0 ELSE list_sum(list_transform([0, 1, 2], lambda epoch: greatest(least(by_cut - source_size * epoch - before, size), 0))) END AS taken FROM x)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(taken AS BIGINT) AS taken FROM n"""
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
