@@ -1,12 +1,15 @@
 """Rule values of the job-posting domain. All are fixed values."""
 
-# Words that say nothing about a job title, and abbreviations in titles.
-TITLE_NOISE = ["remote", "hybrid", "onsite", "on site", "work from home", "wfh", "full time", "full-time", "part time", "part-time", "contract", "temporary", "freelance", "internship", "urgent", "immediate", "hiring", "apply now", "m/f/d", "f/m/d", "w/m/d"]
+# Patterns of what says nothing about a job title, and abbreviations in titles.
+TITLE_NOISE = [
+    r"\bremote\b", r"\bhybrid\b", r"\bonsite\b", r"\bon site\b", r"\bwork from home\b", r"\bwfh\b", r"\bfull time\b", r"\bfull-time\b", r"\bpart time\b", r"\bpart-time\b",
+    r"\bcontract\b", r"\btemporary\b", r"\bfreelance\b", r"\binternship\b", r"\burgent\b", r"\bimmediate\b", r"\bhiring\b", r"\bapply now\b", r"\bm/f/d\b", r"\bf/m/d\b", r"\bw/m/d\b",
+]
 TITLE_ALIASES = {"sr": "senior", "jr": "junior", "dev": "developer", "eng": "engineer", "mgr": "manager", "swe": "software engineer", "bi": "business intelligence", "ba": "business analyst", "ml": "machine learning"}
 
 # Seniority levels, the first that matches wins.
 SENIORITY = [("Intern", r"\b(intern|trainee)\b"), ("Junior", r"\b(junior|entry level|entry)\b"), ("Senior", r"\b(senior|lead|principal|staff)\b"), ("Manager", r"\b(manager|head|director|vp|chief)\b")]
-SENIORITY_BATCH = [("Intern", r"\b(intern|internship|trainee)\b"), ("Junior", r"\b(junior|entry level|entry)\b"), ("Senior", r"\b(senior|lead|principal|staff|expert)\b"), ("Manager", r"\b(manager|country manager|head|director|vp|chief|cfo)\b")]
+SENIORITY_BATCH = [("Intern", r"\b(intern|internship|trainee)\b"), ("Junior", r"\b(junior|entry level|entry)\b"), ("Senior", r"\b(senior|lead|principal|staff|expert)\b"), ("Manager", r"\b(manager|head|director|vp|chief|cfo|country manager)\b")]
 
 # What isn't a skill.
 SKILL_NOISE = [r"\b\d+\+?\s*(years?|yrs?)\b", r"\bexperience\b", r"\bdegree\b", r"\bbachelor\b", r"\bmaster\b", r"\bphd\b", r"\bability to\b", r"\bresponsible for\b", r"\bsalary\b", r"\bbenefits?\b"]
@@ -23,10 +26,23 @@ FAMILY_BATCH = {"Data & Analytics": "Technology & Analytics", "IT / Software": "
 
 # Countries, states and cities by their spellings.
 COUNTRIES = {"us": "United States", "usa": "United States", "united states": "United States", "united states of america": "United States", "uk": "United Kingdom", "united kingdom": "United Kingdom", "england": "United Kingdom", "canada": "Canada", "india": "India", "vietnam": "Vietnam", "viet nam": "Vietnam", "singapore": "Singapore", "australia": "Australia", "germany": "Germany", "france": "France", "netherlands": "Netherlands", "ireland": "Ireland", "philippines": "Philippines", "mexico": "Mexico", "brazil": "Brazil", "japan": "Japan", "china": "China", "malaysia": "Malaysia", "thailand": "Thailand", "indonesia": "Indonesia"}
-STATE_CODES = "al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy dc".split()
-STATE_NAMES = "alabama,alaska,arizona,arkansas,california,colorado,connecticut,delaware,florida,georgia,hawaii,idaho,illinois,indiana,iowa,kansas,kentucky,louisiana,maine,maryland,massachusetts,michigan,minnesota,mississippi,missouri,montana,nebraska,nevada,new hampshire,new jersey,new mexico,new york,north carolina,north dakota,ohio,oklahoma,oregon,pennsylvania,rhode island,south carolina,south dakota,tennessee,texas,utah,vermont,virginia,washington,west virginia,wisconsin,wyoming,district of columbia".split(",")
+STATE_CODES = [
+    "al", "ak", "az", "ar", "ca", "co", "ct", "de", "fl", "ga", "hi", "id", "il", "in", "ia", "ks", "ky", "la", "me", "md", "ma", "mi", "mn", "ms", "mo", "mt",
+    "ne", "nv", "nh", "nj", "nm", "ny", "nc", "nd", "oh", "ok", "or", "pa", "ri", "sc", "sd", "tn", "tx", "ut", "vt", "va", "wa", "wv", "wi", "wy", "dc",
+]
+STATE_NAMES = [
+    "alabama", "alaska", "arizona", "arkansas", "california", "colorado", "connecticut", "delaware", "florida", "georgia", "hawaii", "idaho", "illinois", "indiana", "iowa", "kansas", "kentucky",
+    "louisiana", "maine", "maryland", "massachusetts", "michigan", "minnesota", "mississippi", "missouri", "montana", "nebraska", "nevada", "new hampshire", "new jersey", "new mexico", "new york",
+    "north carolina", "north dakota", "ohio", "oklahoma", "oregon", "pennsylvania", "rhode island", "south carolina", "south dakota", "tennessee", "texas", "utah", "vermont", "virginia",
+    "washington", "west virginia", "wisconsin", "wyoming", "district of columbia",
+]
 LOCATION_NOISE = ["remote", "hybrid", "onsite", "on-site", "on site", "work from home", "wfh", "home based", "anywhere"]
-COUNTRIES_BATCH = {k: v for k, v in COUNTRIES.items() if k != "united states of america"} | {"việt nam": "Vietnam", "u.s.": "United States", "america": "United States", "u.k.": "United Kingdom", "south korea": "South Korea", "korea": "South Korea"}
+COUNTRIES_BATCH = {
+    "vietnam": "Vietnam", "viet nam": "Vietnam", "việt nam": "Vietnam", "united states": "United States", "usa": "United States", "us": "United States", "u.s.": "United States", "america": "United States",
+    "united kingdom": "United Kingdom", "uk": "United Kingdom", "u.k.": "United Kingdom", "england": "United Kingdom", "canada": "Canada", "australia": "Australia", "india": "India", "france": "France",
+    "germany": "Germany", "china": "China", "japan": "Japan", "south korea": "South Korea", "korea": "South Korea", "singapore": "Singapore", "malaysia": "Malaysia", "thailand": "Thailand",
+    "indonesia": "Indonesia", "philippines": "Philippines", "mexico": "Mexico", "brazil": "Brazil", "ireland": "Ireland", "netherlands": "Netherlands",
+}
 CITIES_BATCH = {"hcm": "Ho Chi Minh", "hcmc": "Ho Chi Minh", "ho chi minh": "Ho Chi Minh", "ho chi minh city": "Ho Chi Minh", "hồ chí minh": "Ho Chi Minh", "hn": "Hanoi", "ha noi": "Hanoi", "hanoi": "Hanoi", "hà nội": "Hanoi", "danang": "Da Nang", "da nang": "Da Nang", "đà nẵng": "Da Nang", "haiphong": "Hai Phong", "hai phong": "Hai Phong", "hải phòng": "Hai Phong"}
 
 # Weights of ranking.

@@ -30,8 +30,17 @@ def null_token_to_blank(c: Column) -> Column:
     return F.when(F.lower(t).isin(NULL_TOKENS), "").otherwise(t)
 
 
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_list(values: Iterable[str]) -> Column:
+    """An array of strings. Written as one SQL literal, as a call for each string takes longer than the query."""
+    return F.expr(f"array({', '.join(map(sql_string, values))})").cast("array<string>")
+
+
 def literal_map(values: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.expr(f"map({', '.join(sql_string(x) for kv in values.items() for x in kv)})")
 
 
 def alias(c: Column, values: Mapping[str, str], otherwise: Column | None = None) -> Column:
@@ -41,8 +50,8 @@ def alias(c: Column, values: Mapping[str, str], otherwise: Column | None = None)
 def basic_clean_title(c: Column) -> Column:
     """Basic cleaning, noise words out one after the other, letters that technical titles need, aliases by word."""
     t = clean_text_basic(c)
-    for word in rules.TITLE_NOISE:
-        t = F.regexp_replace(t, rf"\b{word}\b", " ")
+    for pattern in rules.TITLE_NOISE:
+        t = F.regexp_replace(t, pattern, " ")
     t = collapse(F.regexp_replace(t, r"[^a-z0-9+#./\-\s]", " "))
     return F.array_join(F.transform(F.split(t, " "), lambda w: alias(w, rules.TITLE_ALIASES)), " ")
 

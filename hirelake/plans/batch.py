@@ -58,7 +58,7 @@ _whole = f"lower(concat_ws(' ', {_called}, title, array_to_string(skills, ' '),
 
 
 def _with_call():
-    call = F.element_at(F.array(*map(F.lit, CALLED)), (F.col("job_link").cast("long") % len(CALLED) + 1).cast("int"))
+    call = F.element_at(text.literal_list(CALLED), (F.col("job_link").cast("long") % len(CALLED) + 1).cast("int"))
     return F.concat_ws(" ", call, "title")
 
 
@@ -69,36 +69,6 @@ def classify_batch(spark, d):
     return jobs.select("job_link", group.alias("occupation_group")).withColumn("family", classify.occupation_family(F.col("occupation_group"), rules.FAMILY_BATCH))
 
 
-@query(f"""WITH job, c AS (SELECT job_link, source, batch, md5(trim(lower(concat_ws('|', job_link, title, company)))) AS source_job_id, {_title} AS title_clean, {_canonical} AS l, {_collapsed('location')} AS location_clean, lower({_called} || ' ' || title) AS t, {_whole} AS w FROM job),
-s AS (SELECT *, {_once} AS skills_canonical FROM c)
-SELECT source_job_id, job_link, source, batch, title_clean, skills_canonical, CAST(len(skills_canonical) AS INTEGER) AS skills_count, location_clean, {_sql_case('t', rules.SENIORITY_BATCH, 'Not specified')} AS seniority, {_sql_case('w', rules.BATCH_GROUPS, rules.UNKNOWN)} AS occupation_group,
- title_clean <> '' AS has_title, len(skills_canonical) > 0 AS has_skills, location_clean <> '' AS has_location, title_clean <> '' AND len(skills_canonical) > 0 AS is_valid_for_gold FROM s""")
-def silver_job_view(spark, d):
-    """Every step of the incremental source's Silver build over all postings."""
-    jobs = job_view(spark, d)
-    called = _with_call()
-    rows = jobs.select(
-        text.make_source_job_id(F.col("job_link"), F.col("title"), F.col("company")).alias("source_job_id"),
-        "job_link", "source", "batch",
-        batch.clean_job_title(_marked()).alias("title_clean"),
-        batch.canonicalize_skills(F.concat("skills", F.array(*map(F.lit, NAMED)))).alias("skills_canonical"),
-        batch.clean_place(F.col("location")).alias("location_clean"),
-        text.extract_seniority(called, batch=True).alias("seniority"),
-        batch.occupation_group(batch.classification_text(called, F.col("skills"), F.col("company"))).alias("occupation_group"),
-    )
-    return rows.withColumn("skills_count", F.size("skills_canonical")).withColumns(tables.validity_flags(F.col("title_clean"), F.col("skills_canonical"), F.col("location_clean")))
-
-
-@query("""WITH job SELECT source, md5(trim(lower(concat_ws('|', job_link, title, company)))) AS source_job_id, job_link, trim(company) AS company, CASE WHEN trim(location) = '' THEN 'Unknown' ELSE trim(location) END AS location_final,
-CASE source WHEN 'historical' THEN 0 ELSE CAST(len(skills) AS INTEGER) END AS skills_count_final, coalesce(batch, '') AS crawl_batch FROM job""")
-def gold_metadata(spark, d):
-    """The metadata of the Gold layer: stripped texts, default places, counts that may not be numbers."""
-    jobs = job_view(spark, d).withColumn("n", F.when(F.col("source") == "historical", "n/a").otherwise(F.size("skills").cast("string")))
-    jobs = tables.strip_text(jobs, ["company", "location", "batch"])
-    key = text.make_source_job_id(F.col("job_link"), F.col("title"), F.col("company"))
-    return jobs.select("source", key.alias("source_job_id"), "job_link", "company", text.or_default(F.col("location"), "Unknown").alias("location_final"), tables.coerce_int(F.col("n")).alias("skills_count_final"), F.col("batch").alias("crawl_batch"))
-
-
 @query("""WITH job, v AS (SELECT count(*) FILTER (trim(title) <> '' AND len(skills) > 0) AS n_valid FROM job), s AS (SELECT count(DISTINCT skill) AS n_skills FROM (SELECT unnest(skills) AS skill FROM job)) SELECT n_valid, n_skills FROM v, s""")
 def gold_counts(spark, d):
     jobs = job_view(spark, d)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.functions import location, rules, text
-from hirelake.operators import classify, tables, textmodel, vectors
+from hirelake.operators import tables, textmodel, vectors
 from hirelake.plans.jobs import JOB_SQL, job_view, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,14 +39,6 @@ def _sql_case(column: str, ruleset, default: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{g}'" for g, p in ruleset) + f" ELSE '{default}' END"
 
 
-# Rule lists over the part words of the given tables, in the form of the domain's rules.
-TITLE_RULES = {"Fasteners": ["bolt", "ring"], "Machines": ["gear", "rod"], "Devices": ["gizmo", "widget"], "Metal": ["anvil", "plate"]}
-SKILL_RULES = {"Fasteners": ["bolt", "ring", "small"], "Machines": ["gear", "rod", "hot"], "Devices": ["gizmo", "widget", "blue"], "Metal": ["anvil", "plate", "cold"]}
-GENERIC = ["economy small ring", "promo blue bolt", "large red widget"]
-CASCADE = [("Metal", r"\b(anvil|plate)\b"), ("Devices", r"\b(gizmo|widget)\b"), ("Machines", r"\b(hot gear|gear|rod)\b")]
-PATTERNS = {"Fasteners": r"\b(bolt|ring)\b", "Machines": r"\b(gear|rod)\b", "Devices": r"\bgizmo\b"}
-FAMILIES = {"Fasteners": "Hardware", "Machines": "Hardware", "Devices": "Goods", "Metal": "Hardware"}
-SKILL_ALIASES = {"small ring": "Ring (S)", "red widget": "Widget", "blue bolt": "Bolt"}
 MARK = "concat('Sr. ', title, ' (Remote) - Full-Time Dev / ', source)"
 
 
@@ -65,7 +57,7 @@ def _marked(spark, d):
 
 _noise = "trim(regexp_replace(lower(" + MARK + "), '\\s+', ' ', 'g'))"
 for _w in rules.TITLE_NOISE:
-    _noise = f"regexp_replace({_noise}, '\\b{_w}\\b', ' ', 'g')"
+    _noise = f"regexp_replace({_noise}, '{_w}', ' ', 'g')"
 
 
 @query(f"""WITH job, c AS (SELECT job_link, trim(regexp_replace(regexp_replace({_noise}, '[^a-z0-9+#./\\-\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM job)
@@ -115,21 +107,6 @@ def _sql_title(x: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all(lower({x}), '(\\p{{L}}+|[^\\p{{L}}]+)'), lambda w: upper(w[1]) || w[2:]), '')"
 
 
-@query(f"""WITH job, k AS (SELECT job_link, list_filter(list_concat(skills, ['5+ years of it', 'c', 'r&d', 'go/rust']), lambda s: length(s) > 1 AND NOT regexp_matches(s, '\\b\\d+\\+?\\s*(years?|yrs?)\\b')) AS l FROM job),
-c AS (SELECT job_link, list_transform(l, lambda s: coalesce({_sql_map(SKILL_ALIASES)}[s], CASE WHEN regexp_matches(s, '[#+./]') THEN s ELSE {_sql_title("s")} END)) AS l FROM k)
-SELECT job_link, list_filter(l, lambda x, i: list_position(l, x) = i) AS skills_canonical FROM c""")
-def canonical_skills(spark, d):
-    more = F.concat("skills", F.array(*[F.lit(x) for x in ("5+ years of it", "c", "r&d", "go/rust")]))
-    return job_view(spark, d).select("job_link", text.canonicalize_skills(more, SKILL_ALIASES).alias("skills_canonical"))
-
-
-@query(f"""WITH job SELECT DISTINCT title, CASE WHEN regexp_matches(lower(title), '\\b(bolt|ring)\\b') THEN 'Fastener' WHEN regexp_matches(lower(title), '\\bgear\\b') THEN 'Gear' ELSE {_sql_title("title")} END AS canonical FROM job""")
-def canonical_title(spark, d):
-    t = F.lower("title")
-    canonical = F.when(t.rlike(r"\b(bolt|ring)\b"), "Fastener").when(t.rlike(r"\bgear\b"), "Gear").otherwise(text.title_case(F.col("title")))
-    return job_view(spark, d).select("title", canonical.alias("canonical")).distinct()
-
-
 #: What the postings' own places are spelled with: a word that says nothing, a separator, a country or state, all by the company's number.
 PLACE_PREFIXES = ["", *rules.LOCATION_NOISE]
 PLACE_SEPARATORS = [", ", "; ", " | ", " - ", ",, "]
@@ -139,7 +116,7 @@ PLACE_NAMES = [*sorted({**rules.COUNTRIES, **rules.COUNTRIES_BATCH}), *sorted(ru
 def _spelled_location():
     """The view's location as a posting may spell it: with a country, city or state before or after it, or that alone."""
     n = F.coalesce(F.regexp_extract("company", r"(\d+)$", 1).try_cast("long"), F.lit(0))
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    pick = lambda values: F.element_at(text.literal_list(values), (n % len(values) + 1).cast("int"))
     sep, name = pick(PLACE_SEPARATORS), pick(PLACE_NAMES)
     place = F.when(n % 3 == 0, F.concat("location", sep, name)).when(n % 3 == 1, F.concat(name, sep, "location")).otherwise(name)
     return F.concat(pick(PLACE_PREFIXES), F.lit(" "), place)
@@ -180,41 +157,6 @@ def location_vn(spark, d):
     return job_view(spark, d).select("job_link", location.clean_location_batch(_spelled_location()).alias("x")).select("job_link", "x.*")
 
 
-def _sql_scores(weights: tuple[str, str], title: str, by_pattern: bool = False) -> str:
-    out = []
-    for i, g in enumerate(PATTERNS if by_pattern else TITLE_RULES):
-        hit = f"regexp_matches({title}, '{PATTERNS[g]}')" if by_pattern else f"len(list_filter({_sql_list(TITLE_RULES[g])}, lambda k: contains({title}, k))) > 0"
-        skill = f"least(len(list_filter({_sql_list(SKILL_RULES[g])}, lambda k: contains(array_to_string(skills, ' '), k))) / 3.0::DOUBLE, 1.0)"
-        out.append(f"{{'score': ({weights[0]})::DOUBLE * (CASE WHEN {hit} THEN 1.0 ELSE 0.0 END)::DOUBLE + ({weights[1]})::DOUBLE * {skill}, 'o': {-i}, 'g': '{g}'}}")
-    return "list_sort([" + ", ".join(out) + "], 'DESC')[1]"
-
-
-_prelim = f"""p AS (SELECT *, {_sql_scores(("CASE WHEN lower(title) IN ('economy small ring', 'promo blue bolt', 'large red widget') THEN 0.25 ELSE 0.70 END", "1::DOUBLE - (CASE WHEN lower(title) IN ('economy small ring', 'promo blue bolt', 'large red widget') THEN 0.25 ELSE 0.70 END)::DOUBLE"), "lower(title)")} AS b FROM job)"""
-
-
-@query(f"""WITH job, {_prelim} SELECT job_link, CASE WHEN b.score = 0 THEN '{rules.UNKNOWN}' ELSE b.g END AS "group", round(b.score, 4) AS confidence,
-CASE WHEN b.score = 0 THEN 'no_match' ELSE 'title_skill_rule' END AS method, b.score = 0 OR b.score < 0.65 AS needs_review FROM p""")
-def classify_prelim_score(spark, d):
-    c = classify.classify_preliminary(F.lower("title"), F.col("skills"), TITLE_RULES, SKILL_RULES, GENERIC)
-    return job_view(spark, d).select("job_link", c.alias("c")).select("job_link", "c.*")
-
-
-@query(f"""WITH job SELECT job_link, {_sql_case("concat_ws(' ', lower(title), lower(array_to_string(skills, ' ')), lower(company))", CASCADE, rules.UNKNOWN)} AS "group" FROM job""")
-def classify_prelim_cascade(spark, d):
-    return job_view(spark, d).select("job_link", classify.classify_cascade(F.concat_ws(" ", "title", F.array_join("skills", " "), "company"), CASCADE).alias("group"))
-
-
-@query(f"""WITH job, {_prelim}, q AS (SELECT *, CASE WHEN b.score = 0 THEN '{rules.UNKNOWN}' ELSE b.g END AS pg, round(b.score, 4) AS pc, {_sql_scores(("0.75", "0.25"), "lower(title)", True)} AS f FROM p),
-r AS (SELECT *, CASE WHEN f.score > 0 THEN f.g ELSE pg END AS "group", CASE WHEN f.score > 0 THEN f.score WHEN pg <> '{rules.UNKNOWN}' THEN pc ELSE 0 END AS sure FROM q)
-SELECT job_link, "group", coalesce({_sql_map(FAMILIES)}["group"], '{rules.UNKNOWN}') AS family, round(sure, 4) AS confidence,
-CASE WHEN f.score > 0 THEN 'final_rule' WHEN pg <> '{rules.UNKNOWN}' THEN 'preliminary' ELSE 'no_match' END AS method, sure < 0.65 AS needs_review FROM r""")
-def classify_final(spark, d):
-    c = classify.classify_preliminary(F.lower("title"), F.col("skills"), TITLE_RULES, SKILL_RULES, GENERIC)
-    rows = job_view(spark, d).withColumn("p", c)
-    f = classify.classify_final(F.lower("title"), F.col("skills"), F.col("p.group"), F.col("p.confidence"), PATTERNS, SKILL_RULES, FAMILIES)
-    return rows.select("job_link", f.alias("f")).select("job_link", "f.*")
-
-
 @query("""WITH job SELECT job_link, concat('Job title: ', CASE WHEN trim(title) = '' THEN 'Not specified' ELSE trim(title) END, '.') AS title_text,
 concat('Required skills: ', CASE WHEN len(skills) > 0 THEN array_to_string(skills, ', ') ELSE 'Not specified' END, '.') AS skills_text,
 concat('Job title: ', CASE WHEN trim(title) = '' THEN 'Not specified' ELSE trim(title) END, '. Location: ', CASE WHEN trim(location) = '' THEN 'Unknown' ELSE trim(location) END, '. Required skills: ',
@@ -247,18 +189,6 @@ def missing_rates(spark, d):
     return tables.missing_rates(job_view(spark, d), {"title": F.col("title") != "", "skills": F.size("skills") > 0, "location": F.col("location") != ""})
 
 
-@query(f"""WITH job, {_prelim} SELECT job_link, title, round(b.score, 4) AS confidence FROM p WHERE b.score < 0.65""")
-def audit_low_confidence(spark, d):
-    c = classify.classify_preliminary(F.lower("title"), F.col("skills"), TITLE_RULES, SKILL_RULES, GENERIC)
-    return job_view(spark, d).withColumn("c", c).where("c.needs_review").select("job_link", "title", "c.confidence")
-
-
-@query(f"""WITH job, s AS (SELECT unnest(skills) AS skill FROM job) SELECT skill, count(*) AS n FROM s WHERE NOT list_contains({_sql_list(SKILL_ALIASES)}, skill) GROUP BY skill""")
-def audit_unmapped(spark, d):
-    known = spark.createDataFrame([(k,) for k in SKILL_ALIASES], "skill string")
-    return job_view(spark, d).select(F.explode("skills").alias("skill")).join(F.broadcast(known), "skill", "left_anti").groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH job, s AS (SELECT unnest(skills) AS skill, job_link AS source_job_id, company, location FROM job) SELECT DISTINCT source_job_id, trim(skill) AS skill, company, location FROM s WHERE trim(skill) <> ''""")
 def mart_job_skills(spark, d):
     return tables.mart_job_skills(job_view(spark, d).withColumnRenamed("job_link", "source_job_id"), ["company", "location"])
@@ -554,23 +484,3 @@ def display_fields(spark, d):
 @query("""SELECT c_custkey, c_name FROM customer ORDER BY md5('42' || CAST(c_custkey AS VARCHAR)), c_custkey LIMIT 30""")
 def sample_seeded(spark, d):
     return tables.sample_seeded(read(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 30, "42")
-
-
-@query(f"""WITH job, {_prelim} SELECT coalesce({_sql_map(FAMILIES)}[CASE WHEN b.score = 0 THEN '' ELSE b.g END], '{rules.UNKNOWN}') AS family, count(*) AS n FROM p GROUP BY 1""")
-def group_family(spark, d):
-    c = classify.classify_preliminary(F.lower("title"), F.col("skills"), TITLE_RULES, SKILL_RULES, GENERIC)
-    return job_view(spark, d).groupBy(classify.occupation_family(c["group"], FAMILIES).alias("family")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT DISTINCT event_id, user_id, event_type FROM events")
-def stream_mart(spark, d):
-    """All event files as a stream, appended to a mart by key; the folder is new, so the whole table arrives."""
-    import uuid
-
-    from hirelake.streaming.ingest import append_new_rows, run_available, stream_files
-
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir') + '/_streams'}/{uuid.uuid4().hex}"
-    schema = read(spark, d, "events").schema
-    stream = stream_files(spark, f"{d}/events.parquet*", schema).select("event_id", "user_id", "event_type")
-    run_available(stream, f"{root}/state", append_new_rows(f"{root}/mart", ["event_id"], [F.col("user_id"), F.col("event_type")]))
-    return spark.read.parquet(f"{root}/mart")
