@@ -103,15 +103,6 @@ def mart_append_skills(spark, d):
     return old.unionByName(tables.insert_if_absent(new, old, ["source_job_id", "skill"])).select("source_job_id", "skill", "source")
 
 
-@query("""WITH r AS (SELECT event_type AS name, round(avg(CASE WHEN user_id % 10 < 9 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS recall, round(avg(value), 6) AS ms FROM events GROUP BY 1)
-SELECT name, recall, ms FROM r ORDER BY recall >= 0.9 DESC, CASE WHEN recall >= 0.9 THEN 0 ELSE -recall END, ms, name LIMIT 1""")
-def choose_config(spark, d):
-    """The events' types read as search configurations with a recall and a time."""
-    found = F.when(F.col("user_id") % 10 < 9, 1.0).otherwise(0.0)
-    results = read(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg(F.round(F.avg(found), 6).alias("recall"), F.round(F.avg("value"), 6).alias("ms"))
-    return tables.choose_config(results, 0.9)
-
-
 _profile = f"list_transform(list_filter(list_transform(string_split('sql, Power  BI,' || lower(c_mktsegment) || ',SQL, ,nodejs', ','), lambda s: {_collapsed('s')}), lambda s: s <> ''), lambda s: coalesce({_sql_map(rules.PROFILE_ALIASES)}[lower(s)], s))"
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.functions import location, rules, text
-from hirelake.operators import tables, textmodel, vectors
+from hirelake.operators import cellstore, tables, textmodel, vectors
 from hirelake.plans.jobs import JOB_SQL, job_view, read
+from hirelake.sources.files import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -351,20 +353,48 @@ def topk_exact(spark, d):
     return vectors.top_k(*_search(spark, d), 10)
 
 
-# Cells of the search, and how many nearest ones a query always meets.
-CELLS = {"nlist": 16, "nprobe": 8}
+# Cells of the search, and how many of them a query probes.
+CELLS = {"nlist": 256, "nprobe": 112}
+#: (cells, probes) that choose_config measures.
+SWEPT = [(64, 16), (64, 48), (256, 112), (256, 160)]
+
+
+def cell_store(spark, d, nlist: int) -> str:
+    """The given vectors in a new store of cells, in the shared folder."""
+    root = f"{shared_folder(spark)}/_cells/{uuid.uuid4().hex}"
+    e = _stored_vectors(spark, d)
+    cellstore.train_centres(e, nlist, root)
+    cellstore.append_vectors(root, e, e.select("source", "id", F.lit("all").alias("crawl_batch")), ["full"])
+    return root
+
+
+def _stored_vectors(spark, d):
+    return read(spark, d, "embeddings").select(F.lit("embeddings").alias("source"), F.col("vec_id").alias("id"), F.lit("full").alias("kind"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
 
 @query(_top(10))
 def ivf_search(spark, d):
-    return vectors.ivf_search(*_search(spark, d), 10, **CELLS)
+    """By cells, and beyond them where the bounds ask for it: exact."""
+    root = cell_store(spark, d, CELLS["nlist"])
+    return cellstore.search(spark, root, _search(spark, d)[0], "full", 10, CELLS["nprobe"], exact=True).drop("met")
 
 
 @query()
 def recall_at_k(spark, d):
-    """Of the cell search as the query ivf_search runs it."""
+    """Of the search that meets its probed cells only, with the share of all pairs that it meets."""
     queries, items = _search(spark, d)
-    return vectors.recall_at_k(vectors.ivf_search(queries, items, 10, **CELLS), vectors.top_k(queries, items, 10), 10)
+    found = cellstore.search(spark, cell_store(spark, d, CELLS["nlist"]), queries, "full", 10, CELLS["nprobe"]).persist()
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    met = found.groupBy("query_id").agg(F.max("met").alias("met")).agg(F.avg("met").alias("met"))
+    return vectors.recall_at_k(found, vectors.top_k(queries, items, 10), 10).crossJoin(met.crossJoin(n)).select("recall", (F.col("met") / F.col("n")).alias("met_share"))
+
+
+@query()
+def choose_config(spark, d):
+    """The fastest of measured (cells, probes) with a recall of 0.97 or more, else the one with the best recall."""
+    root = f"{shared_folder(spark)}/_cells/{uuid.uuid4().hex}"
+    measured = cellstore.sweep(root, _stored_vectors(spark, d), _search(spark, d)[0], 10, SWEPT)
+    return tables.choose_config(measured, 0.97)
 
 
 # How many items of each source a search for one kind of vector returns.
