@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,13 +61,55 @@ def split_basic_skills(c: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda s: s != ""))
 
 
-def parse_skills(c: Column) -> Column:
-    """A bracketed list literal, else a comma-separated string, else one skill; null tokens give none."""
+# Items of a list literal: strings in either quotes, with escapes, and plain constants; and a whole list, tuple or set of them.
+_SINGLE, _DOUBLE = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_ITEM = rf"(?s:{_SINGLE}|{_DOUBLE}|[-+]?\d++(?:\.\d*+)?|None|True|False)"
+_SOME = rf"\s*+{_ITEM}\s*+(?:,\s*+{_ITEM}\s*+)*+,?\s*+"
+LITERAL = rf"^(?:\[(?:{_SOME}|\s*+)\]|\((?:{_SOME}|\s*+)\)|\{{{_SOME}\}})$"
+
+
+def is_list_literal(t: Column) -> Column:
+    """Whether a stripped text is a list, tuple or set of constants. A single constant in parentheses is none, as it has no comma."""
+    return t.rlike(LITERAL) & ~t.rlike(rf"^\(\s*+{_ITEM}\s*+\)$")
+
+
+def _unescaped(item: Column) -> Column:
+    """What a quoted string says; other constants are their own text."""
+    inner = F.regexp_replace(item, r"(?s)^(['\"])(.*)\1$", "$2")
+    plain = F.regexp_replace(F.replace(inner, F.lit("\\\\"), F.lit("\u0000")), r"\\n", "\n")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\\t", "\t"), r"\\(['\"])", "$1")
+    return F.when(item.rlike(r"^['\"]"), F.replace(plain, F.lit("\u0000"), F.lit("\\"))).otherwise(item)
+
+
+def list_items(t: Column) -> Column:
+    """The items of a list literal as texts, in order."""
+    return F.transform(F.regexp_extract_all(t, F.lit(f"({_ITEM})"), 1), _unescaped)
+
+
+def _kept(items: Column, clean: Callable[[Column], Column]) -> Column:
+    return F.filter(F.transform(items, clean), lambda s: s != "")
+
+
+def parse_skills(c: Column, by_comma: bool = True, lower: bool = False) -> Column:
+    """The skills that a text spells: the items of a list literal, else, with `by_comma`, what stands between its commas, else the text itself; a null token or an
+    empty list gives none. Items are stripped; blank ones go. With `by_comma` white space in a literal's items becomes one space, and `lower` lower-cases all."""
     t = F.trim(text_or_blank(c))
-    quoted = F.regexp_extract_all(t, F.lit(r"'([^']*)'"), 1)
-    plain = F.split(t, ",")
-    found = F.when(t.startswith("[") & t.endswith("]"), quoted).otherwise(plain)
-    return F.array_distinct(F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: ~F.lower(s).isin(NULL_TOKENS)))
+    case = F.lower if lower else (lambda x: x)
+    item = (lambda s: case(collapse(s))) if by_comma else (lambda s: F.btrim(s, F.lit(" \t\n\r\f\x0b")))
+    plain = _kept(F.split(t, ","), lambda s: case(F.trim(s))) if by_comma else F.array(t)
+    none = F.lower(t).isin([*NULL_TOKENS, "[]"])
+    return F.when(none, F.array().cast("array<string>")).when(is_list_literal(t), _kept(list_items(t), item)).otherwise(plain)
+
+
+def skill_list(skills: Column) -> Column:
+    """An array of skills, its items as texts, stripped, blank and null ones gone; null is an empty list."""
+    return F.coalesce(F.filter(F.transform(skills.cast("array<string>"), lambda s: F.trim(text_or_blank(s))), lambda s: s != ""), F.array().cast("array<string>"))
+
+
+def narrow_skills(c: Column) -> Column:
+    """The narrow variant: only a list literal counts as a list, its items stay as they are; anything else that isn't null is one skill."""
+    t = F.trim(c.cast("string"))
+    return F.when(c.isNull(), F.array().cast("array<string>")).when(is_list_literal(t) & t.startswith("["), list_items(t)).when(is_list_literal(t), F.array().cast("array<string>")).otherwise(F.array(c.cast("string")))
 
 
 def basic_clean_location(c: Column) -> Column:

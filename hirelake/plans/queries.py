@@ -76,11 +76,17 @@ def split_skills(spark, d):
     return job_view(spark, d).select("job_link", text.split_basic_skills(raw).alias("skills_clean"))
 
 
-@query("""WITH job, p AS (SELECT job_link, list_transform(skills, lambda s: trim(s)) AS l FROM job)
-SELECT job_link, list_filter(l, lambda x, i: list_position(l, x) = i) AS parsed, len(l) AS n FROM p""")
+@query("""WITH job, p AS (SELECT job_link, CASE CAST(job_link AS BIGINT) % 4 WHEN 0 THEN list_transform(skills, lambda s, i: CASE WHEN i % 2 = 0 THEN s || chr(39) || 's, "new"' ELSE s || ', too' END)
+  WHEN 1 THEN list_concat(skills, ['1', '2.5']) WHEN 2 THEN skills ELSE [] END AS l FROM job)
+SELECT job_link, l AS parsed, len(l) AS n FROM p""")
 def parse_skills_literal(spark, d):
-    literal = F.concat(F.lit("["), F.array_join(F.transform("skills", lambda s: F.concat(F.lit("'"), s, F.lit("'"))), ", "), F.lit("]"))
-    parsed = text.parse_skills(literal)
+    """Each posting's skills written as a list with both quotes, as a tuple with numbers, between commas, or as a null token."""
+    single, double = (lambda s: F.concat(F.lit("'"), s, F.lit("\\'s, \"new\"'"))), (lambda s: F.concat(F.lit('"'), s, F.lit(', too"')))
+    items = F.array_join(F.transform("skills", lambda s, i: F.when(i % 2 == 1, single(s)).otherwise(double(s))), ", ")
+    quoted = F.array_join(F.transform("skills", lambda s: F.concat(F.lit("'"), s, F.lit("', "))), "")
+    n = F.col("job_link").cast("long") % 4
+    written = F.when(n == 0, F.concat(F.lit("["), items, F.lit("]"))).when(n == 1, F.concat(F.lit("("), quoted, F.lit("1, 2.5)"))).when(n == 2, F.array_join("skills", ", ")).otherwise(" NaN ")
+    parsed = text.parse_skills(written)
     return job_view(spark, d).select("job_link", parsed.alias("parsed"), F.size(parsed).cast("long").alias("n"))
 
 
@@ -263,6 +269,16 @@ def tfidf_terms(spark, d):
     return textmodel.fit_tfidf(textmodel.role_documents(_skill_model(spark, d)[0]))[0]
 
 
+@query(f"""WITH job, {_model}{_matrix}, dc AS (SELECT role, concat_ws(' ', role, role, string_agg(array_to_string(list_transform(range(cnt), lambda i: skill), ' '), ' ' ORDER BY round(score, 9) DESC, skill)) AS document FROM cn JOIN mx USING (role, skill) GROUP BY role)
+{_terms}, sj AS (SELECT role, CAST(sum(cnt) AS BIGINT) AS job_count FROM cn GROUP BY role) SELECT role, term, w, job_count FROM tw JOIN sj USING (role)""")
+def tfidf_rebuild(spark, d):
+    """The model saved as its matrix and fitted again from that alone."""
+    folder = f"{shared_folder(spark)}/_models/{uuid.uuid4().hex}"
+    textmodel.save_matrix(textmodel.matrix(*_skill_model(spark, d)), folder)
+    weights, _, roles = textmodel.rebuild(textmodel.load_matrix(spark, folder))
+    return weights.join(roles, "role").select("role", "term", "w", "job_count")
+
+
 _near = """, qs AS (SELECT j.company, min(CAST(job_link AS BIGINT)) AS user_id FROM job j GROUP BY company),
 qd AS (SELECT user_id, concat_ws(' ', role, array_to_string(skills, ' ')) AS text, skills FROM qs JOIN job ON job_link = CAST(user_id AS VARCHAR))"""
 _query = _near + f""", qt AS ({_w(("qd", "text"), "user_id")}), qf AS (SELECT user_id, term, count(*) AS tf FROM (SELECT user_id, unnest(t) AS term FROM qt) GROUP BY 1, 2),
@@ -397,25 +413,22 @@ def choose_config(spark, d):
     return tables.choose_config(measured, 0.97)
 
 
-# How many items of each source a search for one kind of vector returns.
-NEAREST = 20
+KINDS = list(rules.KIND_WEIGHTS)
+#: How many items of each source a search for one kind of vector returns: twice as many as are kept.
+NEAREST = {source: 2 * limit for source, limit in rules.SOURCE_LIMITS.items()}
 
 
 def _candidates(spark, d):
     """Profiles (every customer whose key is divisible by 20, with the order of that number) against the jobs that three searches
-    per source find for them: by title, by skills and by all of it."""
-    jobs = job_view(spark, d).select(F.col("job_link").cast("long").alias("item_id"), "source", "title", "skills", "location").persist()
+    per source find for them: by title, by skills and by all of it. Each text is encoded once, all searches are one pass over the jobs."""
+    jobs = job_view(spark, d).select(F.col("job_link").cast("long").alias("item_id"), "source", "title", "skills", "location")
     people = read(spark, d, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("item_id"))
-    profiles = people.join(jobs, "item_id").select(F.col("item_id").alias("query_id"), F.col("title").alias("q_title"), F.col("skills").alias("q_skills"), F.col("location").alias("q_place"))
     skills = F.array_join("skills", " ")
-    found = None
-    for kind, whole in {"title": F.col("title"), "skills": skills, "full": F.concat_ws(" ", "title", skills, "location")}.items():
-        rows = vectors.dense(vectors.encode_hashed(jobs.select("item_id", whole.alias("t")), "item_id", "t"), "item_id").join(jobs.select("item_id", "source"), "item_id").persist()
-        asked = rows.join(F.broadcast(profiles.select("query_id")), F.col("item_id") == F.col("query_id")).select("query_id", "vec")
-        for source in rules.SOURCE_LIMITS:
-            got = vectors.top_k(asked, rows.where(F.col("source") == source), NEAREST).where("score > 0")
-            got = got.select("query_id", F.lit(source).alias("source"), "item_id", F.lit(kind).alias("kind"), "score")
-            found = got if found is None else found.unionByName(got)
+    texts = {"title": F.col("title"), "skills": skills, "full": F.concat_ws(" ", "title", skills, "location")}
+    packed = jobs.select("*", *[vectors.hashed_vector(t).alias(f"{kind}_vec") for kind, t in texts.items()])
+    asked = packed.join(people, "item_id", "left_semi").select(F.col("item_id").alias("query_id"), *[f"{kind}_vec" for kind in KINDS])
+    found = vectors.top_k_kinds(asked, packed.select("item_id", "source", *[f"{kind}_vec" for kind in KINDS]), KINDS, NEAREST).where("score > 0")
+    profiles = people.join(jobs, "item_id").select(F.col("item_id").alias("query_id"), F.col("title").alias("q_title"), F.col("skills").alias("q_skills"), F.col("location").alias("q_place"))
     rows = vectors.merge_kinds(found).join(jobs.drop("source"), "item_id").join(profiles, "query_id")
     scores = rows.withColumn("fuzzy_title", text.text_similarity(F.col("q_title"), F.col("title"))).withColumn("overlap", text.skill_overlap(F.col("q_skills"), F.col("skills"))).withColumn("place", text.location_score(F.col("q_place"), F.col("location")))
     return vectors.rerank(scores), profiles
@@ -428,8 +441,9 @@ kd AS (SELECT id, source, 'title' AS kind, title AS t FROM jb UNION ALL SELECT i
 tk AS (SELECT id, source, kind, unnest(list_filter(string_split(trim(regexp_replace(lower(t), '[^a-z0-9+#.]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM kd),
 en AS (SELECT id, source, kind, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS b, count(*) AS n FROM tk GROUP BY ALL),
 ev AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY id, kind)) AS v FROM en),
-sr AS (SELECT q.id AS query_id, x.source, x.id AS item_id, x.kind, round(sum(q.v * x.v), 9) AS score FROM ev q JOIN ev x ON q.kind = x.kind AND q.b = x.b WHERE q.id IN (SELECT query_id FROM pf) GROUP BY ALL),
-tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, kind ORDER BY score DESC, item_id) AS rk FROM sr) WHERE rk <= 20),
+eq AS MATERIALIZED (SELECT id, kind, b, v FROM ev WHERE id IN (SELECT query_id FROM pf)),
+sr AS (SELECT q.id AS query_id, x.source, x.id AS item_id, x.kind, round(sum(q.v * x.v), 9) AS score FROM eq q JOIN ev x ON q.kind = x.kind AND q.b = x.b GROUP BY ALL),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, kind ORDER BY score DESC, item_id) AS rk FROM sr) WHERE rk <= CASE source WHEN 'historical' THEN 600 ELSE 100 END),
 mg AS (SELECT query_id, source, item_id, coalesce(max(score) FILTER (kind = 'title'), 0) AS st, coalesce(max(score) FILTER (kind = 'skills'), 0) AS ss, coalesce(max(score) FILTER (kind = 'full'), 0) AS sf FROM tp GROUP BY ALL),
 tt AS (SELECT mg.*, jb.skills, jb.location, q_place, q_skills, {_toks('q_title')} AS a, {_toks('jb.title')} AS c FROM mg JOIN jb ON jb.id = mg.item_id JOIN pf USING (query_id)),
 sc AS (SELECT *, CASE WHEN len(a) = 0 OR len(c) = 0 THEN 0.0 ELSE greatest(len(list_intersect(a, c)) / len(list_distinct(list_concat(a, c))), len(list_intersect(a, c)) / len(a)) END AS t,
@@ -444,7 +458,8 @@ fn AS (SELECT *, base * CASE source WHEN 'historical' THEN 0.45::DOUBLE ELSE 0.5
 
 @query(_cand + " SELECT query_id, source, item_id, semantic, base, final FROM fn")
 def rerank(spark, d):
-    return _candidates(spark, d)[0].select("query_id", "source", "item_id", "semantic", "base", "final")
+    """Every candidate, the best of each profile first."""
+    return _candidates(spark, d)[0].select("query_id", "source", "item_id", "semantic", "base", "final").orderBy("query_id", F.desc(F.round("final", 9)), "item_id")
 
 
 _capped = ", cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(semantic, 9) DESC, item_id) AS rk FROM fn) WHERE rk <= CASE source WHEN 'historical' THEN 300 ELSE 50 END)"
@@ -464,33 +479,28 @@ def recommend_batch(spark, d):
     return pool.withColumn("r2", F.row_number().over(w)).where("r2 <= 10").select("query_id", "item_id", "final")
 
 
-@query(_cand + """, ex AS (SELECT query_id, source, base, unnest(skills) AS skill FROM fn), ow AS (SELECT query_id, unnest(q_skills) AS skill FROM pf),
-ag AS (SELECT query_id, skill, sum(base * CASE source WHEN 'historical' THEN 0.40::DOUBLE ELSE 0.60::DOUBLE END) AS recommend_score, count(*) AS job_count FROM ex ANTI JOIN ow USING (query_id, skill) GROUP BY 1, 2)
-SELECT query_id, skill, recommend_score, job_count FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(recommend_score, 9) DESC, job_count DESC, skill) AS rk FROM ag) WHERE rk <= 10""")
+@query(_cand + _capped + """, ex AS (SELECT query_id, source, base, unnest(skills) AS skill FROM cp), ow AS (SELECT query_id, unnest(q_skills) AS skill FROM pf),
+ag AS (SELECT query_id, skill, sum(base * CASE source WHEN 'historical' THEN 0.40::DOUBLE ELSE 0.60::DOUBLE END) AS recommend_score, count(*) AS job_count, count(*) FILTER (source = 'historical') AS historical_count, count(*) FILTER (source = 'incremental') AS incremental_count FROM ex ANTI JOIN ow USING (query_id, skill) GROUP BY 1, 2)
+SELECT query_id, skill, recommend_score, job_count, historical_count, incremental_count FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(recommend_score, 9) DESC, job_count DESC, skill) AS rk FROM ag) WHERE rk <= 10""")
 def missing_skills(spark, d):
+    """Over the whole pool of 300 and 50 candidates, not only the best ten."""
     pool, profiles = _candidates(spark, d)
     owned = profiles.select("query_id", F.explode("q_skills").alias("skill")).withColumn("key", text.normalize_token(F.col("skill")))
-    return vectors.missing_skills(pool, owned, 10)
+    return vectors.missing_skills(vectors.cap_by_source(pool, rules.SOURCE_LIMITS), owned, 10)
 
 
 @query("""WITH v0 AS (SELECT vec_id, label % 2 AS par, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS e FROM embeddings),
 n AS (SELECT vec_id, par, sqrt(list_sum(list_transform(e[1:16], lambda x: x * x))) AS a, sqrt(list_sum(list_transform(e[17:32], lambda x: x * x))) AS b, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS c, e FROM v0),
 k AS (SELECT vec_id, par, 'title' AS kind, list_transform(e[1:16], lambda x: x / a) AS v FROM n UNION ALL SELECT vec_id, par, 'skills', list_transform(e[17:32], lambda x: x / b) FROM n UNION ALL SELECT vec_id, par, 'full', list_transform(e, lambda x: x / c) FROM n),
 s AS (SELECT q.vec_id AS query_id, x.vec_id AS item_id, x.par, q.kind, round(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])), 9) AS score FROM k q JOIN k x ON q.kind = x.kind WHERE q.vec_id % 20 = 0),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, par, kind ORDER BY score DESC, item_id) AS rk FROM s) WHERE rk <= 20)
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, par, kind ORDER BY score DESC, item_id) AS rk FROM s) WHERE rk <= CASE par WHEN 0 THEN 600 ELSE 100 END)
 SELECT query_id, CASE par WHEN 0 THEN 'historical' ELSE 'incremental' END AS source, item_id, greatest(coalesce(max(score) FILTER (kind = 'title'), 0), 0) AS title_score, greatest(coalesce(max(score) FILTER (kind = 'skills'), 0), 0) AS skills_score, greatest(coalesce(max(score) FILTER (kind = 'full'), 0), 0) AS full_score FROM t GROUP BY 1, 2, 3""")
 def multi_kind_candidates(spark, d):
     e = read(spark, d, "embeddings").select("vec_id", F.when(F.col("label") % 2 == 0, "historical").otherwise("incremental").alias("source"), "embedding")
-    kinds = {"title": F.slice("embedding", 1, 16), "skills": F.slice("embedding", 17, 16), "full": F.col("embedding")}
-    found = None
-    for kind, part in kinds.items():
-        rows = e.select("vec_id", "source", vectors.l2_normalize(part).alias("vec"))
-        queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec")
-        for source in rules.SOURCE_LIMITS:
-            items = rows.where(F.col("source") == source).select(F.col("vec_id").alias("item_id"), "vec")
-            got = vectors.top_k(queries, items, 20).select("query_id", F.lit(source).alias("source"), "item_id", F.lit(kind).alias("kind"), "score")
-            found = got if found is None else found.unionByName(got)
-    return vectors.merge_kinds(found)
+    parts = {"title": F.slice("embedding", 1, 16), "skills": F.slice("embedding", 17, 16), "full": F.col("embedding")}
+    rows = e.select(F.col("vec_id").alias("item_id"), "source", *[vectors.l2_normalize(p).alias(f"{kind}_vec") for kind, p in parts.items()])
+    asked = rows.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), *[f"{kind}_vec" for kind in KINDS])
+    return vectors.merge_kinds(vectors.top_k_kinds(asked, rows, KINDS, NEAREST))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN json_extract(props, '$.title') IS NULL THEN 'Unknown' ELSE json_extract_string(props, '$.title') END AS job_title FROM events""")

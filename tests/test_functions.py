@@ -24,7 +24,7 @@ def value(spark, c):
         (lambda: text.skill_overlap(F.array(F.lit("SQL"), F.lit("Excel")), F.array(F.lit("sql"), F.lit("Python"))), 0.5),
         (lambda: text.location_score(F.lit("Hanoi, Vietnam"), F.lit("Vietnam")), 0.8),
         (lambda: text.location_score(F.lit("Hanoi, Vietnam"), F.lit("Da Nang, Vietnam")), 0.5),
-        (lambda: text.parse_skills(F.lit("['a', 'b', 'a']")), ["a", "b"]),
+        (lambda: text.parse_skills(F.lit("['a', 'b', 'a']")), ["a", "b", "a"]),
         (lambda: text.parse_skills(F.lit("nan")), []),
         (lambda: text.safe_score(F.lit("x")), 0.0),
         (lambda: text.squeeze_text(F.lit(" a  b\n\n\n\nc ")), "a b\n\nc"),
@@ -49,3 +49,43 @@ def test_city_country(spark, place, expected):
 ])
 def test_location_batch(spark, place, expected):
     assert tuple(value(spark, location.clean_location_batch(F.lit(place)))) == expected
+
+
+@pytest.mark.parametrize("t,base,comma", [
+    ("""["it's", 'b']""", ["it's", "b"], ["it's", "b"]), ("""('a', "say \\"hi\\"",)""", ["a", 'say "hi"'], ["a", 'say "hi"']), ("['a, b', 'c']", ["a, b", "c"], ["a, b", "c"]),
+    ("{'x'}", ["x"], ["x"]), ("{'x', 'y'}", ["x", "y"], ["x", "y"]), ("[]", [], []), ("nan", [], []), (" None ", [], []), ("", [], []), (None, [], []), ("()", [], []), ("[1, 2.5, None]", ["1", "2.5", "None"], ["1", "2.5", "None"]),
+    ("['a', ' ', 'b  c']", ["a", "b  c"], ["a", "b c"]), ("['a'", ["['a'"], ["['a'"]), ("a, b,, c", ["a, b,, c"], ["a", "b", "c"]), ("SQL", ["SQL"], ["SQL"]), ("('a')", ["('a')"], ["('a')"]), ("['a' 'b']x", ["['a' 'b']x"], ["['a' 'b']x"]),
+    (r"['back\\slash', 'it\'s']", ["back\\slash", "it's"], ["back\\slash", "it's"]), ("[a, b]", ["[a, b]"], ["[a", "b]"]),
+])
+def test_list_literals(spark, t, base, comma):
+    """Every form of the skills column; what is expected follows the language's own literals."""
+    c = F.lit(t).cast("string")
+    assert value(spark, text.parse_skills(c, by_comma=False)) == base
+    assert value(spark, text.parse_skills(c)) == comma
+    assert value(spark, text.parse_skills(c, lower=True)) == [x.lower() for x in comma]
+
+
+def test_literals_like_the_languages_own(spark):
+    """Random lists and tuples, written out and read back."""
+    import ast
+    import random
+
+    rng = random.Random(1)
+    made = []
+    for _ in range(300):
+        items = ["".join(rng.choice("ab,'\"[]() \\") for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 4))]
+        made.append(repr(items if rng.random() < 0.5 else tuple(items)))
+    df = spark.createDataFrame([(t,) for t in made], "t string").select("t", text.parse_skills(F.col("t"), by_comma=False).alias("p"))
+    for r in df.collect():
+        assert r["p"] == [s for x in ast.literal_eval(r["t"]) if (s := x.strip())], r["t"]
+
+
+def test_skill_lists_and_the_narrow_variant(spark):
+    assert value(spark, text.skill_list(F.array(F.lit(" a "), F.lit(None), F.lit(" "), F.lit("b")))) == ["a", "b"]
+    assert value(spark, text.skill_list(F.lit(None).cast("array<string>"))) == [] and value(spark, text.skill_list(F.array(F.lit(1), F.lit(2)))) == ["1", "2"]
+    for t, want in (("['a', ' b']", ["a", " b"]), ("('a', 'b')", []), ("a, b", ["a, b"]), ("", [""]), (None, [])):
+        assert value(spark, text.narrow_skills(F.lit(t).cast("string"))) == want
+
+
+def test_score_bands(spark):
+    assert [value(spark, text.score_band(F.lit(x))) for x in (0.7, 0.699, 0.4, 0.39, None)] == ["high", "medium", "medium", "low", "low"]

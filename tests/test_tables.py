@@ -89,3 +89,65 @@ def test_top_k_in_blocks(spark):
     for most in (0, 1 << 20):
         got = {(r["query_id"], r["item_id"], -r["score"]) for r in vectors.top_k(queries, items, 5, query_bytes=most).collect()}
         assert got == want
+
+
+def test_top_k_of_kinds_in_one_pass(spark):
+    """Against one search each, with lists that fit and lists that don't; a source that isn't asked for is left out."""
+    rng = np.random.default_rng(7)
+    rows = [(i, "abc"[i % 3], rng.integers(-2, 3, 4).astype(float).tolist(), rng.normal(size=6).tolist()) for i in range(400)]
+    items = spark.createDataFrame(rows, "item_id long, source string, x_vec array<double>, y_vec array<double>")
+    queries = items.where("item_id % 40 = 0").withColumnRenamed("item_id", "query_id").drop("source")
+    limits = {"a": 7, "b": 3}
+    want = set()
+    for kind, at in (("x", 2), ("y", 3)):
+        for q in range(0, 400, 40):
+            for s, k in limits.items():
+                best = sorted((-round(float(np.dot(rows[q][at], r[at])), 9), r[0]) for r in rows if r[1] == s)[:k]
+                want |= {(q, s, i, kind, -v) for v, i in best}
+    for most in (1 << 20, 0):
+        got = [tuple(r) for r in vectors.top_k_kinds(queries, items, ["x", "y"], limits, query_bytes=most).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_best_gathers_many_blocks():
+    rng = np.random.default_rng(8)
+    x, q = rng.integers(-2, 3, (9000, 3)).astype(float), rng.integers(-2, 3, (5, 3)).astype(float)
+    for k in (3, 600):
+        best = vectors.Best(np.arange(5), q, k)
+        for i in range(0, 9000, 700):
+            best.add(np.arange(i, min(i + 700, 9000)), x[i : i + 700])
+        for j in range(5):
+            assert best.items[j].tolist() == sorted(range(9000), key=lambda i: (-(q[j] @ x[i]), i))[:k]
+
+
+def test_hashed_vectors_in_the_row(spark):
+    docs = spark.createDataFrame([(1, "Data data Engineer"), (2, ""), (3, None), (4, "C++ / .NET sql")], "id long, t string")
+    dense = {r["id"]: r["vec"] for r in vectors.dense(vectors.encode_hashed(docs, "id", "t"), "id").collect()}
+    for r in docs.select("id", vectors.hashed_vector(F.col("t")).alias("vec")).collect():
+        assert r["vec"] == pytest.approx(dense.get(r["id"], [0.0] * 64), abs=1e-12)
+
+
+def test_a_saved_model_is_read_back_and_fitted_again(spark, tmp_path):
+    """By a session of its own; job counts are the sums over a role's skills then."""
+    from hirelake.operators import textmodel
+
+    jobs = spark.createDataFrame([(f"role {i % 2}", ["sql", "python"] if i % 3 else ["excel", "sql"]) for i in range(12)], "role string, skills array<string>")
+    counts, roles = textmodel.role_skill_counts(jobs)
+    textmodel.save_matrix(textmodel.matrix(counts, roles), str(tmp_path / "m"))
+    other = spark.newSession()
+    rows = textmodel.load_matrix(other, str(tmp_path / "m"))
+    weights, _, sums = textmodel.rebuild(rows)
+    assert {(r["role"], r["skill"], r["job_count"]) for r in rows.collect()} == {tuple(r) for r in counts.collect()}
+    assert {r["role"]: r["job_count"] for r in sums.collect()} == {"role 0": 12, "role 1": 12}
+    fitted = textmodel.fit_tfidf(textmodel.role_documents(counts))[0]
+    # Words weigh the same whatever the order of the skills; pairs of neighbours may differ.
+    one = lambda df: {(r["role"], r["term"]) for r in df.collect() if " " not in r["term"]}
+    assert one(weights) == one(fitted)
+
+
+def test_check_aligned(spark):
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    tables.check_aligned({"a": df, "b": df}, "k")
+    for other in (df.where("k = 1"), df.unionByName(df), df.selectExpr("k + 1 as k")):
+        with pytest.raises(ValueError, match="b"):
+            tables.check_aligned({"a": df, "b": other}, "k")
