@@ -185,27 +185,41 @@ def tokens(c: Column) -> Column:
     return F.filter(F.array_distinct(F.split(normalize_token(c), " ")), lambda t: t != "")
 
 
-def text_similarity(a: Column, b: Column) -> Column:
-    """The larger of Jaccard and the share of a's tokens that b has."""
-    x, y = tokens(a), tokens(b)
+def set_similarity(x: Column, y: Column) -> Column:
+    """The larger of Jaccard and the share of x that y has, of two lists without repeats."""
     both = F.size(F.array_intersect(x, y))
-    score = F.greatest(both / F.size(F.array_union(x, y)), both / F.size(x))
+    score = F.greatest(both / (F.size(x) + F.size(y) - both), both / F.size(x))
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(score)
 
 
-def skill_overlap(user: Column, job: Column) -> Column:
-    clean = lambda l: F.array_distinct(F.filter(F.transform(l, normalize_token), lambda s: s != ""))  # noqa: E731, E741
-    x, y = clean(user), clean(job)
+def text_similarity(a: Column, b: Column) -> Column:
+    """The larger of Jaccard and the share of a's tokens that b has."""
+    return set_similarity(tokens(a), tokens(b))
+
+
+def skill_keys(skills: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(skills, normalize_token), lambda s: s != ""))
+
+
+def set_overlap(x: Column, y: Column) -> Column:
+    """The share of x that y has."""
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(x))
 
 
-def location_score(user: Column, job: Column) -> Column:
-    u, j = normalize_token(user), normalize_token(job)
-    x, y = tokens(user), tokens(job)
+def skill_overlap(user: Column, job: Column) -> Column:
+    return set_overlap(skill_keys(user), skill_keys(job))
+
+
+def place_score(u: Column, j: Column, x: Column, y: Column) -> Column:
+    """Of two places' normalized texts and their tokens."""
     share = F.least(F.lit(0.6), F.size(F.array_intersect(x, y)) / F.size(x))
     return F.when((u == "") | (j == "") | (j == "unknown"), 0.0).when(u == j, 1.0).when(F.contains(u, j) | F.contains(j, u), 0.8).otherwise(share)
 
 
+def location_score(user: Column, job: Column) -> Column:
+    return place_score(normalize_token(user), normalize_token(job), tokens(user), tokens(job))
+
+
 def safe_score(c: Column) -> Column:
     return F.coalesce(F.nanvl(c.try_cast("double"), F.lit(0.0)), F.lit(0.0))
 

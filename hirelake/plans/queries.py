@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hirelake.functions import location, rules, text
 from hirelake.operators import cellstore, tables, textmodel, vectors
 from hirelake.plans.jobs import JOB_SQL, job_view, read
-from hirelake.sources.files import shared_folder
+from hirelake.sources.files import shared_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -295,9 +295,9 @@ def _profiles(spark, d):
 
 
 def _nearest(spark, d):
-    counts, roles = _skill_model(spark, d)
-    weights, idf = textmodel.fit_tfidf(textmodel.role_documents(counts))
-    profiles = _profiles(spark, d)
+    counts, roles = map(stored, _skill_model(spark, d))
+    weights, idf = textmodel.fit_tfidf(stored(textmodel.role_documents(counts)))
+    profiles = stored(_profiles(spark, d))
     return textmodel.similar_roles(weights, idf, profiles.select("user_id", "text"), "user_id"), counts, roles, profiles
 
 
@@ -425,12 +425,19 @@ def _candidates(spark, d):
     people = read(spark, d, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("item_id"))
     skills = F.array_join("skills", " ")
     texts = {"title": F.col("title"), "skills": skills, "full": F.concat_ws(" ", "title", skills, "location")}
-    packed = jobs.select("*", *[vectors.hashed_vector(t).alias(f"{kind}_vec") for kind, t in texts.items()])
+    # What scores compare is made once per job, not once per candidate.
+    compared = {"t_tokens": text.tokens(F.col("title")), "s_keys": text.skill_keys(F.col("skills")), "place": text.normalize_token(F.col("location")), "p_tokens": text.tokens(F.col("location"))}
+    packed = stored(jobs.select("*", *[c.alias(n) for n, c in compared.items()], *[vectors.hashed_vector(t).alias(f"{kind}_vec") for kind, t in texts.items()]))
     asked = packed.join(people, "item_id", "left_semi").select(F.col("item_id").alias("query_id"), *[f"{kind}_vec" for kind in KINDS])
     found = vectors.top_k_kinds(asked, packed.select("item_id", "source", *[f"{kind}_vec" for kind in KINDS]), KINDS, NEAREST).where("score > 0")
-    profiles = people.join(jobs, "item_id").select(F.col("item_id").alias("query_id"), F.col("title").alias("q_title"), F.col("skills").alias("q_skills"), F.col("location").alias("q_place"))
-    rows = vectors.merge_kinds(found).join(jobs.drop("source"), "item_id").join(profiles, "query_id")
-    scores = rows.withColumn("fuzzy_title", text.text_similarity(F.col("q_title"), F.col("title"))).withColumn("overlap", text.skill_overlap(F.col("q_skills"), F.col("skills"))).withColumn("place", text.location_score(F.col("q_place"), F.col("location")))
+    profiles = packed.join(people, "item_id", "left_semi").select(F.col("item_id").alias("query_id"), F.col("skills").alias("q_skills"), *[F.col(n).alias(f"q_{n}") for n in compared])
+    rows = vectors.merge_kinds(found).join(packed.select("item_id", "skills", *compared), "item_id").join(profiles, "query_id")
+    scores = rows.select(
+        "query_id", "source", "item_id", "title_score", "skills_score", "full_score", "skills",
+        text.set_similarity(F.col("q_t_tokens"), F.col("t_tokens")).alias("fuzzy_title"),
+        text.set_overlap(F.col("q_s_keys"), F.col("s_keys")).alias("overlap"),
+        text.place_score(F.col("q_place"), F.col("place"), F.col("q_p_tokens"), F.col("p_tokens")).alias("place"),
+    )
     return vectors.rerank(scores), profiles
 
 
