@@ -7,10 +7,11 @@ Subtracting two sketches leaves the pieces that differ, and peeling cells that h
 them. When that fails, both texts are sketched again with four times the cells. The likeness is the
 Jaccard index of the two multisets of pieces.
 
-The fingerprint string is the smallest sketch, of CELLS cells, which depends on its text alone, so equal texts have equal
-fingerprints. It decodes differences of about 16 pieces; `edited_cells` and `next_cells` tell the size that decoded.
-Where that is CELLS, the two fingerprints alone give the likeness (`likeness_of`); where it is more, they can tell that
-the texts differ but not by how much, and larger sketches of the texts, `strings` of that many cells, are needed.
+The fingerprint string is the text's own sketch: CELLS times a power of two cells, the first size of SPARE cells a piece or more
+that peels when nothing is subtracted, twice as large after each failure. It depends on the text alone, so equal texts have equal
+fingerprints, and any two fingerprints tell their texts' likeness without the texts (`likeness_of`): a sketch folds onto each smaller
+size, so a difference is peeled from small folds first and retried larger; where even the size of the smaller one fails, both give back
+their pieces alone and these are compared. `edited_cells` and `next_cells` tell the size at which a difference decoded.
 
 To meet its neighbour, every text moves once, by range of (doc_id, hash), so rows without an id or with one repeated
 id spread too; only the two ends of each range are looked at again.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ from hirelake.llm import rolling
 from hirelake.llm.common import partitions
 
 CELLS, HASHES, TOGETHER = 24, 3, 128
+#: Cells for each piece of a text, at least, in its own sketch.
+SPARE = 1.5
 U = np.uint64
 
 
@@ -86,6 +90,14 @@ class Sketches:
         raw = np.concatenate([self.count.astype("<i4").view(np.uint8).reshape(-1, 4 * self.m), self.key.astype("<u8").view(np.uint8).reshape(-1, 8 * self.m), self.check.astype("<u4").view(np.uint8).reshape(-1, 4 * self.m)], axis=1)
         return [base64.b64encode(r.tobytes()).decode() for r in raw]
 
+    def folded(self, m: int) -> Sketches:
+        """The same pieces in m cells; self.m is m times a power of two."""
+        out, n = object.__new__(Sketches), len(self.count) // self.m
+        many = lambda x: x.reshape(n, HASHES, self.m // m, m // HASHES)
+        out.m, out.count = m, many(self.count).sum(axis=2, dtype=np.int32).ravel()
+        out.key, out.check = (np.bitwise_xor.reduce(many(x), axis=2).ravel() for x in (self.key, self.check))
+        return out
+
     def minus(self, other: Sketches) -> Sketches:
         out = object.__new__(Sketches)
         out.m, out.count, out.key, out.check = self.m, self.count - other.count, self.key ^ other.key, self.check ^ other.check
@@ -120,12 +132,39 @@ def read_string(fingerprint: str) -> Sketches:
     return out
 
 
-def likeness_of(a: str, b: str) -> float | None:
-    """The likeness of two texts from their fingerprints of one size; None if they are too small to tell."""
-    x, y = read_string(a), read_string(b)
-    both = int(x.count.sum() + y.count.sum()) // HASHES
-    whole, doc, _, _ = x.minus(y).peel()
-    return None if not whole[0] else (both - len(doc)) / (both + len(doc)) if both else 1.0
+def differing_pieces(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """The digests of the pieces that only the first fingerprint's text has, and only the second's."""
+    x, y, m = read_string(a), read_string(b), CELLS
+    while m <= min(x.m, y.m):
+        whole, _, keys, sign = x.folded(m).minus(y.folded(m)).peel()
+        if whole[0]:
+            return keys[sign > 0], keys[sign < 0]
+        m *= 4
+    alone = [s.peel()[2] for s in (x, y)]
+    return np.setdiff1d(*alone), np.setdiff1d(*alone[::-1])
+
+
+def likeness_of(a: str, b: str) -> float:
+    """The likeness of two texts from their fingerprints."""
+    both = sum(int(read_string(f).count.sum()) for f in (a, b)) // HASHES
+    d = sum(map(len, differing_pieces(a, b)))
+    return (both - d) / (both + d) if both else 1.0
+
+
+def own_strings(many: list[np.ndarray]) -> list[str]:
+    """The fingerprint of each document's pieces: its sketch at the first size that peels alone."""
+    out, rest = [""] * len(many), np.arange(len(many))
+    size = np.array([CELLS * 2 ** max(math.ceil(math.log2(max(len(x), 1) * SPARE / CELLS)), 0) for x in many], np.int64)
+    while len(rest):
+        m = int(size[rest].min())
+        now = rest[size[rest] == m]
+        sketch = Sketches([many[i] for i in now], m)
+        strings, (whole, *_) = sketch.strings(), sketch.peel()
+        for i in np.flatnonzero(whole):
+            out[now[i]] = strings[i]
+        size[now] *= 2
+        rest = rest[~np.isin(rest, now[whole])]
+    return out
 
 
 def differing(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +193,7 @@ def _rows(ids: list, texts: list[str], following: list[str], own: list[np.ndarra
     edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, following, strict=True)]
     changed = [digests(t) for t in edited]
     (near, near_cells), (far, far_cells) = likeness(own, changed), likeness(own, after)
-    cols = [ids, [len(t) for t in texts], [hashlib.sha256(t.encode()).hexdigest() for t in edited], Sketches(own, CELLS).strings(), Sketches(changed, CELLS).strings(), near, far, near_cells, far_cells]
+    cols = [ids, [len(t) for t in texts], [hashlib.sha256(t.encode()).hexdigest() for t in edited], own_strings(own), own_strings(changed), near, far, near_cells, far_cells]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 

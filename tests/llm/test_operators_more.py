@@ -94,13 +94,33 @@ def test_mixed_rows_keep_any_columns(spark):
     assert {tuple(r)[3:] for r in rows} == {(7, "finish", 1.5)} and len(rows) == 9
 
 
-def test_fingerprints_decode_alone():
-    """Two short sketches tell small differences by themselves, and say when they can't."""
-    a, b, c = LONG, LONG[:2000] + "other" + LONG[2005:], very_long(9, 3000)
-    prints = [sketches.Sketches([sketches.digests(x)], sketches.CELLS).strings()[0] for x in (a, b, c)]
-    x, y = (Counter(sketches.digests(t).tolist()) for t in (a, b))
-    assert abs(sketches.likeness_of(prints[0], prints[1]) - (x & y).total() / (x | y).total()) < 1e-12
-    assert sketches.likeness_of(prints[0], prints[2]) is None and sketches.likeness_of(prints[0], prints[0]) == 1.0
+def test_fingerprints_tell_likeness_without_texts():
+    """Near, far, empty and very unequal texts: the strings alone give the multisets' Jaccard index and what differs."""
+    texts = [LONG, LONG[:2000] + "other" + LONG[2005:], very_long(9, 3000), LONG + very_long(9, 3000), "", "one line", "one line\n" * 40]
+    many = [sketches.digests(x) for x in texts]
+    prints = sketches.own_strings(many)
+    for a, x in zip(prints, many, strict=True):
+        for b, y in zip(prints, many, strict=True):
+            mine, other = set(x.tolist()), set(y.tolist())
+            want = len(mine & other) / len(mine | other) if mine | other else 1.0
+            assert abs(sketches.likeness_of(a, b) - want) < 1e-12
+            assert [set(d.tolist()) for d in sketches.differing_pieces(a, b)] == [mine - other, other - mine]
+
+
+def test_a_sketch_folds_onto_smaller_ones():
+    many = [sketches.digests(x) for x in (LONG, "", very_long(9, 3000))]
+    large, small = sketches.Sketches(many, 24 * 64).folded(24 * 4), sketches.Sketches(many, 24 * 4)
+    assert large.m == small.m and all((getattr(large, n) == getattr(small, n)).all() for n in ("count", "key", "check"))
+
+
+def test_returned_fingerprints_give_the_returned_likeness(spark):
+    """Every row of the whole table: near_edited and near_next follow from the returned strings alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sketches.fingerprints(docs).orderBy(F.desc("doc_id")).collect()
+    assert len(got) == docs.count() and len({r["doc_id"] for r in got}) == len(got)
+    for r, following in zip(got, got[1:] + got[:1], strict=True):
+        assert abs(sketches.likeness_of(r["fingerprint"], r["edited_fingerprint"]) - r["near_edited"]) < 1e-12
+        assert abs(sketches.likeness_of(r["fingerprint"], following["fingerprint"]) - r["near_next"]) < 1e-12
 
 
 def test_fingerprints_of_rows_without_ids(spark):
