@@ -12,8 +12,8 @@ and are joined by broadcast, so a passage of a third of all texts isn't one task
 at the join; the others' chunks are ranged by content and put together as they stream by, one content at a time, and
 texts with equal content are put together once.
 
-Short chunks compress badly alone. They share a dictionary, trained on the first DICTIONARY_TEXTS texts (at most
-DICTIONARY_BYTES of each); it changes how many bytes a chunk takes, never what is read back.
+Short chunks compress badly alone. They share a dictionary, trained on DICTIONARY_TEXTS distinct texts, those of
+the least content ids (at most DICTIONARY_BYTES of each), so reruns store the same bytes; it changes how many bytes a chunk takes, never what is read back.
 
 Cases: null and empty texts are 64 zero bytes; equal texts share everything; a chunk that doesn't match its digest, or
 one that is missing, is an error; null and repeated ids keep their rows; other columns are left out; a text of any length is
@@ -79,10 +79,12 @@ def _digest(part: bytes) -> bytes:
 
 
 def dictionary(contents: DataFrame) -> bytes:
-    """What short chunks share: trained on a bounded sample of contents (cid, text); empty for small tables."""
+    """What short chunks share: trained on a bounded sample of contents (cid, text), the same in every run; empty for small tables."""
     import zstandard
 
-    sample = [payload(r[0]) for r in contents.select(F.substring("text", 1, DICTIONARY_BYTES)).limit(DICTIONARY_TEXTS).collect()]
+    last = contents.select("cid").distinct().orderBy("cid").limit(DICTIONARY_TEXTS).agg(F.max("cid")).first()[0]
+    chosen = contents.where(F.col("cid") <= F.lit(bytes(last or b""))).select("cid", F.substring("text", 1, DICTIONARY_BYTES)).dropDuplicates(["cid"])
+    sample = [payload(r[1]) for r in sorted(chosen.collect(), key=lambda r: bytes(r["cid"]))]
     if sum(map(len, sample)) < 16 * DICTIONARY:
         return b""
     return zstandard.train_dictionary(DICTIONARY, sample).as_bytes()

@@ -32,6 +32,8 @@ from hirelake.llm.components import saved
 
 #: Seed of the shuffle, and words in a packet.
 SEED, QUANTUM = "mix-1", 64
+#: The most bytes of sources' rows that a join broadcasts.
+BROADCAST_BYTES = 16 << 20
 
 
 def shuffle_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
@@ -111,7 +113,10 @@ def _line(docs: DataFrame, weights: tuple[float, ...], max_epochs: int, chunks:
 
 
 def _placed(line: DataFrame, per: DataFrame) -> DataFrame:
+    """line with its source's row of per, which is broadcast while it is small, so rows of a large source stay where they are."""
+    size = per.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 100)).first()[0] or 0
     per = per.withColumnRenamed("source", "p_source")
+    per = F.broadcast(per) if size <= BROADCAST_BYTES else per
     return line.join(per, line["source"].eqNullSafe(per["p_source"])).drop("p_source")
 
 

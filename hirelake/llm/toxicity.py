@@ -209,7 +209,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """Learns from docs (doc_id, text) that labels (doc_id, toxic) covers, held-out rows left out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(max_labelled)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    # Of several texts with one labelled id, the same one in every run.
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "toxic")).alias("first")).select("doc_id", "first.text", "first.toxic")
     sample = _without_copies(sample).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
     words = sample.mapInArrow(_terms, "toxic int, terms array<string>").select("toxic", F.explode("terms").alias("word"))
     counts = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))

@@ -53,7 +53,7 @@ def test_very_long_texts(spark):
 
 
 def test_mixing_against_packets(spark):
-    """Packets served one after the other in plain Python."""
+    """Words served one after the other in plain Python: packets in service at the cut count in part."""
     rng = random.Random(2)
     data = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 63, 64, 65, 300])), rng.choice(["a", "b", "c", None])) for i in range(120)] + [(200, " ".join(["v"] * 900), "a"), (200, " ".join(["v"] * 900), "a")]
     docs = spark.createDataFrame(data, "doc_id long, text string, source string")
@@ -66,9 +66,8 @@ def test_mixing_against_packets(spark):
         at, whole = 0, sum(x[2] for x in line)
         for epoch in range(3):
             for *_, size, i in line:
-                for part in range(0, size, 64):
-                    end = min(size, part + 64)
-                    served.append(((epoch * whole + at + end) / (1 + rank % 3), end - part, i))
+                for end in range(1, size + 1):
+                    served.append(((epoch * whole + at + end) / (1 + rank % 3), 1, i))
                 at += size
             at = 0
     budget, total, cut = sum(len(words(t)) for _, t, _ in data), 0, None
@@ -260,3 +259,29 @@ def test_extra_columns(spark):
     assert sketches.fingerprints(odd).count() == lines.dedup_lines(odd).count() == n
     assert jaccard.keep_one(odd).columns == odd.columns and packing.pack(odd).select("doc_id").count() >= n
     assert re.fullmatch(r"[0-9a-f]{64}", media.media_table(odd).first()["payload_sha256"])
+
+
+def test_mixing_alike_with_and_without_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([r[:5] for r in fixture()], SCHEMA.split(", size")[0])
+    rows = lambda: Counter(tuple(r) for r in mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect())
+    small = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert rows() == small
+
+
+def test_the_dictionary_follows_contents_alone(spark):
+    """Neither the order of rows nor copies change what is trained on."""
+    rows = [(f"{very_long(i, 120)}",) for i in range(2500)]
+    contents = lambda data: spark.createDataFrame(data, "text string").select(media.content_id(F.col("text")).alias("cid"), "text")
+    first = media.dictionary(contents(rows))
+    assert first and first == media.dictionary(contents(rows[::-1] + rows[:300]).repartition(7)) and media.dictionary(contents([])) == b""
+
+
+def test_one_text_of_a_labelled_id(spark):
+    """Two texts share each labelled id: the model is the same whichever comes first."""
+    rows = [(i, f"{very_long(i, 60)} {'vile' if i % 3 == 0 else 'mild'} {j}") for i in range(120) for j in range(2)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    one, two = (toxicity.fit(spark.createDataFrame(x, "doc_id long, text string"), labels) for x in (rows, rows[::-1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = [sorted((r["doc_id"], r["score"]) for r in toxicity.score(docs, m).select("doc_id", "score").collect()) for m in (one, two)]
+    assert scores[0] == scores[1]
