@@ -232,6 +232,23 @@ def score_band(c: Column) -> Column:
     return F.when(score_percent(c) >= 70, "high").when(score_percent(c) >= 40, "medium").otherwise("low")
 
 
+def profile_from_json(c: Column, fields: str) -> Column:
+    """What a model answered, as a struct of `fields`: the whole text if it is one JSON object, else its outermost block in braces. Null where
+    neither is an object."""
+    whole = F.btrim(text_or_blank(c), F.lit(" \t\n\r"))
+    block = F.regexp_extract(whole, r"(?s)\{.*\}", 0)
+    return F.when(json_kind(whole) == "object", F.from_json(whole, fields)).when((json_kind(whole) == "") & (json_kind(block) == "object"), F.from_json(block, fields))
+
+
+def json_kind(c: Column) -> Column:
+    """object, array or value for one JSON value and nothing after it, blank for anything else, objects that repeat a key among it."""
+    # In brackets and in braces: what follows a value would close one of them early, be a second element, or be an error.
+    item, field = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    one = F.try_variant_get(item, "$[0]", "variant").isNotNull() & F.try_variant_get(item, "$[1]", "variant").isNull() & field.isNotNull()
+    start = F.left(F.btrim(c, F.lit(" \t\n\r")), F.lit(1))
+    return F.when(~F.coalesce(one, F.lit(False)), "").when(start == "{", "object").when(start == "[", "array").otherwise("value")
+
+
 def first_non_blank(*cols: Column, default: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cols], F.lit(default))
 

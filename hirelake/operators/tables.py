@@ -22,6 +22,24 @@ def ensure_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[df[n] if n in df.columns else F.lit("").alias(n) for n in names])
 
 
+def replace_columns(df: DataFrame, derived: Mapping[str, Column]) -> DataFrame:
+    """df with derived columns at its end, in their order, in place of those of an earlier run; a run of it again changes nothing."""
+    kept = [df[c] for c in df.columns if c not in derived]
+    return df.select(*kept, *[c.alias(n) for n, c in derived.items()])
+
+
+def renamed(df: DataFrame, names: Mapping[str, str], order: Sequence[str]) -> DataFrame:
+    """The columns of `order`, some under a new name; where both names are there, the old name's column is taken."""
+    old = {new: n for n, new in names.items() if n in df.columns}
+    require_columns(df, [old.get(n, n) for n in order])
+    return df.select(*[df[old.get(n, n)].alias(n) for n in order])
+
+
+def first_rows(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
+    """The first n rows in a stated order, for previews and leading samples."""
+    return df.orderBy(*order).limit(n)
+
+
 def conform(df: DataFrame, columns: Mapping[str, Sequence[str]], required: Sequence[str] = ()) -> DataFrame:
     """Standard string columns, each from the first of its candidates that exists."""
     require_columns(df, required)

@@ -510,12 +510,15 @@ def multi_kind_candidates(spark, d):
     return vectors.merge_kinds(vectors.top_k_kinds(asked, rows, KINDS, NEAREST))
 
 
-@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN json_extract(props, '$.title') IS NULL THEN 'Unknown' ELSE json_extract_string(props, '$.title') END AS job_title FROM events""")
+@query("""SELECT event_id, event_id % 5 < 3 AS readable, CASE WHEN event_id % 5 < 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+coalesce(CASE WHEN event_id % 5 < 3 THEN json_extract_string(props, '$.title') END, 'Unknown') AS job_title FROM events""")
 def profile_json(spark, d):
-    wrapped = F.concat(F.lit("noise "), "props", F.lit(" tail"))
-    block = F.regexp_extract(wrapped, r"(?s)\{.*\}", 0)
-    got = F.from_json(F.coalesce(F.nullif(block, F.lit("")), F.lit("{}")), "k long, title string")
-    return read(spark, d, "events").select("event_id", got["k"].alias("k"), text.or_default(got["title"], "Unknown").alias("job_title"))
+    """Answers as models give them: bare, padded, in prose; and those without an object of their own: a list around it, two objects."""
+    n, props = F.col("event_id") % 5, F.col("props")
+    answer = F.when(n == 0, props).when(n == 1, F.concat(F.lit("\n "), props, F.lit("\n"))).when(n == 2, F.concat(F.lit("Here it is: "), props, F.lit(" Done.")))
+    answer = answer.when(n == 3, F.concat(F.lit("["), props, F.lit("]"))).otherwise(F.concat(props, F.lit(" or "), props))
+    got = text.profile_from_json(answer, "k long, title string")
+    return read(spark, d, "events").select("event_id", got.isNotNull().alias("readable"), got["k"].alias("k"), text.or_default(got["title"], "Unknown").alias("job_title"))
 
 
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS squeezed FROM documents""")
@@ -523,9 +526,11 @@ def squeeze_text(spark, d):
     return read(spark, d, "documents").select("doc_id", text.squeeze_text(F.col("text"), None).alias("squeezed"))
 
 
-@query("""WITH job SELECT job_link, coalesce(nullif(trim(location), ''), nullif(trim(job_link), ''), 'No link') AS link, least(CAST(trunc(100 * ((CAST(job_link AS BIGINT) % 131) / 100.0::DOUBLE)) AS INTEGER), 100) AS pct FROM job""")
+@query("""WITH job SELECT job_link, coalesce(nullif(trim(location), ''), nullif(trim(job_link), ''), 'No link') AS link, least(CAST(trunc(100 * ((CAST(job_link AS BIGINT) % 131) / 100.0::DOUBLE)) AS INTEGER), 100) AS pct,
+CASE WHEN CAST(job_link AS BIGINT) % 131 >= 70 THEN 'high' WHEN CAST(job_link AS BIGINT) % 131 >= 40 THEN 'medium' ELSE 'low' END AS band FROM job""")
 def display_fields(spark, d):
-    return job_view(spark, d).select("job_link", text.first_non_blank(F.col("location"), F.col("job_link"), default="No link").alias("link"), text.score_percent((F.col("job_link").cast("long") % 131) / 100).alias("pct"))
+    score = (F.col("job_link").cast("long") % 131) / 100
+    return job_view(spark, d).select("job_link", text.first_non_blank(F.col("location"), F.col("job_link"), default="No link").alias("link"), text.score_percent(score).alias("pct"), text.score_band(score).alias("band"))
 
 
 @query("""SELECT c_custkey, c_name FROM customer ORDER BY md5('42' || CAST(c_custkey AS VARCHAR)), c_custkey LIMIT 30""")

@@ -89,3 +89,30 @@ def test_skill_lists_and_the_narrow_variant(spark):
 
 def test_score_bands(spark):
     assert [value(spark, text.score_band(F.lit(x))) for x in (0.7, 0.699, 0.4, 0.39, None)] == ["high", "medium", "medium", "low", "low"]
+
+
+def test_profiles_from_answers(spark):
+    cases = {
+        '{"k": 1, "title": "a"}': (1, "a"),
+        ' {"k":1}\n': (1, None),
+        '\n\t{"k":3}': (3, None),
+        'Here: {"k":2,"title":"x } y"} as asked': (2, "x } y"),
+        '{"k": {"a": 1}} t': (None, None),
+        "{} ,null": (None, None),
+        '{"k":1}]': (1, None),
+        '{"k":1}} {': None,
+        '{"k":1}] {"k":2}': None,
+        '{"k":1} or {"k":2}': None,
+        '{"k":1},{"k":2}': None,
+        '[{"k":1}]': None,
+        '{"k":1,}': None,
+        "3": None,
+        "null": None,
+        "nothing": None,
+        "": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(x,) for x in cases], "c string").select("c", text.profile_from_json(F.col("c"), "k long, title string").alias("p"))
+    assert {r["c"]: r["p"] and tuple(r["p"]) for r in df.collect()} == cases
+    kinds = spark.createDataFrame([(x,) for x in ('{"a":1}', "[1]", "2", "null", '"{"', "{", '{"a":1}}', '{"a":1}]', "1,2", "")], "c string").select(text.json_kind(F.col("c")))
+    assert [r[0] for r in kinds.collect()] == ["object", "array", "value", "value", "value", "", "", "", "", ""]

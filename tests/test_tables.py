@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hirelake.operators import classify, tables, vectors
+from hirelake.operators import classify, tables, textmodel, vectors
 from hirelake.sources import files
 from hirelake.streaming.ingest import append_new_rows
 
@@ -151,3 +151,25 @@ def test_check_aligned(spark):
     for other in (df.where("k = 1"), df.unionByName(df), df.selectExpr("k + 1 as k")):
         with pytest.raises(ValueError, match="b"):
             tables.check_aligned({"a": df, "b": other}, "k")
+
+
+def test_replaced_renamed_and_first_columns(spark):
+    df = spark.createDataFrame([(3, "c", "old"), (1, "a", "old"), (2, None, "old")], "k int, v string, city string")
+    derived = {"city": F.upper("v"), "n": F.col("k") * 2}
+    once = tables.replace_columns(df, derived)
+    again = tables.replace_columns(once, derived)
+    assert once.columns == again.columns == ["k", "v", "city", "n"]
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, again.collect()), key=str) == [(1, "a", "A", 2), (2, None, None, 4), (3, "c", "C", 6)]
+    named = tables.renamed(once, {"v": "company", "absent": "k"}, ["n", "company", "k"])
+    assert named.columns == ["n", "company", "k"] and named.orderBy("k").first() == (2, "a", 1)
+    with pytest.raises(ValueError, match="missing columns"):
+        tables.renamed(df, {}, ["company"])
+    assert [r["k"] for r in tables.first_rows(df, 2, [F.col("k")]).collect()] == [1, 2] and tables.first_rows(df.where("k > 9"), 2, [F.col("k")]).count() == 0
+
+
+def test_a_saved_matrix_is_ordered(spark, tmp_path):
+    rows = [(f"role {i % 3}", f"skill {i}", float(i * 7 % 11), 1.0, 1.0, i) for i in range(30)]
+    path = str(tmp_path / "matrix")
+    textmodel.save_matrix(spark.createDataFrame(rows, "role string, skill string, score double, tf double, idf double, job_count long").repartition(5), path)
+    parts = [[(r["role"], -r["score"], r["skill"]) for r in spark.read.parquet(f"{path}/{f}").collect()] for f in sorted(os.listdir(path)) if f.endswith(".parquet")]
+    assert [x for p in parts for x in p] == sorted((r, -s, k) for r, k, s, *_ in rows)
