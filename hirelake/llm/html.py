@@ -5,12 +5,16 @@ links), its depth, its siblings (place, share, the largest one before and after
 and the evidence of its attribute tokens and of those above it. Boosted trees score each element as content or
 not.
 
-What a token says is learned, not listed: the log-odds of the labels of the training elements that have it. Labels come from
-two places: small pages written by rule (`written_pages`), whose author marks every part as content or not, under many
-names, kinds and layouts, with parts that have no name and names that mislead; and a bounded sample of the
+Labels come from two places: small pages written by rule (`written_pages`), whose author marks every part as content or not,
+under many names, kinds and layouts, with parts that have no name and names that mislead; and a bounded sample of the
 table's pages, where elements inside article or main, and inside nav, footer, aside or form, are taken at their kind. The
 latter train without kind and tokens, so they can't repeat the kind, only show what such text looks like here.
 
+What a token says is its log-odds among labelled elements, learned in two steps. Trees without any token are fitted first; they
+read the sampled pages by structure, and each page votes once for every token of an element that they and the decoding are
+sure of (`_named`). Votes of LEAST_VOTES pages or more are added to the counts of the written pages, so a table's own names
+count, also against what the written pages say of them. Tokens are hashed, so the evidence has a fixed bound.
+
 Tokens of html and body, and of an article or main with most of the page's text, describe the page and are not
 evidence; nor are names of states (no-sidebar, comments-open) or classes of headings. Decoding is hierarchical: below
 a dropped element everything is dropped, and the choice of all elements of a page together is the best one of that
@@ -38,6 +42,8 @@ from pyspark.sql import functions as F
 
 #: The classifier's bounds: sampled pages and training elements; depths from which on elements look alike.
 MAX_PAGES, MAX_NODES, MAX_DEPTH = 400, 10_000, 12
+#: Places for hashed tokens, pages that must vote on one, and the score from which the trees without tokens are sure.
+TOKEN_PLACES, LEAST_VOTES, SURE = 1 << 18, 3, 2.0
 
 # Kinds of elements, and the tokens by which a page names its parts.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,14 +72,18 @@ MARK = re.compile(r"\bdata-keep=\"([01])\"")
 SPACE = re.compile(r"\s+")
 
 
+def place_of(token: str) -> int:
+    return zlib.crc32(token.encode()) % TOKEN_PLACES
+
+
 def names(attributes: str) -> frozenset:
-    """The parts of an element's names; a name that tells a state gives none."""
-    found: set[str] = set()
+    """The parts of an element's names, hashed; a name that tells a state gives none."""
+    found: set[int] = set()
     for a in ATTRIBUTE.finditer(attributes):
         for name in NAMES.findall((a[2] or a[3] or a[4] or "").lower()):
             parts = PARTS.findall(name)
             if not STATES.intersection(parts):
-                found.update(parts)
+                found.update(map(place_of, parts))
     return frozenset(found)
 
 
@@ -201,7 +211,7 @@ def said(x: Node, share: float) -> frozenset:
     return x.tokens
 
 
-def features(nodes: list[Node], runs: list[tuple[int, str | None]], evidence: dict[str, float]) -> np.ndarray:
+def features(nodes: list[Node], runs: list[tuple[int, str | None]], evidence: dict[int, float]) -> np.ndarray:
     """One row per element: density and place, then tokens and article, then kind."""
     n = len(nodes)
     own, text, tags, link, paragraphs = tree_sums(nodes, runs)
@@ -277,18 +287,22 @@ def written_pages(n: int = 320, seed: int = 7) -> list[str]:
             out.append(" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(4, 18))).capitalize() + ".")
         return " ".join(out)
 
+    def heading(least: int, most: int) -> str:
+        """A sentence, or one to four words."""
+        return prose(least, most) if rng.random() < 0.6 else " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 4))).capitalize()
+
     def links(k: int) -> str:
         items = [f'<a href="/{i}">{"w" * rng.randint(3, 20)}</a>' for i in range(k)]
         return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if rng.random() < 0.7 else " | ".join(items)
 
     def article() -> str:
         out, heads = [], rng.choice(["", ' class="post-header"', ' class="entry-title"', ' class="article-header"'])
-        title = f"<h1{heads}>{prose(15, 60)}</h1>"
+        title = f"<h1{heads}>{heading(15, 60)}</h1>"
         out.append(f"<header>{title}<p>{prose(10, 40)}</p></header>" if rng.random() < 0.3 else title)
         for _ in range(rng.choice([1, 2, 3, 5, 9, 20])):
             kind = rng.random()
             p = prose(20, rng.choice([80, 400, 1500]))
-            out.append(f"<h2{heads}>{prose(10, 40)}</h2><p>{p}</p>" if kind < 0.15 else f"<ul><li>{p}</li><li>{prose(10, 200)}</li></ul>" if kind < 0.25 else f"<blockquote>{p}</blockquote>" if kind < 0.3 else f'<p>{p} <a href="/x">{prose(10, 30)}</a> {p}</p>' if kind < 0.45 else f"<table><tr><td>{p}</td><td>{prose(5, 60)}</td></tr></table>" if kind < 0.5 else f"<p><b>{prose(10, 60)}</b><br>{p}</p>" if kind < 0.6 else f"<pre>{p}</pre>" if kind < 0.63 else f"<div>{p}</div>" if kind < 0.7 else f"<p>{p}</p>")
+            out.append(f"<h2{heads}>{heading(10, 40)}</h2><p>{p}</p>" if kind < 0.15 else f"<ul><li>{p}</li><li>{prose(10, 200)}</li></ul>" if kind < 0.25 else f"<blockquote>{p}</blockquote>" if kind < 0.3 else f'<p>{p} <a href="/x">{prose(10, 30)}</a> {p}</p>' if kind < 0.45 else f"<table><tr><td>{p}</td><td>{prose(5, 60)}</td></tr></table>" if kind < 0.5 else f"<p><b>{prose(10, 60)}</b><br>{p}</p>" if kind < 0.6 else f"<pre>{p}</pre>" if kind < 0.63 else f"<div>{p}</div>" if kind < 0.7 else f"<p>{p}</p>")
             if rng.random() < 0.06:
                 out.append(part("links" if rng.random() < 0.5 else "blurb", True))
         return "".join(out)
@@ -403,7 +417,7 @@ def decode(nodes: list[Node], logit: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    evidence: dict[str, float]
+    evidence: dict[int, float]
     trees: Boosted
 
 
@@ -420,28 +434,53 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float32())), pa.array(ys, pa.int32()), pa.array(order, pa.int64())], names=["x", "y", "o"])
 
 
+def _named(plain: Boosted):
+    """Each page's votes: the tokens of elements of which the trees without tokens are sure, and of whose text the decoding keeps most, or least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+            votes: list[tuple[int, int]] = []
+            for page in b.column(0).to_pylist():
+                nodes, runs = parse(page or "")
+                x = features(nodes, runs, {})
+                logit, own, text = plain.logit(x), np.expm1(x[:, 1]), np.maximum(np.expm1(x[:, 0]), 1)
+                held = np.where(decode(nodes, logit, own), own, 0)
+                for i in range(len(nodes) - 1, 0, -1):
+                    held[nodes[i].parent] += held[i]
+                sure = (np.abs(logit) >= SURE) & ((held > text / 2) == (logit > 0))
+                votes += {(t, int(logit[i] > 0)) for i in np.flatnonzero(sure) for t in said(nodes[i], text[i] / text[0])}
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in votes], pa.int32()), pa.array([k for _, k in votes], pa.int32())], names=["token", "keep"])
+
+    return run
+
+
 def fit(pages: DataFrame, max_pages: int = MAX_PAGES, max_nodes: int = MAX_NODES) -> Model:
-    """Trains on the written pages and on the elements of at most max_pages pages, the first by a hash of their ids."""
-    sample = pages.select("page_id", "html").where(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(max_pages)
-    rows = sample.select("html").mapInArrow(_training, "x array<float>, y int, o long").orderBy("o", "y", "x").limit(max_nodes).collect()
-    written = [(*parse(p),) for p in written_pages()]
-    good: dict[str, int] = {}
-    bad: dict[str, int] = {}
-    for nodes, runs in written:
-        _, text, *_ = tree_sums(nodes, runs)
-        for x, y, t in zip(nodes, marked(nodes), text, strict=True):
-            for token in said(x, t / max(text[0], 1)) if y >= 0 else ():
-                (good if y else bad)[token] = (good if y else bad).get(token, 0) + 1
-    evidence = {t: float(np.clip(np.log((good.get(t, 0) + 0.5) / (bad.get(t, 0) + 0.5)), -3, 3)) for t in good.keys() | bad.keys()}
-    x, y = [], []
-    for nodes, runs in written:
-        label = marked(nodes)
-        x.append(features(nodes, runs, evidence)[label >= 0])
-        y.append(label[label >= 0])
+    """Trains on the written pages and on the elements of at most max_pages pages, the first by a hash of their ids; these pages also vote on
+    what tokens say, of which at most TOKEN_PLACES counts return."""
+    sample = pages.select("page_id", "html").where(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(max_pages).select("html")
+    rows = sample.mapInArrow(_training, "x array<float>, y int, o long").orderBy("o", "y", "x").limit(max_nodes).collect()
     seen = np.zeros((len(rows), N_FEATURES), np.float32)
     if rows:
         seen[:, :N_DENSITY] = [r["x"] for r in rows]
-    return Model(evidence, Boosted(np.concatenate([*x, seen]), np.concatenate([*y, [r["y"] for r in rows]]).astype(float)))
+    written = [(*parse(p),) for p in written_pages()]
+    labels = [marked(nodes) for nodes, _ in written]
+    y = np.concatenate([*(k[k >= 0] for k in labels), [r["y"] for r in rows]]).astype(float)
+
+    def trees(evidence: dict[int, float], n: int) -> Boosted:
+        return Boosted(np.concatenate([*(features(*t, evidence)[k >= 0] for t, k in zip(written, labels, strict=True)), seen]), y, n)
+
+    counts: dict[int, list[float]] = {}
+    for (nodes, runs), label in zip(written, labels, strict=True):
+        _, text, *_ = tree_sums(nodes, runs)
+        for x, k, t in zip(nodes, label, text, strict=True):
+            for token in said(x, t / max(text[0], 1)) if k >= 0 else ():
+                counts.setdefault(token, [0.5, 0.5])[k] += 1
+    voted = sample.mapInArrow(_named(trees({}, 30)), "token int, keep int").groupBy("token").agg(F.count_if(F.col("keep") == 0).alias("no"), F.count_if(F.col("keep") == 1).alias("yes"))
+    for r in voted.where(F.col("no") + F.col("yes") >= LEAST_VOTES).collect():
+        no, yes = counts.setdefault(r["token"], [0.5, 0.5])
+        counts[r["token"]] = [no + r["no"], yes + r["yes"]]
+    evidence = {t: float(np.clip(np.log(yes / no), -3, 3)) for t, (no, yes) in counts.items()}
+    return Model(evidence, trees(evidence, 70))
 
 
 def extract(pages: DataFrame, model: Model) -> DataFrame:

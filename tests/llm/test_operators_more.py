@@ -230,6 +230,28 @@ def test_html_written_pages(model):
     assert wrong <= 3
 
 
+def site(names, k):
+    """Pages of a site whose parts have names of its own."""
+    more = "".join(f'<li><a href="/{i}">Ein Eintrag {i}</a></li>' for i in range(5))
+    side, body, line = names
+    return f'<html><body><div class="{side}"><ul>{more}</ul></div><div class="{body}"><h1>The title {k}</h1>{P * (2 + k % 4)}</div><div class="{line}"><ul>{more}</ul></div></body></html>'
+
+
+def test_html_names_of_the_table(spark):
+    """Names that no written page has are learned from the pages' structure, and count as evidence; rare ones aren't."""
+    rows = [(k, "u", site(("seitenleiste", "beitragstext", "fusszeile"), k)) for k in range(12)] + [(50, "u", site(("einmal", "zweimal", "selten"), 1))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = html.fit(df)
+    said = {n: found.evidence.get(html.place_of(n), 0.0) for n in ("seitenleiste", "beitragstext", "fusszeile", "einmal", "zweimal", "selten", "navbar", "content")}
+    assert said["seitenleiste"] < -1 and said["fusszeile"] < -1 and said["beitragstext"] > 1 and said["navbar"] < 0 < said["content"], said
+    assert said["einmal"] == said["zweimal"] == said["selten"] == 0
+    got = {r["page_id"]: r["text"] for r in html.extract(df, found).collect()}
+    for k in range(12):
+        assert got[k] == "\n".join([f"The title {k}"] + [("It was a long paragraph, with several sentences in it. Each says what is new. " * 4).strip()] * (2 + k % 4))
+    again = html.fit(df.repartition(3))
+    assert again.evidence == found.evidence and again.trees.base == found.trees.base
+
+
 def test_html_odd_pages(spark, model):
     deep = "<div>" * 20_000 + "deep text " * 20
     nested = "<div>" * 300 + f"<h1>The title</h1>{P * 6}" + "</div>" * 300
