@@ -303,31 +303,36 @@ def _among(bits: np.ndarray):
     return run
 
 
-def only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of texts (d, t, text) whose t may be among those of wanted (t): a bitmap of FILTER_BITS hashed
-    places, which the cluster fills. When it is crowded, more rows pass, and the join that follows sorts them out."""
+def places(wanted: DataFrame) -> DataFrame:
+    """(w, bits): a bitmap of FILTER_BITS hashed places with those of wanted (t), in words of 64."""
     place = F.col("t").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()
+    return wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+
+
+def only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of texts (d, t, text) whose t may be among those of wanted (t). When the bitmap is crowded, more rows
+    pass, and the join that follows sorts them out."""
     bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words:
+    for r in places(wanted).collect():
         bits[r["w"]] = r["bits"]
     return texts.mapInArrow(_among(bits), "d long, t long, text string")
 
 
 def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id, label) for every row of docs (doc_id, text); th is xxhash64 of the
+    """(doc_id, th, n_shingles, component_id, label, first) for every row of docs (doc_id, text); th is xxhash64 of the
     text. component_id is a doc_id, so components without ids or with a shared id can have the same one; label, the
-    component's smallest node, tells them apart (null for texts without a word)."""
+    component's smallest node, tells them apart, and first is its smallest (doc_id, th), nulls before all (both null
+    for texts without a word)."""
     rows, levels = describe(docs, size)
     filled = rows.where("n > 0")
     filters = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(_filters(size, percent, levels), FILTERS).dropDuplicates(["node"])
     nodes = filled.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("members"))
     nodes = saved(nodes.join(filters, "node"))
     entries = nodes.select(F.explode("tokens").alias("token"), "node")
-    shared = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
-    shared = saved(entries.join(shared, "token"))
-    many = shared.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    pop = shared.join(many, "token").groupBy("node").agg(F.sum("df").alias("pop")).join(nodes.select("node", "n"), "node")
+    # Counted where they lie: a join with the shingles of two nodes or more would move all entries a second time.
+    shared = saved(entries.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1"))
+    pop = shared.groupBy("node").agg(F.sum("df").alias("pop")).join(nodes.select("node", "n"), "node")
+    shared = shared.drop("df")
     known = shared.join(pop, "node").withColumn("rank", F.col("pop") / F.col("n"))
     centres = known.groupBy("token").agg(F.max(F.struct("rank", "node", "n")).alias("c"))
     near = (100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n"))) & (F.col("node") != F.col("c.node"))
@@ -369,22 +374,26 @@ def similar(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     total = nodes.agg(F.sum("members")).first()[0] or 0
     placed = nodes.select("node", "members").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "members")
     named = saved(join_spread(filled.select("doc_id", "th", "n", "node"), placed, "node", total, "doc_id", "th").drop("node"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    out = join_spread(named, smallest, "label", total, "doc_id", "th").select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "label")
-    alone = rows.where("n = 0").select("doc_id", "th", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
+    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "th")).alias("first"), F.count(F.lit(1)).alias("members"))
+    out = join_spread(named, smallest, "label", total, "doc_id", "th").select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "label", "first")
+    alone = rows.where("n = 0").select("doc_id", "th", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"), F.lit(None).cast(out.schema["first"].dataType).alias("first"))
     return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     """The rows of docs, one for each group of linked documents (the one with the smallest doc_id); texts
     without a word all stay."""
-    found = similar(docs, percent, size)
-    kept = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("k"))
-    # Null ids get a value and a mark: with plain keys one shuffle of the rows serves the join and the repeats.
+    found = similar(docs, percent, size).where("n_shingles > 0")
+    # Null ids get a value and a mark, so plain keys serve the join and the repeats.
     key = lambda d, t: (F.coalesce(d, F.lit(0)).alias("d"), d.isNull().alias("no_id"), t.alias("t"))
-    kept = kept.select(*key(F.col("k.doc_id"), F.col("k.th")))
+    first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th"))
+    keys = found.groupBy(*key(F.col("doc_id"), F.col("th"))).agg(F.first(first).alias("kept"), F.count(F.lit(1)).alias("n"))
+    unsettled = saved(keys.where("not kept or n > 1"))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     rows = docs.select(row, *key(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
-    blank = ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one = rows.where(~blank).join(kept, ["d", "no_id", "t"]).dropDuplicates(["d", "no_id", "t"])
-    return one.select("row.*").unionByName(rows.where(blank).select("row.*"))
+    # Only rows that may be dropped or come again go through a shuffle, as these are whole rows; the others stay as they lie.
+    at = F.col("t").bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = rows.withColumn("at", at).withColumn("w", F.shiftright("at", 6)).join(F.broadcast(places(unsettled)), "w", "left")
+    stays = F.expr("coalesce(shiftright(bits, cast(at & 63 as int)) & 1, 0) = 0") | ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    open_rows = rows.where(~stays).join(unsettled.where("not kept"), ["d", "no_id", "t"], "left_anti").dropDuplicates(["d", "no_id", "t"])
+    return rows.where(stays).select("row.*").unionByName(open_rows.select("row.*"))

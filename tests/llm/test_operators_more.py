@@ -307,3 +307,26 @@ def test_one_text_of_a_labelled_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     scores = [sorted((r["doc_id"], r["score"]) for r in toxicity.score(docs, m).select("doc_id", "score").collect()) for m in (one, two)]
     assert scores[0] == scores[1]
+
+
+def test_keep_one_leaves_rows_in_place(spark):
+    """Rows whose text has no near copy don't go through a shuffle; those that may be dropped or come again do."""
+    rng = random.Random(11)
+    rows = [(i, f"{very_long(i, 40)} {rng.random()}", rng.randbytes(8000)) for i in range(1000)]
+    rows += [(5000, rows[0][1], rows[0][2]), rows[1], (None, " ", None), (None, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, payload binary")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    kept = jaccard.keep_one(docs, 80, 5).collect()
+    assert Counter(tuple(r) for r in kept) == Counter(rows[:1000] + [rows[-1]] * 2)
+    assert written() - before < 4_000_000
+
+
+def test_keep_one_with_crowded_places(spark, monkeypatch):
+    """With every place of the bitmap taken all rows but blank ones meet the join, and the same stay."""
+    docs = spark.createDataFrame([(*r[:2],) for r in fixture()] + [(None, None), (2, " \t\n"), (40, LONG)], "doc_id long, text string")
+    rows = lambda: Counter(tuple(r) for r in jaccard.keep_one(docs, 80, 5).collect())
+    few = rows()
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 64)
+    monkeypatch.setattr(jaccard, "places", lambda wanted: wanted.sparkSession.createDataFrame([(0, -1)], "w long, bits long"))
+    assert rows() == few and few[(None, None)] == 1 and few[(2, " \t\n")] == 2
