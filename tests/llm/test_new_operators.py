@@ -1,10 +1,12 @@
 """Vector codes, token counts and periodic runs against plain Python, with nulls, empty texts, ties, repeated rows and odd columns."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from hirelake.llm import codes, periodic, queries, tokencount
 from hirelake.llm.packing import tokenizer_path
 from tests.llm.test_operators import LONG, SCHEMA, fixture, words
 
+DATA = "/root/testdata/sf0.001"
+
 
 def texts():
     more = [" ", "  two  spaces ", "a\n\n b\n", "▁a▁ b", "<s> </s> <unk>", "x" * 5000, "日本語 🙂\x00 é", "tab\tand\r\nline", LONG + "\n" + "y z " * 3000]
@@ -212,3 +216,12 @@ def test_the_fixture_passes_too(spark):
     docs = spark.createDataFrame(fixture(), SCHEMA)
     assert periodic.periodic_runs(docs).count() == tokencount.token_counts(docs).count() == len(fixture())
     assert docs.select(periodic.repeated_tail(F.col("doc_id"), F.col("text"))).count() == len(fixture())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_vector_codes_twin(spark):
+    db = duckdb.connect()
+    db.sql(f"create view embeddings as select * from '{DATA}/embeddings.parquet'")
+    got, want = queries.op11_vector_codes(spark, DATA), db.sql(queries.ORACLES["op11_vector_codes"])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
