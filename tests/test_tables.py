@@ -173,3 +173,59 @@ def test_a_saved_matrix_is_ordered(spark, tmp_path):
     textmodel.save_matrix(spark.createDataFrame(rows, "role string, skill string, score double, tf double, idf double, job_count long").repartition(5), path)
     parts = [[(r["role"], -r["score"], r["skill"]) for r in spark.read.parquet(f"{path}/{f}").collect()] for f in sorted(os.listdir(path)) if f.endswith(".parquet")]
     assert [x for p in parts for x in p] == sorted((r, -s, k) for r, k, s, *_ in rows)
+
+
+def test_lists_are_bounded_by_queries_and_not_by_items():
+    """Items that stand for several, in any order of batches; what is kept follows k."""
+    rng = np.random.default_rng(9)
+    x, q, n = rng.integers(-2, 3, (9000, 3)).astype(float), rng.integers(-2, 3, (5, 3)).astype(float), rng.integers(1, 4, 9000)
+    for k in (3, 600):
+        best = vectors.Listed(np.arange(5), q, k)
+        for i in range(0, 9000, 700):
+            best.add(np.arange(i, min(i + 700, 9000)), n[i : i + 700], x[i : i + 700])
+            assert best._held <= 2 * 5 * k + vectors.SCORES // 4 + 5 * 700
+        got = best.rows()
+        for j in range(5):
+            want = sorted(range(9000), key=lambda i: (-(q[j] @ x[i]), i))[:k]
+            want = [i for i in want if n[[m for m in range(9000) if q[j] @ x[m] > q[j] @ x[i]]].sum() < k]
+            assert got[got["query_id"] == j]["item_id"].tolist() == want
+
+
+def test_best_of_lists_in_many_cells(spark, monkeypatch):
+    """No pair of blocks makes rows of its own: a list has its limit from each part of the items at most, whatever their number."""
+    monkeypatch.setattr(vectors, "LISTED", 40)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(10)
+    x = rng.integers(-2, 3, (500, 6)).astype(float)
+    items = spark.createDataFrame([(i % 2, i, 1, v.tolist()) for i, v in enumerate(x)], "list int, item_id long, n int, vec array<double>").repartition(7)
+    queries = items.where("item_id % 20 < 2").selectExpr("list", "item_id as query_id", "vec")
+    limits = [5, 3]
+    found = vectors.best_of_lists(queries, items, limits).collect()
+    got = {}
+    for r in found:
+        got.setdefault((r["list"], r["query_id"]), []).append((-r["score"], r["item_id"]))
+    want = {(q % 2, q): sorted((-float(x[q] @ x[i]), i) for i in range(q % 2, 500, 2))[: limits[q % 2]] for q in range(500) if q % 20 < 2}
+    assert {k: sorted(v)[: limits[k[0]]] for k, v in got.items()} == want
+    assert vectors.best_of_lists(queries.where("list > 5"), items, limits).count() == 0
+
+
+def test_top_k_of_texts(spark):
+    """Against the search of every text's own vector; texts with equal words in another order, blank and null ones among them."""
+    words = ["data", "sql", "C++", "python", "lead"]
+    rows = [(i, "abc"[i % 3], None if i % 50 == 7 else " ".join(words[(i * j) % 5] for j in range(i % 4)), f"{words[i % 5]} / {words[i % 3]}") for i in range(300)]
+    items = spark.createDataFrame(rows, "item_id long, source string, x_text string, y_text string")
+    queries = items.where("item_id % 10 = 1").withColumnRenamed("item_id", "query_id").drop("source")
+    limits = {"a": 40, "b": 3}
+    got = [tuple(r) for r in vectors.top_k_texts(queries, items, ["x", "y"], limits).collect()]
+    vec = lambda df: df.select("*", *[vectors.hashed_vector(F.coalesce(f"{k}_text", F.lit(""))).alias(f"{k}_vec") for k in "xy"])
+    want = [tuple(r) for r in vectors.top_k_kinds(vec(queries), vec(items), ["x", "y"], limits).where("score > 0").collect()]
+    assert len(got) == len(set(got)) and set(got) == set(want)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_lines_move_without_what_cannot_order_them(spark):
+    """What is moved of a line is its order, number and part."""
+    from hirelake.plans import jobs
+
+    plan = jobs.job_view(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "l_linenumber" in plan and "l_extendedprice" not in plan and "l_shipdate" not in plan
