@@ -94,12 +94,22 @@ def first_hits(rows: DataFrame, rules: DataFrame, group: str, text: str) -> Data
     return met.groupBy(group, text).agg(F.min("_rule").alias("_rule")).select(group, text, "_rule.*")
 
 
-def canonical_titles(rows: DataFrame, rules: DataFrame, group: str, title: str) -> DataFrame:
-    """rows with job_title_canonical and function_group: those of the first rule of the row's group that its lower-cased title meets, else the
-    title itself in title case and Other; a blank title stays blank."""
-    rows = rows.withColumn("_title", F.trim(F.coalesce(title, F.lit("")))).withColumn("_text", F.lower("_title"))
-    hits = first_hits(rows, rules, group, "_text").drop("rank")
-    out = rows.join(hits, [group, "_text"], "left")
-    known = F.coalesce("canonical", title_case(F.col("_title")))
-    names = [c for c in rows.columns if c not in ("_title", "_text")]
-    return out.select(*names, known.alias("job_title_canonical"), F.coalesce("function_group", F.lit("Other")).alias("function_group"))
+def canonical_titles(rows: DataFrame, patterns: Mapping[str, Sequence[tuple[str, str, str]]], group: str, title: str) -> DataFrame:
+    """rows with job_title_canonical and function_group: those of the first pattern of the row's group that its lower-cased title meets, else the
+    title itself in title case and Other; a blank title stays blank. The patterns are literals, so a row meets them where it is: none is moved or made twice."""
+
+    def hit(x: Column) -> Column:
+        out = None
+        for g, rules in patterns.items():
+            first = None
+            for pattern, canonical, function_group in rules:
+                told = F.struct(F.lit(canonical).alias("canonical"), F.lit(function_group).alias("function_group"))
+                first = (F if first is None else first).when(x["l"].rlike(pattern), told)
+            if first is not None:
+                out = (F if out is None else out).when(x["g"] == g, first)
+        own = F.struct(title_case(x["t"]).alias("canonical"), F.lit("Other").alias("function_group"))
+        return own if out is None else F.coalesce(out, own)
+
+    plain = F.trim(F.coalesce(title, F.lit("")))
+    told = rows.withColumn("_hit", bound(F.struct(F.col(group).alias("g"), plain.alias("t"), F.lower(plain).alias("l")), hit))
+    return told.select(*rows.columns, F.col("_hit.canonical").alias("job_title_canonical"), F.col("_hit.function_group").alias("function_group"))

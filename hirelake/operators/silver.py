@@ -16,7 +16,6 @@ METADATA = [*GOLD[:14], "crawl_batch"]
 def incremental_silver(raw: DataFrame) -> DataFrame:
     """raw (source, title, company, location, link, skills array, crawl_batch) through every step of the incremental source: conformed, once per batch and id, cleaned,
     classified, canonical, located, flagged."""
-    spark = raw.sparkSession
     plain = raw.select("source", "crawl_batch", *[F.trim(text.text_or_blank(F.col(c))).alias(c) for c in ("title", "company", "location", "link")], F.filter(F.transform(F.coalesce("skills", F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s != "").alias("skills"))
     rows = plain.select(
         "source",
@@ -32,7 +31,7 @@ def incremental_silver(raw: DataFrame) -> DataFrame:
     # Within a batch the first of those with one id stays.
     rows = tables.keep_first(rows, ["crawl_batch", "source_job_id"], [F.col(c) for c in ("company_clean", "location_basic_clean", "skills_basic_clean", "job_title_basic_clean", "job_link", "source")])
     rows = rows.withColumn("occupation_group_preliminary", batch.occupation_group(batch.classification_text(F.col("job_title_basic_clean"), F.col("skills_basic_clean"), F.col("company_clean"))))
-    rows = classify.canonical_titles(rows, classify.title_rules(spark, taxonomy.TITLE_PATTERNS_BATCH), "occupation_group_preliminary", "job_title_basic_clean")
+    rows = classify.canonical_titles(rows, taxonomy.TITLE_PATTERNS_BATCH, "occupation_group_preliminary", "job_title_basic_clean")
     rows = rows.withColumns(
         {
             "seniority": text.extract_seniority(F.col("job_title_basic_clean"), batch=True),
@@ -48,7 +47,6 @@ def incremental_silver(raw: DataFrame) -> DataFrame:
 
 def historical_silver(raw: DataFrame) -> DataFrame:
     """raw (source, title, company, location, link, skills string) through every step of the historical source."""
-    spark = raw.sparkSession
     rows = raw.select(
         "source",
         F.col("link").alias("source_job_id"),
@@ -61,7 +59,7 @@ def historical_silver(raw: DataFrame) -> DataFrame:
     ).select("*", "_place.*").drop("_place")
     rows = rows.withColumn("_p", classify.classify_preliminary(F.col("job_title_basic_clean"), F.col("skills_basic_clean"), taxonomy.TITLE_KEYWORDS, taxonomy.SKILL_KEYWORDS, rules.GENERIC_TITLES))
     rows = rows.select("*", F.col("_p.group").alias("occupation_group_preliminary"), F.col("_p.confidence").alias("occupation_confidence_preliminary"), F.col("_p.needs_review").alias("needs_review_preliminary")).drop("_p")
-    rows = classify.canonical_titles(rows, classify.title_rules(spark, taxonomy.TITLE_PATTERNS), "occupation_group_preliminary", "job_title_basic_clean")
+    rows = classify.canonical_titles(rows, taxonomy.TITLE_PATTERNS, "occupation_group_preliminary", "job_title_basic_clean")
     rows = rows.withColumn("seniority", text.extract_seniority(F.col("job_title_basic_clean"))).withColumn("skills_canonical", text.canonicalize_skills(F.col("skills_basic_clean"), taxonomy.SKILL_ALIASES))
     final = classify.classify_final(F.col("job_title_canonical"), F.col("skills_canonical"), F.col("occupation_group_preliminary"), F.col("occupation_confidence_preliminary"), taxonomy.GROUP_PATTERNS, taxonomy.GROUP_SKILLS, rules.FAMILY_HISTORICAL)
     rows = rows.withColumn("_f", final).select("*", F.col("_f.group").alias("occupation_group_final"), F.col("_f.family").alias("occupation_family_final"), F.col("_f.confidence").alias("occupation_confidence_final"), F.col("_f.method").alias("classification_method_final"), F.col("_f.needs_review").alias("needs_review_final")).drop("_f")
@@ -76,6 +74,8 @@ def gold(silver: DataFrame) -> DataFrame:
     rows = tables.ensure_columns(rows, wanted)
     rows = tables.strip_text(rows, [c for c in wanted if c not in ("skills_canonical", "location_final")])
     rows = rows.withColumn("location_final", text.or_default(F.col("location_final"), "Unknown")).withColumn("skills_count_final", F.coalesce(F.size("skills_canonical"), F.lit(0)))
-    rows = rows.where((F.col("job_title_canonical") != "") & (F.col("skills_count_final") > 0))
+    # As one value that is kept or not: a condition by itself would be moved to where titles and skills are made, which would be made for it once more.
+    kept = F.filter(F.array(F.struct(*rows.columns)), lambda r: (r["job_title_canonical"] != "") & (r["skills_count_final"] > 0))
+    rows = rows.select(F.inline(kept))
     title, place, skills = F.col("job_title_canonical"), F.col("location_final"), F.col("skills_canonical")
     return rows.withColumns({"title_text": text.title_text(title), "skills_text": text.skills_text(skills), "full_text": text.full_text(title, place, skills)}).select(*GOLD)

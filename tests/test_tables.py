@@ -229,3 +229,23 @@ def test_lines_move_without_what_cannot_order_them(spark):
 
     plan = jobs.job_view(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "l_linenumber" in plan and "l_extendedprice" not in plan and "l_shipdate" not in plan
+
+
+def test_titles_meet_patterns_where_they_are(spark):
+    """The first pattern of the row's own group, else the title itself; no row is moved, and nothing is made twice to be joined again."""
+    patterns = {"A": [("x y", "XY", "f1"), ("x", "X", "f2")], "B": [("x", "Bx", "f3")], "C": []}
+    rows = spark.createDataFrame([("A", " Big X y "), ("A", "x"), ("B", "x y"), ("C", "c++ x"), ("D", None), (None, "x")], "g string, t string")
+    out = classify.canonical_titles(rows, patterns, "g", "t")
+    assert [tuple(r) for r in out.select("job_title_canonical", "function_group").collect()] == [("XY", "f1"), ("X", "f2"), ("Bx", "f3"), ("C++ X", "Other"), ("", "Other"), ("X", "Other")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_gold_keeps_rows_without_making_them_twice(spark):
+    from hirelake.operators import silver
+
+    rows = spark.createDataFrame([("s", "1", "2024", "c", "Title", "V", ["sql"]), ("s", "2", "2024", "c", "", "V", ["sql"]), ("s", "3", "2024", "c", "T", "", []), ("s", "4", "2024", "c", "T", None, None)], "source string, source_job_id string, crawl_batch string, company_clean string, t string, location_final string, k array<string>")
+    made = rows.withColumn("job_title_canonical", F.upper(F.reverse("t"))).withColumn("skills_canonical", F.array_distinct("k"))
+    out = silver.gold(made)
+    assert [(r["source_job_id"], r["job_title_canonical"], r["skills_count_final"], r["full_text"]) for r in out.collect()] == [("1", "ELTIT", 1, "Job title: ELTIT. Location: V. Required skills: sql.")]
+    assert "Filter (" not in out._jdf.queryExecution().optimizedPlan().toString().replace("Filter (size", "")
