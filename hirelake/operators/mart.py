@@ -32,9 +32,10 @@ def jobs_table(gold: DataFrame) -> DataFrame:
 
 
 def job_skills_table(gold: DataFrame) -> DataFrame:
-    """One row per posting and skill of a Gold batch, with the posting's nine attributes; blank keys go."""
+    """One row per posting and skill of a Gold batch, with the posting's nine attributes; blank keys go. Postings are moved to their key before
+    they become a row for each skill, which then needs no more moving."""
     rows = tables.strip_text(tables.ensure_columns(gold, [n for n in SKILLS.names if n != "skill"] + ["skills_canonical"]), [n for n in SKILLS.names if n != "skill"])
-    return tables.mart_job_skills(rows.withColumnRenamed("skills_canonical", "skills"), SKILLS.names[2:]).select(*SKILLS.names)
+    return tables.mart_job_skills(rows.withColumnRenamed("skills_canonical", "skills").repartition("source_job_id"), SKILLS.names[2:]).select(*SKILLS.names)
 
 
 def with_checked_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -72,7 +73,10 @@ def absent(new: DataFrame, existing: DataFrame, keys: Sequence[str], most: int =
 def append(spark: SparkSession, root: str, name: str, rows: DataFrame) -> None:
     """Adds the rows whose keys the table doesn't have; rows that are there win. Once more changes nothing."""
     schema, keys = MART[name]
-    new = with_checked_keys(absent(rows.select(*schema.names), read_table(spark, root, name), keys), keys)
+    rows = rows.select(*schema.names)
+    # A table without rows has none of the keys; asking it would make the rows once more.
+    existing = read_table(spark, root, name)
+    new = with_checked_keys(rows if existing.isEmpty() else absent(rows, existing, keys), keys)
     new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode("append").parquet(f"{root}/{name}")
 
 

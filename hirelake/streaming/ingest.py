@@ -46,7 +46,7 @@ def silver_gold_mart(root: str, at: Column | None = None, after_step: Callable[[
         files.write_layer(built, root, "silver")
         (after_step or (lambda s: None))("silver")
         mine = F.col("crawl_batch").isin(names)
-        files.write_layer(silver.gold(files.read_layer(spark, root, "silver").where(mine)), root, "gold")
+        files.write_layer(silver.gold(files.read_layer(spark, root, "silver").where(mine)), root, "gold", dealt=True)
         (after_step or (lambda s: None))("gold")
         if files.exists(spark, files.layer_path(root, "gold")):
             mart.append_batches(files.read_layer(spark, root, "gold").where(mine), f"{root}/mart", at, after_step)

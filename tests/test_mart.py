@@ -157,3 +157,17 @@ class FakeCluster:
 
     class sparkContext:
         master = "spark://host:7077"
+
+
+def test_postings_are_moved_before_they_are_rows_of_skills(spark, tmp_path):
+    """One move of a Gold batch, below the rows of skills and their dedup; the first batch of a table is written in the pass that makes it."""
+    from hirelake.operators import mart
+
+    gold = spark.createDataFrame([("1", ["sql", " sql", "c", ""], "b"), ("1", ["sql"], "b"), ("", ["x"], "b"), ("2", ["sql"], "b")], "source_job_id string, skills_canonical array<string>, crawl_batch string")
+    rows = mart.job_skills_table(gold)
+    assert sorted((r["source_job_id"], r["skill"]) for r in rows.collect()) == [("1", "c"), ("1", "sql"), ("2", "sql")]
+    plan = mart.with_checked_keys(rows, ["source_job_id", "skill"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    for _ in range(2):
+        mart.append(spark, str(tmp_path), "job_skills", rows)
+        assert mart.read_table(spark, str(tmp_path), "job_skills").count() == 3
